@@ -13,7 +13,9 @@ by the band's size. *Verification* compares the sets of words themselves; hashes
 
 Filed hashes travel in blocks of their residue, in which a task finds equal ones. Of the nodes that share a hash, those
 with the one that shares most are compared first; nodes that links have joined by then need no comparison, and the
-others are compared pair by pair. So the components are exact, and thousands of near copies cost a few comparisons each.
+others are compared pair by pair. A pair is compared only if its sizes and parity sketches allow it: a sketch has
+64 * LANES bits, each the parity of the shingles that hash to it, so two sketches differ in no more bits than their
+sets in shingles. That bound is exact, so the components are, and thousands of near copies cost a few comparisons each.
 
 Defined results: texts without words have an empty set, are their own component and link with nothing; repeated rows
 link; rows with equal ids are one document; a null id links with nothing and has no component; an empty table gives an
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import join_per_key, table, written
@@ -38,6 +40,9 @@ WORDS, NUM, DEN = 4, 85, 100
 BLOCK_HASHES, REMEMBERED, KNOWN_WORDS = 1_000_000, 500_000, 500_000
 #: Rounds of comparing with one node of a group before all open pairs are compared.
 PIVOT_ROUNDS = 2
+#: Longs of a parity sketch.
+LANES = 8
+SKETCH = [f"p{k}" for k in range(LANES)]
 U = np.uint64
 
 
@@ -95,6 +100,22 @@ def set_keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[0], keys[1]
 
 
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parity sketches of the sets, as LANES longs each."""
+    n = len(offsets) - 1
+    bit = (mix(hashes ^ _ODD[45]) % U(64 * LANES)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * (64 * LANES) + bit, minlength=n * 64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(n, LANES)
+
+
+def may_be_similar(a: str, b: str, num: int, den: int) -> Column:
+    """Whether the sizes and sketches of two aliased rows allow similarity: |a ^ b| <= (den - num) / (den + num) * (|a| + |b|)."""
+    small = F.least(F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles"))
+    large = F.greatest(F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles"))
+    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in SKETCH[1:]), F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))))
+    return (small * den >= large * num) & (differ * (den + num) <= (small + large) * (den - num))
+
+
 def bands(num: int, den: int, largest: int) -> list[int]:
     """L[0], L[1], ... beyond ``largest``."""
     out = [1]
@@ -177,7 +198,7 @@ def filed(hashes, offsets, keys, bounds, extra, num, den) -> tuple[np.ndarray, n
 
 
 def keyed_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, the set's key (16 bytes) and the key's first half."""
+    """doc_id, n_shingles, the set's key (16 bytes), the key's first half and the set's sketch."""
 
     def run(batches):
         for batch in batches:
@@ -192,12 +213,13 @@ def keyed_sets(docs: DataFrame, words: int) -> DataFrame:
                         pa.array(np.diff(o)),
                         pa.array([both[i : i + 16] for i in range(0, len(both), 16)], pa.binary()),
                         pa.array(k1.astype(np.int64)),
+                        *[pa.array(lane) for lane in sketches(h, o).T],
                     ],
-                    names=["doc_id", "n_shingles", "key", "half"],
+                    names=["doc_id", "n_shingles", "key", "half", *SKETCH],
                 )
                 done += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, half long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, half long, " + ", ".join(f"{p} long" for p in SKETCH))
 
 
 def sharing(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -326,14 +348,16 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     """One row per document: doc_id, n_shingles and component_id."""
     keys = written(keyed_sets(docs, words), "sets")
     known = keys.filter("doc_id is not null and n_shingles > 0")
-    nodes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("half").alias("half"), F.count("*").alias("copies")), "nodes")
+    once = [F.min(c).alias(c) for c in ("half", "n_shingles", *SKETCH)]
+    nodes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *once), "nodes")
     groups = sharing(docs, keys, words, num, den)
     groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
     members = groups.select("group", F.explode("nodes").alias("half")).join(nodes.select("half", "node"), "half").select("group", "node").distinct()
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
     # the node in most groups comes first; an original shares more with its copies than they with each other
     ranked = members.join(degree, "node").withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("degree"), "node")))
-    members = written(ranked.select("group", "node", "rank"), "members")
+    ranked = ranked.select("group", "node", "rank").join(nodes.select("node", "n_shingles", *SKETCH), "node")
+    members = written(ranked, "members")
     in_groups = members.select("node").distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(in_groups.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
     links, labels, tested = None, in_groups.withColumn("label", F.col("node")), None
@@ -341,9 +365,9 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         first = now.filter(F.col("rank") == k) if k <= PIVOT_ROUNDS else now
         # an open pair: of one group, not yet in one component
-        one = first.select("group", F.col("node").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        pairs = now.join(one, "group").filter((F.col("rank") > F.col("ra")) & (F.col("la") != F.col("label")))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        is_open = (F.col("x.group") == F.col("y.group")) & (F.col("y.rank") > F.col("x.rank")) & (F.col("x.label") != F.col("y.label"))
+        pairs = first.alias("x").join(now.alias("y"), is_open & may_be_similar("x", "y", num, den))
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.limit(1).count() == 0:
@@ -352,7 +376,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         new = written(linked(pairs, texts, words, num, den), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
-    rep = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"), "copies")
+    rep = nodes.select("node", "key", "copies").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"), "copies")
     total = known.count()
     with_set = join_per_key(known, rep, "key", "copies", total).select("doc_id", "n_shingles", "component_id")
     # rows with equal ids are one document
