@@ -45,7 +45,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, bea
     ids = np.full((b, beam), -1, np.int64)
     dist = np.full((b, beam), np.inf, np.float32)
     done = np.ones((b, beam), bool)
-    met = np.zeros((b, n), bool)
+    met = np.zeros((b, n + 1), bool)  # the last column takes the places without an edge
     ids[:, 0], done[:, 0] = entry, False
     dist[:, 0] = -(q @ x[entry])
     met[:, entry] = True
@@ -63,8 +63,9 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, bea
         if visited:
             walk.append((rows, here))
         near = edges[here]
-        new = (near >= 0) & ~met[rows[:, None], near]
-        met[rows[:, None], np.maximum(near, 0)] |= new
+        place = np.where(near >= 0, near, n)
+        new = (near >= 0) & ~met[rows[:, None], place]
+        met[rows[:, None], place] = True
         d = np.where(new, distances(x, q[rows], np.maximum(near, 0)), np.inf).astype(np.float32)
         all_d = np.concatenate([dist[rows], d], 1)
         best = np.argpartition(all_d, beam - 1, 1)[:, :beam]

@@ -130,7 +130,8 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> Data
     The measures are made twice, once for the hosts and once here, since that is cheaper than storing the texts.
     """
     hosts, total = strict_hosts(with_measures(docs.select(host, text), text), host)
-    return judge(with_measures(docs, text), hosts, total, host).filter("kept").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), host, text)  # columns of any name come through
+    return judge(with_measures(rows, text), hosts, total, host).filter("kept").select("_doc.*")
 
 
 def op1_host_quality(spark, sf_dir):
