@@ -103,7 +103,7 @@ def quotas(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
     taken = sum((words_of_epoch(F.lit(e)) for e in range(EPOCHS)), F.lit(0))
     first = words_of_epoch(F.lit(0))
     out = rows.withColumn("taken", taken.cast("long")).withColumn("position", F.when(first > 0, position(F.lit(0), first)))
-    return out.select(doc_id, "size", "source_size", "target", "taken", "position").repartitionByRange("position").sortWithinPartitions("position", doc_id)
+    return out.select(doc_id, "size", "source_size", "target", "taken", "position").repartitionByRange("position", doc_id).sortWithinPartitions("position", doc_id)
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
