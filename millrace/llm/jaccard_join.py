@@ -11,7 +11,9 @@ guaranteed difference from each of them and in return leaves out its empty segme
 that files them all. ``a`` is chosen band by band to make filed neighbourhoods and expected pairs of such sets cheapest
 by the band's size. *Verification* compares the sets of words themselves; hashes only propose.
 
-Filed hashes travel in blocks of their residue, in which a task finds equal ones. Of the nodes that share a hash, those
+Filed hashes travel in blocks of their residue, in which a task finds equal ones: 4 bytes each (blocks grow in number,
+not in size, so chance hits stay one in ten thousand) and 5 bytes of the set's key for each set and block; sets whose
+5 bytes agree are a group of their own. Of the nodes that share a hash, those
 with the one that shares most are compared first; nodes that links have joined by then need no comparison, and the
 others are compared pair by pair. A pair is compared only if its sizes and parity sketches allow it: a sketch has
 64 * LANES bits, each the parity of the shingles that hash to it, so two sketches differ in no more bits than their
@@ -36,8 +38,13 @@ from millrace.llm.common import join_per_key, table, written
 from millrace.llm.encode import steps
 
 WORDS, NUM, DEN = 4, 85, 100
-#: Hashes that a task sorts at once; sets that a Python worker remembers as filed; hashes of words it remembers.
-BLOCK_HASHES, REMEMBERED, KNOWN_WORDS = 1_000_000, 500_000, 500_000
+#: Hashes that a task sorts at once, and holds before it sends them; sets that a Python worker remembers as filed;
+#: hashes of words it remembers.
+BLOCK_HASHES, HELD_HASHES, REMEMBERED, KNOWN_WORDS = 1_000_000, 2_000_000, 500_000, 500_000
+#: What a node of a needless group, and a pair in it, cost in filed hashes: 300 bytes to 10, and 0.1 to 1 microsecond.
+MEMBER_COST, PAIR_COST = 30.0, 0.1
+#: Bits by which a set's first key is cut to 40 in filed hashes.
+CUT = np.uint64(24)
 #: Rounds of comparing with one node of a group before all open pairs are compared.
 PIVOT_ROUNDS = 2
 #: Longs of a parity sketch.
@@ -143,7 +150,8 @@ def allocation(bounds: list[int], counts: dict[int, int], num: int, den: int) ->
             for k in range(a + 1):
                 within += term
                 term *= mean / (k + 1)
-            c = n * a * (per + 1) + 100.0 * (n * max(0.0, 1 - within)) ** 2
+            needless = n * max(0.0, 1 - within) * (a + 1)  # members of groups that share an empty segment
+            c = n * a * (per + 1) + MEMBER_COST * needless + PAIR_COST * needless**2 / (2 * m)
             if c < cost:
                 best, cost = a, c
         out.append(best)
@@ -212,7 +220,7 @@ def keyed_sets(docs: DataFrame, words: int) -> DataFrame:
                         batch.column("doc_id").slice(done, len(texts)),
                         pa.array(np.diff(o)),
                         pa.array([both[i : i + 16] for i in range(0, len(both), 16)], pa.binary()),
-                        pa.array(k1.astype(np.int64)),
+                        pa.array((k1 >> CUT).astype(np.int64)),
                         *[pa.array(lane) for lane in sketches(h, o).T],
                     ],
                     names=["doc_id", "n_shingles", "key", "half", *SKETCH],
@@ -223,7 +231,7 @@ def keyed_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def sharing(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Groups of nodes (first halves of keys) that share a filed hash: arrays of at least two, each once a task."""
+    """Groups of nodes (first 40 bits of keys) that share a filed hash: arrays of at least two, each once a task."""
     largest = sizes.agg(F.max("n_shingles")).first()[0] or 0
     bounds = bands(num, den, largest)
     edges = F.array(*map(F.lit, bounds))
@@ -234,8 +242,26 @@ def sharing(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -
     n_blocks = max(16, -(-expected // BLOCK_HASHES))
     limits = np.array(bounds, np.int64)
 
+    def sent(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        """One row a block: its hashes by node, the nodes and how many hashes in a row are theirs (255 at most)."""
+        block = (sig % U(n_blocks)).astype(np.int64)
+        order = np.lexsort((node, block))
+        short, node, block = (sig // U(n_blocks))[order].astype("<u4"), node[order], block[order]
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (node[1:] != node[:-1])]))
+        place = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
+        runs = np.flatnonzero(place % 255 == 0)
+        times = np.diff(np.append(runs, len(node))).astype(np.uint8)
+        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        ends = np.append(cut[1:], len(block))
+        rows = [
+            (int(block[a]), short[a:b].tobytes(), _five(node[runs[x:y]]), times[x:y].tobytes())
+            for a, b, x, y in zip(cut, ends, np.searchsorted(runs, cut), np.searchsorted(runs, ends), strict=True)
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["block", "hashes", "nodes", "times"])
+
     def file(batches) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for texts in steps(batch.column("text")):
                 h, o = hashed_sets(texts, words)
@@ -253,23 +279,17 @@ def sharing(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -
                 size = np.diff(o)[keep]
                 h = np.concatenate([h[o[d] : o[d + 1]] for d in keep])
                 sig, doc = filed(h, np.concatenate([[0], np.cumsum(size)]), k1[keep], limits, extra, num, den)
-                block = (sig % U(n_blocks)).astype(np.int64)
-                order = np.lexsort((doc, block))
-                sig, doc, block = (sig // U(n_blocks))[order] & U((1 << 48) - 1), doc[order], block[order]
-                cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-                rows = []
-                for a, b in zip(cut, [*cut[1:], len(block)], strict=True):
-                    first = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
-                    times = np.diff(np.append(first, b - a)).astype("<u2")
-                    rows.append((int(block[a]), _six(sig[a:b]), k1[keep][doc[a:b][first]].astype("<u8").tobytes(), times.tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["block", "hashes", "nodes", "times"])
+                held.append((sig, (k1[keep] >> CUT)[doc]))
+                if sum(len(x) for x, _ in held) >= HELD_HASHES:
+                    yield sent(*map(np.concatenate, zip(*held, strict=True)))
+                    held.clear()
+        if sum(len(x) for x, _ in held):
+            yield sent(*map(np.concatenate, zip(*held, strict=True)))
 
     def match(group: pa.Table) -> pa.Table:
-        sig = np.concatenate([_from_six(x) for x in group.column("hashes").to_pylist()])
-        node = np.concatenate(
-            [np.repeat(np.frombuffer(n, "<u8"), np.frombuffer(t, "<u2")) for n, t in zip(group.column("nodes").to_pylist(), group.column("times").to_pylist(), strict=True)]
-        )
+        columns = (group.column(c).to_pylist() for c in ("hashes", "nodes", "times"))
+        hashes, nodes, times = map(b"".join, columns)
+        sig, node = np.frombuffer(hashes, "<u4"), np.repeat(_from_five(nodes), np.frombuffer(times, np.uint8))
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
@@ -286,13 +306,13 @@ def sharing(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -
     return blocks.groupBy("block").applyInArrow(match, "nodes array<long>").distinct()
 
 
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _five(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+def _from_five(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
@@ -350,7 +370,8 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     known = keys.filter("doc_id is not null and n_shingles > 0")
     once = [F.min(c).alias(c) for c in ("half", "n_shingles", *SKETCH)]
     nodes = written(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *once), "nodes")
-    groups = sharing(docs, keys, words, num, den)
+    alike = nodes.groupBy("half").count().filter("count > 1").select(F.array("half").alias("nodes"))
+    groups = sharing(docs, keys, words, num, den).unionByName(alike)
     groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
     members = groups.select("group", F.explode("nodes").alias("half")).join(nodes.select("half", "node"), "half").select("group", "node").distinct()
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
