@@ -41,8 +41,9 @@ WORDS, NUM, DEN = 4, 85, 100
 #: Hashes that a task sorts at once, and holds before it sends them; sets that a Python worker remembers as filed;
 #: hashes of words it remembers.
 BLOCK_HASHES, HELD_HASHES, REMEMBERED, KNOWN_WORDS = 1_000_000, 2_000_000, 500_000, 500_000
-#: What a node of a needless group, and a pair in it, cost in filed hashes: 300 bytes to 10, and 0.1 to 1 microsecond.
-MEMBER_COST, PAIR_COST = 30.0, 0.1
+#: What a node of a needless group costs in filed hashes (300 bytes to 10), a pair that sketches rule out (0.1 to 1
+#: microsecond), and each shingle of a pair that they can't (two texts travel).
+MEMBER_COST, PAIR_COST, TEXT_COST = 30.0, 0.1, 1.2
 #: Bits by which a set's first key is cut to 40 in filed hashes.
 CUT = np.uint64(24)
 #: Rounds of comparing with one node of a group before all open pairs are compared.
@@ -143,6 +144,9 @@ def allocation(bounds: list[int], counts: dict[int, int], num: int, den: int) ->
         n = counts.get(band, 0) + counts.get(band + 1, 0)
         per = bounds[band] / m  # shingles a segment, of the band's smallest sets
         p0, p1 = np.exp(-per), per * np.exp(-per)
+        large = bounds[band + 1]
+        apart = 32 * LANES * (1 - np.exp(-4 * large / (64 * LANES)))  # bits in which unlike sets' sketches differ
+        pair = PAIR_COST if 0.8 * apart > 2 * large * (den - num) / (den + num) else TEXT_COST * large
         best, cost = 0, np.inf
         for a in range(min(m, 64) + 1):
             mean = (m - a) * p0 + a * (p1 + 2 * p0)
@@ -151,7 +155,7 @@ def allocation(bounds: list[int], counts: dict[int, int], num: int, den: int) ->
                 within += term
                 term *= mean / (k + 1)
             needless = n * max(0.0, 1 - within) * (a + 1)  # members of groups that share an empty segment
-            c = n * a * (per + 1) + MEMBER_COST * needless + PAIR_COST * needless**2 / (2 * m)
+            c = n * a * (per + 1) + MEMBER_COST * needless + pair * needless**2 / (2 * m)
             if c < cost:
                 best, cost = a, c
         out.append(best)
