@@ -46,6 +46,8 @@ BLOCK_HASHES, HELD_HASHES, REMEMBERED, KNOWN_WORDS = 1_000_000, 2_000_000, 500_0
 MEMBER_COST, PAIR_COST, TEXT_COST = 30.0, 0.1, 1.2
 #: Bits by which a set's first key is cut to 40 in filed hashes.
 CUT = np.uint64(24)
+#: Pairs whose texts a task unpacks at a time, and shingles of the sets it remembers between pairs.
+PAIRS_AT_ONCE, KNOWN_SHINGLES = 32, 100_000
 #: Rounds of comparing with one node of a group before all open pairs are compared.
 PIVOT_ROUNDS = 2
 #: Longs of a parity sketch.
@@ -335,17 +337,20 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -
 
         def of(i, text):
             if i not in known:
-                if len(known) >= 64:
+                new = shingle_set(text, words)
+                while known and sum(map(len, known.values())) + len(new) > KNOWN_SHINGLES:
                     known.pop(next(iter(known)))
-                known[i] = shingle_set(text, words)
+                known[i] = new
             return known[i]
 
         for batch in batches:
             keep = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                s, t = of(a, x), of(b, y)
-                same = len(s & t)
-                keep.append(den * same >= num * (len(s) + len(t) - same) and same > 0)
+            for at in range(0, len(batch), PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                    s, t = of(a, x), of(b, y)
+                    same = sum(map(t.__contains__, s))
+                    keep.append(den * same >= num * (len(s) + len(t) - same) and same > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
