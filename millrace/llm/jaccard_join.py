@@ -18,6 +18,8 @@ with the one that shares most are compared first; nodes that links have joined b
 others are compared pair by pair. A pair is compared only if its sizes and parity sketches allow it: a sketch has
 64 * LANES bits, each the parity of the shingles that hash to it, so two sketches differ in no more bits than their
 sets in shingles. That bound is exact, so the components are, and thousands of near copies cost a few comparisons each.
+Sets too large for such a sketch have wider ones, with about as many bits as shingles; only pairs that those allow as well
+have their texts brought together.
 
 Defined results: texts without words have an empty set, are their own component and link with nothing; repeated rows
 link; rows with equal ids are one document; a null id links with nothing and has no component; an empty table gives an
@@ -118,6 +120,25 @@ def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(n, LANES)
 
 
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """Parity sketch of one set, with 64 * LANES bits or the next doubling that reaches its size."""
+    bits = 64 * LANES
+    while bits < len(hashes):
+        bits *= 2
+    at = (mix(hashes ^ _ODD[45]) % U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider is folded, which keeps parities true."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def may_be_similar(a: str, b: str, num: int, den: int) -> Column:
     """Whether the sizes and sketches of two aliased rows allow similarity: |a ^ b| <= (den - num) / (den + num) * (|a| + |b|)."""
     small = F.least(F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles"))
@@ -329,6 +350,43 @@ def shingle_set(text: str | None, words: int) -> set:
     return set(zip(*[w[k:] for k in range(words)], strict=False))
 
 
+def wide_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles and wide of the sets that the narrow sketches are too short for. ``texts``: doc_id, text."""
+
+    def run(batches):
+        for batch in batches:
+            done = 0
+            for part in steps(batch.column("text")):
+                h, o = hashed_sets(part, words)
+                size = np.diff(o)
+                big = np.flatnonzero(size > 64 * LANES)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(done, len(part)).take(pa.array(big)),
+                        pa.array(size[big]),
+                        pa.array([wide_sketch(h[o[d] : o[d + 1]]) for d in big], pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "wide"],
+                )
+                done += len(part)
+
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, wide binary")
+
+
+def sketched_alike(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs``, both with wide sketches, that these allow."""
+
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+            keep = [(den + num) * sketch_distance(x, y) <= (den - num) * (n + m) for n, m, x, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(wide.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("wide").alias("x")), "a")
+    both = one.join(wide.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("wide").alias("y")), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are similar, by their words. ``texts``: doc_id, text."""
 
@@ -390,6 +448,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     members = written(ranked, "members")
     in_groups = members.select("node").distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(in_groups.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
+    wide = written(wide_sketches(texts, words), "wide")
     links, labels, tested = None, in_groups.withColumn("label", F.col("node")), None
     for k in range(1, PIVOT_ROUNDS + 2):
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -397,13 +456,16 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         # an open pair: of one group, not yet in one component
         is_open = (F.col("x.group") == F.col("y.group")) & (F.col("y.rank") > F.col("x.rank")) & (F.col("x.label") != F.col("y.label"))
         pairs = first.alias("x").join(now.alias("y"), is_open & may_be_similar("x", "y", num, den))
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        large = F.least("x.n_shingles", "y.n_shingles") > 64 * LANES
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), large.alias("large")).distinct()
+        pairs = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.limit(1).count() == 0:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = written(linked(pairs, texts, words, num, den), "links")
+        allowed = written(sketched_alike(pairs.filter("large").select("a", "b"), wide, num, den), "allowed")
+        likely = pairs.filter("not large").select("a", "b").unionByName(allowed)
+        new = written(linked(likely, texts, words, num, den), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
     rep = nodes.select("node", "key", "copies").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"), "copies")

@@ -197,6 +197,27 @@ def test_sketches_never_differ_by_more_than_the_sets():
         assert sum(int(x).bit_count() for x in s[0] ^ s[1]) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_wide_sketches_are_a_bound_and_tell_large_sets_apart():
+    rng = np.random.default_rng(3)
+    whole = rng.integers(0, 2**63, 9000, np.uint64)
+    for x, y in ((whole[:3000], whole[300:5000]), (whole[:3000], whole[3000:6500]), (whole[:600], whole[10:600])):
+        far = jaccard_join.sketch_distance(jaccard_join.wide_sketch(x), jaccard_join.wide_sketch(y))
+        assert far <= len(set(x.tolist()) ^ set(y.tolist()))
+    assert 9 * jaccard_join.sketch_distance(jaccard_join.wide_sketch(whole[:3000]), jaccard_join.wide_sketch(whole[3000:6500])) > 6500
+    assert jaccard_join.sketch_distance(jaccard_join.wide_sketch(whole), jaccard_join.wide_sketch(whole)) == 0
+
+
+def test_large_near_copies_join(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 2500)]
+    near, far = [*base], [f"w{i}" for i in rng.integers(0, 5000, 2500)]
+    for i in range(0, 2500, 100):
+        near[i] = "other"
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in ((1, base), (2, near), (3, far), (4, base + far[:50]), (5, far[:1500] + base[:1000]))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_components(docs, 5, 80, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+
+
 def test_mix_keeps_to_targets(spark):
     rows = curriculum.quotas(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
     for target, size in {(r.target, r.source_size) for r in rows}:
