@@ -35,12 +35,12 @@ BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not
 STEP_BYTES = 8_000_000
 
 
-def steps(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of about STEP_BYTES; a longer text is a slice of its own."""
+def steps(texts: pa.Array, size: int = STEP_BYTES) -> Iterator[pa.Array]:
+    """Slices of about ``size`` bytes; a longer text is a slice of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, "right")))
         yield texts.slice(at, to - at)
         at = to
 

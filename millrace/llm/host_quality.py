@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import SPACES, join_per_key, written
+from millrace.llm.encode import steps
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = "#*$%&|<>"
@@ -74,7 +75,8 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 
 @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def measured(text: pa.Array) -> pa.Array:
-    columns = zip(*map(measure_text, text.to_pylist()), strict=True) if len(text) else [[]] * len(MEASURES)
+    rows = [measure_text(t) for part in steps(text) for t in part.to_pylist()]  # a few texts unpacked at a time
+    columns = zip(*rows, strict=True) if rows else [[]] * len(MEASURES)
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(_STRUCT))
 
 
