@@ -94,6 +94,10 @@ class TextEncoder:
                 return b"".join(self.ids_of_one(x[x.startswith(" ") :], " " * x.startswith(" ")) for x in parts)
         return array("I", self.tokenizer.encode(blank + piece, add_special_tokens=False).ids).tobytes()
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.unusual.clear()
+
     def ids_of_one(self, piece: str, blank: str) -> bytes:
         known = self.known if blank == self.usual else self.unusual
         ids = known.get(piece)
@@ -106,8 +110,7 @@ class TextEncoder:
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as it usually stands, encoded by itself: little-endian unsigned 32-bit integers."""
         if len(self.known) + len(self.unusual) > KEPT_PIECES:
-            self.known.clear()
-            self.unusual.clear()
+            self.forget()
         out = list(map(self.known.get, pieces))
         one, usual = self.ids_of_one, self.usual
         for i, ids in enumerate(out):

@@ -208,6 +208,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW
                     yield from block()
         if held:
             yield from block()
+        make.forget()  # the Python worker goes on to other stages' tasks
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
