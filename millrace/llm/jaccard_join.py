@@ -461,7 +461,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         pairs = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.limit(1).count() == 0:
-            break
+            continue  # nodes of later ranks may still be alike: only the last round compares all open pairs
         tested = pairs if tested is None else tested.unionByName(pairs)
         allowed = written(sketched_alike(pairs.filter("large").select("a", "b"), wide, num, den), "allowed")
         likely = pairs.filter("not large").select("a", "b").unionByName(allowed)

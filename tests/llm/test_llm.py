@@ -7,6 +7,7 @@ from math import log10
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -218,6 +219,24 @@ def test_large_near_copies_join(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
 
 
+def test_alike_nodes_behind_unlike_ones_join(spark):
+    """All sets share only their empty first segment; its two leading nodes are unlike all others."""
+    rng = np.random.default_rng(5)
+
+    def in_second_half(words, n):
+        while len(words) < n:
+            w = [*words, f"w{rng.integers(10**6)}"]
+            if len(w) < 4 or all(int(h) >> 63 for h in jaccard_join.hashed_sets(pa.array([" ".join(w)]), 4)[0]):
+                words = w
+        return words
+
+    first, second, third = ([*in_second_half([], 9)] for _ in range(3))
+    rows = [(1, first), (2, second), (3, third), (4, in_second_half(third, 10))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_mix_keeps_to_targets(spark):
     rows = curriculum.quotas(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
     for target, size in {(r.target, r.source_size) for r in rows}:
