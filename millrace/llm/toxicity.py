@@ -4,9 +4,11 @@ A lower-cased word, without the marks around it, is the sum of two rows of two h
 text, the largest response of each is kept, and a logistic unit reads those. Embeddings start at zero but for their
 first component, which starts at the log odds of the class in the documents that hold a row's words, where at least
 SUPPORT do: the largest responses then fall on telling words from the first step on, and a word that training has not
-seen adds nothing. The classifier is fitted on at most SAMPLE labelled documents of each class (those
-whose md5 of the id comes first) with Adam; a fifth of them is set aside to scale the scores to the classes' natural
-shares and to choose, per language, the threshold of ``rejected``. The model is 8 MB and goes to tasks as it is.
+seen adds nothing. The classifier is fitted on at most SAMPLE labelled documents of each class (of those with at most
+SAMPLE_CHARS characters, those whose md5 of the id comes first) with Adam; a fifth of them is set aside. Then Spark
+scores all labelled documents that training has not read, whole texts of any length, and counts of those scores scale
+them to the classes' natural shares and choose, per language, the threshold of ``rejected``. The model is 8 MB and goes
+to tasks as it is.
 
 Defined results: null and empty texts have no words and get the score of an empty text; a document with several labels
 is toxic if one of them says so, null labels don't count; without labels of both classes every score is 0; repeated
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import fold, table
+from millrace.llm.common import fold, table, written
 from millrace.llm.encode import steps
 
 TABLE_BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
@@ -32,6 +34,8 @@ SUPPORT = 3  # documents that a row of the tables needs to start elsewhere than
 SAMPLE, SAMPLE_CHARS = 1500, 20_000  # documents of each class, and the longest one that training reads
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.02, 7
 DECISION, LOWEST, HIGHEST, ENOUGH = 0.7, 0.6, 0.9, 40  # thresholds; rows that a language needs for its own
+OPTIONS = np.linspace(LOWEST, HIGHEST, 31)
+BINS = 100  # of a unit of the logit, for the calibration's sums
 SCORED_BYTES = 1_000_000  # text scored at a time: the filters' responses take about 30 times that
 GAP = max(WIDTHS) - 1
 MARKS = ".,;:!?\"'()[]|*"
@@ -179,10 +183,8 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     return model
 
 
-def calibrate(model: Model, texts: list[str], labels: np.ndarray, weights: np.ndarray, langs: list[str | None]) -> None:
-    """Fit slope and shift of the logit by weighted logistic regression, then thresholds by language."""
-    z = logits(model, texts)
-    z = np.clip(z, -12, 12)
+def calibrate(model: Model, z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+    """Fit slope and shift of the logit ``z`` by weighted logistic regression."""
     goal = np.where(labels == 1, 0.995, 0.005)
     ab = np.array([1.0, 0.0])
     x = np.stack([z, np.ones_like(z)], 1)
@@ -199,30 +201,58 @@ def calibrate(model: Model, texts: list[str], labels: np.ndarray, weights: np.nd
             move = move / 2
         ab = ab - move
     model.slope, model.shift = max(0.1, float(ab[0])), float(ab[1])
-    s = sigmoid(model.slope * z + model.shift)
 
-    def threshold(which: np.ndarray) -> float:
-        options = np.linspace(LOWEST, HIGHEST, 31)
-        f1 = [2 * (weights * (s >= t) * labels)[which].sum() / max(1e-9, ((weights * (s >= t)) + weights * labels)[which].sum()) for t in options]
-        best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
-        return float(options[best[np.abs(options[best] - DECISION).argmin()]])
 
-    model.fallback = threshold(np.ones(len(s), bool))
-    for lang in {x for x in langs if x is not None}:
-        which = np.array([x == lang for x in langs])
-        if which.sum() >= ENOUGH and 0 < labels[which].sum() < which.sum():
-            model.thresholds[lang] = threshold(which)
+def threshold(reached: np.ndarray, natural: np.ndarray) -> float:
+    """The option of best F1. ``reached``: rows of class 0 and 1 by how many options their score reaches (2 x 32)."""
+    over = natural[:, None] * reached[:, ::-1].cumsum(1)[:, ::-1][:, 1:]  # weight of the rows at or over each option
+    f1 = 2 * over[1] / np.maximum(1e-9, over.sum(0) + natural[1] * reached[1].sum())
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    return float(OPTIONS[best[np.abs(OPTIONS[best] - DECISION).argmin()]])
+
+
+def set_thresholds(model: Model, scored: DataFrame, natural: np.ndarray) -> None:
+    """Thresholds by language and for the rest, from all rows of ``scored`` (lang, toxic, z)."""
+    cuts = (np.log(OPTIONS / (1 - OPTIONS)) - model.shift) / model.slope
+    reached = sum(((F.col("z") >= float(c)).cast("int") for c in cuts), F.lit(0))
+    counts = scored.groupBy("lang", "toxic", reached.alias("reached")).count()
+    total = np.zeros((2, len(OPTIONS) + 1))
+    for r in counts.groupBy("toxic", "reached").agg(F.sum("count").alias("n")).collect():
+        total[r["toxic"], r["reached"]] = r["n"]
+    model.fallback = threshold(total, natural)
+    # only languages with enough rows and both classes come to the driver, with 64 counts each at most
+    rows = counts.filter("lang is not null").groupBy("lang").agg(
+        F.collect_list(F.struct("toxic", "reached", "count")).alias("counts"), F.sum("count").alias("n"), F.countDistinct("toxic").alias("classes")
+    )
+    for r in rows.filter((F.col("n") >= ENOUGH) & (F.col("classes") == 2)).collect():
+        own = np.zeros_like(total)
+        for toxic, at, n in r["counts"]:
+            own[toxic, at] = n
+        model.thresholds[r["lang"]] = threshold(own, natural)
+
+
+def with_logits(docs: DataFrame, model: Model) -> DataFrame:
+    @F.arrow_udf(T.DoubleType())
+    def logit(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        for part in steps(texts, SCORED_BYTES):
+            out.append(np.clip(logits(model, part.to_pylist()), -12, 12))
+        return pa.array(np.concatenate(out).astype(np.float64))
+
+    return docs.withColumn("z", logit(F.col("text")))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on the sample of labelled documents whose id's crc32 is not 1 modulo 3."""
+    """Train on the sample, and calibrate on all other labelled documents, whose id's crc32 is not 1 modulo 3."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) % 3 != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    short = docs.filter(F.length("text") <= SAMPLE_CHARS)
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
-    picked = known.filter("toxic = 1").orderBy(*order).limit(SAMPLE).unionByName(known.filter("toxic = 0").orderBy(*order).limit(SAMPLE))
+    usable = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    picked = usable.filter("toxic = 1").orderBy(*order).limit(SAMPLE).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(SAMPLE))
     # at most 2 * SAMPLE ids: a bounded broadcast
-    rows = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").collect()
+    rows = short.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").collect()
     rows = sorted({(r["doc_id"], r["text"], r["lang"] or "", r["toxic"]) for r in rows})
     y = np.array([r[3] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
@@ -231,10 +261,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if len(set(y[aside].tolist())) < 2 or len(set(y[~aside].tolist())) < 2:
         aside = np.zeros(len(rows), bool)
     model = train([r[1] for r, a in zip(rows, aside, strict=True) if not a], y[~aside])
-    check = aside if aside.any() else ~aside
-    natural = np.array([shares[int(v)] / max(1, (y[check] == v).sum()) for v in y[check]])
-    natural *= check.sum() / natural.sum()
-    calibrate(model, [r[1] for r, a in zip(rows, check, strict=True) if a], y[check], natural, [r[2] for r, a in zip(rows, check, strict=True) if a])
+    # texts stay where they are: each is scored in the scan, and only ids and logits are joined with the labels
+    mine = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) % 3 != 1))
+    scored = with_logits(mine.select("doc_id", "lang", "text"), model).select("doc_id", "lang", F.xxhash64("text").alias("text"), "z").distinct()
+    scored = written(scored.join(known, "doc_id"), "scored")
+    read = scored.sparkSession.createDataFrame([(i,) for i in sorted({r[0] for r, a in zip(rows, aside, strict=True) if not a})], scored.select("doc_id").schema)
+    unread = scored.join(F.broadcast(read), "doc_id", "left_anti")
+    check = unread if unread.select("toxic").distinct().count() == 2 else scored
+    bins = check.groupBy("toxic", F.round(F.col("z") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.avg("z").alias("z")).collect()
+    label, n, z = (np.array([r[c] for r in bins], np.float64) for c in ("toxic", "n", "z"))
+    sums = np.array([n[label == k].sum() for k in range(2)])
+    natural = np.array([shares[k] for k in range(2)]) / sums
+    natural *= sums.sum() / (natural * sums).sum()
+    calibrate(model, z, label, n * natural[label.astype(int)])
+    set_thresholds(model, check, natural)
     return model
 
 

@@ -263,3 +263,20 @@ def test_constant_model_without_labels(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     none = spark.read.parquet(f"{odd}/labels.parquet").limit(0)
     assert toxicity.keep_clean(docs, none).count() == docs.count()
+
+
+def test_calibration_reads_all_labelled_rows(spark, monkeypatch):
+    """Languages that a sample of 40 a class can't judge, one of them only of texts too long for it, get their thresholds."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400)
+    rng = np.random.default_rng(6)
+
+    def text(i, toxic):
+        words = [f"w{k}" for k in rng.integers(0, 60, 300 if i % 8 == 1 else 30)]
+        return " ".join([*words, *(["vile"] * 3 if toxic else [])])
+
+    rows = [(i, text(i, i % 3 == 0), {0: "fr", 1: "long"}.get(i % 8, "en")) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(model.thresholds) == {"en", "fr", "long"}
