@@ -14,9 +14,12 @@ def in_file_order() -> Column:
     return F.struct("ev_at", "line_no")
 
 
-def window_runs(trail: DataFrame, start: Column) -> DataFrame:
-    """All events of the runs that have any event at or after ``start``."""
-    return trail.join(trail.filter(F.col("ev_at") >= start).select("run_id").distinct(), "run_id", "left_semi")
+def window_runs(trail: DataFrame, start: Column, manifests: DataFrame | None = None) -> DataFrame:
+    """All events of the runs that have any event, or were created by their manifest, at or after ``start``."""
+    inside = trail.filter(F.col("ev_at") >= start).select("run_id")
+    if manifests is not None:
+        inside = inside.unionByName(manifests.filter(F.try_to_timestamp(F.col("created_at").cast("string")) >= start).select("run_id"))
+    return trail.join(inside.distinct(), "run_id", "left_semi")
 
 
 def run_status(trail: DataFrame, now: Column, grace_s: int | None = None) -> DataFrame:
@@ -70,10 +73,9 @@ def human_share(trail: DataFrame) -> DataFrame:
 
 
 def step_rates(trail: DataFrame) -> DataFrame:
-    """By node: passes, fails and the success rate (null without either); a halt with a code counts as a failed step."""
-    rows = trail.groupBy(F.coalesce("node", F.lit("?")).alias("node")).agg(
-        F.count_if(F.col("event") == "step-done").alias("passes"), F.count_if((F.col("event") == "run-halt") & (F.col("exit_code") > 0)).alias("fails")
-    )
+    """By node: passes, fails and the success rate (null without either); a retry fails, and so does a step-fail with ``reasons``."""
+    failed = (F.col("event") == "retry") | ((F.col("event") == "step-fail") & (F.size("reasons") > 0))
+    rows = trail.groupBy(F.coalesce("node", F.lit("?")).alias("node")).agg(F.count_if(F.col("event") == "step-done").alias("passes"), F.count_if(failed).alias("fails"))
     return rows.withColumn("rate", F.round(F.try_divide(F.col("passes"), F.col("passes") + F.col("fails")), 6))
 
 
@@ -98,10 +100,14 @@ def blocked_snapshot(trail: DataFrame, now: Column) -> DataFrame:
 
 
 def circuit(trail: DataFrame, threshold: int = 3) -> DataFrame:
-    """Per run: failures since the last success (waiting halts change nothing) and whether the circuit is open."""
+    """Per run: dark failures since the last success (waiting halts and lit failures change nothing) and whether the circuit is open.
+
+    ``dark`` tells dark events; a trail without that column is of dark runs only, and null is lit.
+    """
+    dark = F.coalesce("dark", F.lit(False)) if "dark" in trail.columns else F.lit(True)
     w = Window.partitionBy("run_id").orderBy("ev_at", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     ends = trail.filter(F.col("event").isin(*TERMINAL)).withColumn("island", F.count_if(F.col("event") == "run-done").over(w))
-    failed = (F.col("event") == "run-halt") & ~F.coalesce(F.col("exit_code"), F.lit(1)).isin(6, 8, 9)
+    failed = (F.col("event") == "run-halt") & ~F.coalesce(F.col("exit_code"), F.lit(1)).isin(6, 8, 9) & dark
     islands = ends.groupBy("run_id", "island").agg(F.count_if(failed).alias("n"))
     rows = islands.groupBy("run_id").agg(F.max_by("n", "island").alias("failures"))
     return rows.withColumn("is_open", F.col("failures") >= threshold)

@@ -71,7 +71,7 @@ def throughput_by_pipeline(spark, d):
 @_query("trail", """SELECT *, round(passes / nullif(passes + fails, 0), 6) AS rate FROM (SELECT coalesce(node, '?') AS node,
   count(*) FILTER (event = 'step-done') AS passes, count(*) FILTER (event = 'run-halt' AND exit_code > 0) AS fails FROM trail GROUP BY 1)""")
 def step_success(spark, d):
-    return folds.step_rates(V.trail(spark, d))
+    return folds.step_rates(V.step_trail(spark, d))
 
 
 _GATES = """(SELECT * FROM (SELECT run_id, node, (epoch_us(max(ev_at) FILTER (event = 'gate-answered')) - epoch_us(min(ev_at) FILTER (event = 'gate-pending'))) / 1e6 AS s

@@ -33,6 +33,7 @@ def read_trail(spark: SparkSession, path: str) -> DataFrame:
         text("event").alias("event"),
         text("node").alias("node"),
         F.try_variant_get("v", "$.data", "variant").alias("data"),
+        F.coalesce(F.try_variant_get("v", "$.data.validator_reasons", "array<string>"), F.array_compact(F.array(F.nullif(text("data.validator_reasons"), F.lit(""))))).alias("reasons"),
     )
 
 

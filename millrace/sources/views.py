@@ -40,6 +40,13 @@ def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def step_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trail with ``reasons``; a halt with a code stands for a step-fail with that reason. Its SQL twin is that of ``trail``."""
+    failed = (F.col("event") == "run-halt") & (F.col("exit_code") > 0)
+    rows = trail(spark, sf_dir).withColumn("reasons", F.when(failed, F.array(F.concat(F.lit("exit "), F.col("exit_code").cast("string")))))
+    return rows.withColumn("event", F.when(failed, "step-fail").otherwise(F.col("event")))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, pipeline, created_at, status, pinned."""
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "halted").otherwise("running")

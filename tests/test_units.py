@@ -111,6 +111,35 @@ def test_circuit_counts_since_the_last_success(spark):
     assert (r.failures, r.is_open) == (3, True)
 
 
+def test_window_takes_runs_by_their_manifest(spark):
+    t = trail(spark, [(1, 0, "x", None, None, None), (2, 0, "x", None, None, None), (3, 0, "x", None, None, None)])
+    m = spark.createDataFrame([(1, "2026-07-03T10:01:00Z"), (2, "2026-07-03T09:00:00Z"), (3, "soon")], "run_id long, created_at string")
+    assert [r.run_id for r in folds.window_runs(t, F.lit(T0 + dt.timedelta(seconds=50)).cast("timestamp_ntz"), m).collect()] == [1]
+
+
+def test_lit_failures_leave_the_circuit_closed(spark):
+    t = trail(spark, [(1, k, "run-halt", None, 1, None) for k in range(5)])
+    r = folds.circuit(t.withColumn("dark", F.col("line_no") % 2 == 0)).first()
+    assert r.failures == t.filter("line_no % 2 = 0").count() < 5
+    assert not folds.circuit(t.withColumn("dark", F.lit(False))).first().is_open
+
+
+def test_retries_and_reasoned_step_failures_are_fails(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    lines = [
+        '{"event": "step-done", "node": "a"}',
+        '{"event": "retry", "node": "a"}',
+        '{"event": "step-fail", "node": "a", "data": {"validator_reasons": ["x", "y"]}}',
+        '{"event": "step-fail", "node": "a", "data": {"validator_reasons": "x"}}',
+        '{"event": "step-fail", "node": "a", "data": {"validator_reasons": []}}',
+        '{"event": "step-fail", "node": "a"}',
+        '{"event": "run-halt", "node": "a", "data": {"code": 3}}',
+    ]
+    (tmp_path / "r1/trail.jsonl").write_text("\n".join(lines))
+    r = folds.step_rates(files.read_trail(spark, f"{tmp_path}/*/trail.jsonl")).first()
+    assert (r.passes, r.fails, r.rate) == (1, 3, 0.25)
+
+
 def test_admission_in_order_of_its_rules(spark):
     rows = [(1, "a", "5", "inbox"), (2, "a", "5", "done"), (3, "b", "7", "inbox"), (4, "b", "6", "claim"), (5, "c", "v1", "inbox"), (6, "c", "9", "done"), (7, "D!", "1", "inbox")]
     items = spark.createDataFrame(rows, "item_no long, identity string, rev string, lane string")
