@@ -108,8 +108,9 @@ def quotas(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents in training order, as often as the mix takes them; a cut copy counts if half of it is taken."""
-    sized = docs.withColumn("size", n_words(text))
-    light = written(sized.select(F.monotonically_increasing_id().alias("_row"), doc_id, source, "size"), "sizes")
+    # row numbers depend on how files are cut, so they are made once and written with the documents
+    whole = written(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", n_words(text)), "numbered")
+    light = whole.select("_row", doc_id, source, F.col("_size").alias("size"))
     copies = (
         assigned(light, doc_id, source)
         .withColumn("_epoch", F.explode(F.array(*[F.lit(e) for e in range(EPOCHS)])))
@@ -117,7 +118,6 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
         .filter((F.col("_words") > 0) & (2 * F.col("_words") >= F.col("size")))
         .select("_row", position(F.col("_epoch"), F.col("_words")).alias("_position"), "_epoch")
     )
-    whole = docs.withColumn("_row", F.monotonically_increasing_id())
     return whole.join(copies, "_row").repartitionByRange("_position", "_row").sortWithinPartitions("_position", "_row", "_epoch").select(docs.columns)
 
 

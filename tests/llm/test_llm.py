@@ -280,3 +280,15 @@ def test_calibration_reads_all_labelled_rows(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, labels)
     assert set(model.thresholds) == {"en", "fr", "long"}
+
+
+def test_mix_keeps_its_rows_when_files_are_cut_anew(spark, tmp_path):
+    spark.range(400).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat(concat('w', id, ' '), cast(1 + id % 50 AS int)) AS text").repartition(40).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = Counter(r.doc_id for r in curriculum.mixed(docs).collect())
+    mixed = curriculum.mixed(docs)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # as if cores had come or gone
+    try:
+        assert Counter(r.doc_id for r in mixed.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
