@@ -432,7 +432,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id."""
+    """One row per document: doc_id, n_shingles and component_id. Links are not returned: pairs already in one component are not compared."""
     keys = written(keyed_sets(docs, words), "sets")
     known = keys.filter("doc_id is not null and n_shingles > 0")
     once = [F.min(c).alias(c) for c in ("half", "n_shingles", *SKETCH)]
