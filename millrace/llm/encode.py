@@ -2,7 +2,8 @@
 
 The pre-tokenizers of the public vocabularies never join what a blank parts, so a text's ids are those of its pieces
 in order. Arrow cuts a batch of texts and finds the distinct pieces; the library is asked for each piece's ids once
-and a bounded number of answers is kept. A vocabulary with any other pre-tokenizer gets its texts whole.
+and a bounded number of answers is kept. Texts that hold one of the vocabulary's own control strings, and all texts for
+a vocabulary with any other pre-tokenizer, go to the library whole.
 """
 
 from __future__ import annotations
@@ -51,12 +52,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.end_id = end_id
         self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.control = [t["content"] for t in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         parts = pre.get("pretokenizers") or [{}]
         self.rule = "whole"
@@ -83,9 +84,9 @@ class TextEncoder:
         """The ids of a piece that has not been seen, with the blank (or nothing) before it."""
         core = piece.rstrip(TAIL)
         if core.isalpha() and self.rule != "whole":
-            if len(core) < len(piece):
-                return self.ids_of_one(core, blank) + self.ids_of_one(piece[len(core) :], "")
             word = self._letters(core)
+            if word is not None and len(core) < len(piece):
+                return self.ids_of_one(core, blank) + self.ids_of_one(piece[len(core) :], "")
             if word is not None:
                 return array("I", [t.id for t in self.model.tokenize("\u0120" + word if blank else word)]).tobytes()
         if self.rule == "blank before" and _WHITE.search(piece):
@@ -134,7 +135,9 @@ class TextEncoder:
         ids = self.ids_of(pieces)
         if self.rule == "blank before" and n:
             codes = self._with_blanks(texts, bounds, codes, coded.dictionary, pieces, ids)
-        codes = np.insert(codes, bounds[1:], len(ids))
+        if self.control and n:
+            codes = self._with_control(texts, bounds, codes, ids)
+        codes = np.insert(codes.astype(np.int64), bounds[1:], len(ids))
         ids.append(np.uint32(self.end_id).tobytes())
         length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length, dtype=np.int64) - length
@@ -144,6 +147,20 @@ class TextEncoder:
         out += np.arange(total[-1])
         return flat[out], total[bounds + np.arange(n + 1)]
 
+    def _with_control(self, texts, bounds, codes, ids) -> np.ndarray:
+        """A text that holds a control string of the vocabulary is one piece, which the library encodes."""
+        holds = [pc.match_substring(texts, c).to_numpy(zero_copy_only=False) for c in self.control]
+        some = np.flatnonzero(np.logical_or.reduce(holds))
+        if len(some):
+            codes = codes.copy()
+            nothing = len(ids)
+            ids.append(b"")
+        for d in some.tolist():
+            codes[bounds[d] : bounds[d + 1]] = nothing
+            codes[bounds[d]] = len(ids)
+            ids.append(array("I", self.tokenizer.encode(texts[d].as_py(), add_special_tokens=False).ids).tobytes())
+        return codes
+
     def _with_blanks(self, texts, bounds, codes, distinct, pieces, ids) -> np.ndarray:
         """First pieces have no blank before them; a text in which a blank stands inside white space is one piece."""
         empty = pc.equal(distinct, "")
