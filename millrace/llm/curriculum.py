@@ -6,14 +6,17 @@ the sources in ascending order of EPOCHS * words / weight, the stopped ones are
 
 Positions: a source's weight follows a schedule over training time 0 to 1, piecewise linear. Its integral, scaled to
 the target, is the source's cumulative demand in words. The documents of a source stand one behind the other, by a
-hash of their id, epoch after epoch; the demand is inverted at the middle of each copy and gives the copy's position.
+hash of their id, epoch after epoch; the demand is inverted at the middle of each copy and gives the copy's time. Its
+position is the whole mix's cumulative demand by that time, in words: equal stretches of position ask for equally many
+words, and the sources' shares in them follow their schedules. Documents are range-sorted by position.
 
 Running totals within a source go over BUCKETS ranges of the hash, so a source with a third of all documents is dealt
-to as many tasks as any other. The table of sources is small: a mix names a weight for every one.
+to as many tasks as any other. The table of sources, a row for each, is put in order in one task: a mix names a weight
+for every source, and more than MAX_SOURCES of them are refused with an error.
 
-Defined results: a null text has no words and is taken 0 times, like any document without words; null is a source;
-rows with equal ids are told apart by size and are interchangeable beyond; an empty table gives an empty result; other
-columns pass through ``mixed`` untouched.
+Defined results: a null text has no words and is taken 0 times, like any document without words, and has no position;
+null is a source; rows with equal ids are told apart by size and text; an empty table gives an empty result; other
+columns, whatever their names, pass through ``mixed`` untouched.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ WEIGHTS, EPOCHS = (5, 2, 1), 3
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 #: The hash of an id is md5; its first three digits are the bucket.
 BUCKETS = 16**3
+MAX_SOURCES = 1_000_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -36,7 +40,9 @@ def n_words(text: str = "text") -> Column:
 
 def targets(sized: DataFrame, source: str = "source") -> DataFrame:
     """One row per source: source_size, weight class and target."""
-    sums = sized.groupBy(source).agg(F.sum("size").alias("source_size"))
+    sums = written(sized.groupBy(source).agg(F.sum("size").alias("source_size")), "sources")
+    if sums.count() > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources: name fewer, or group them first")
     ranked = sums.withColumn("_class", (F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1) % len(WEIGHTS))
     weighed = ranked.withColumn("_w", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("_class") + 1).cast("long"))
     cap = F.col("source_size") * EPOCHS
@@ -67,18 +73,31 @@ def inverted(share: Column, schedule: tuple[tuple[float, float], ...]) -> Column
     return F.least(F.lit(schedule[-1][0]), F.greatest(F.lit(schedule[0][0]), out))
 
 
+def integral(time: Column, schedule: tuple[tuple[float, float], ...]) -> Column:
+    """The share of the schedule's integral that is reached by ``time``: the inverse of ``inverted``."""
+    whole = sum((b[1] + a[1]) * (b[0] - a[0]) / 2 for a, b in zip(schedule, schedule[1:], strict=False))
+    out = F.lit(0.0)
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:], strict=False):
+        t = F.least(F.lit(t1 - t0), F.greatest(F.lit(0.0), time - F.lit(t0)))
+        out = out + t * (F.lit(w0) + t * F.lit((w1 - w0) / (t1 - t0) / 2))
+    return out / F.lit(whole)
+
+
 def assigned(sized: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``sized`` (id, source, size) with source_size, target, ``_at`` (words of the source before it) and class."""
+    """``sized`` (id, source, size, tie) with source_size, target, class, demands and ``_at``, the words before it."""
     keyed = sized.withColumn("_h", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")))
     keyed = keyed.withColumn("_b", F.substring("_h", 1, 3)).withColumn("_null", F.col(source).isNull()).withColumn("_s", F.coalesce(source, F.lit("")))
     key = ["_null", "_s", "_b"]
     sums = keyed.groupBy(*key).agg(F.sum("size").alias("_n"))
     ahead = Window.partitionBy("_null", "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    goal = targets(sized, source).withColumn("_null", F.col(source).isNull()).withColumn("_s", F.coalesce(source, F.lit(""))).drop(source)
+    goal = written(targets(sized, source), "targets")
+    # what the sources of each class ask for in all: one number a schedule
+    asked = goal.agg(*[F.coalesce(F.sum(F.when(F.col("_class") == k, F.col("target"))), F.lit(0.0)).alias(f"_d{k}") for k in range(len(SCHEDULES))])
+    goal = goal.join(F.broadcast(asked)).withColumn("_null", F.col(source).isNull()).withColumn("_s", F.coalesce(source, F.lit(""))).drop(source)
     bases = sums.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n").join(goal, ["_null", "_s"])
-    within = Window.partitionBy(*key).orderBy("_h", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*key).orderBy("_h", doc_id, "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.join(bases, key).withColumn("_at", F.col("_before") + F.col("_in")).drop("_before", "_in", "_null", "_s", "_b")
+    return placed.join(bases, key).withColumn("_at", F.col("_before") + F.col("_in")).drop("_before", "_in", "_null", "_s", "_b", "tie")
 
 
 def words_of_epoch(epoch: Column) -> Column:
@@ -88,41 +107,42 @@ def words_of_epoch(epoch: Column) -> Column:
 
 
 def position(epoch: Column, words: Column) -> Column:
-    """Training position, 0 to 1, of a document's copy."""
+    """Training position, in words of the whole mix, of a document's copy."""
     share = (epoch * F.col("source_size") + F.col("_at") + words / F.lit(2.0)) / F.col("target")
-    out = inverted(share, SCHEDULES[-1])
+    time = inverted(share, SCHEDULES[-1])
     for k, schedule in enumerate(SCHEDULES[:-1]):
-        out = F.when(F.col("_class") == k, inverted(share, schedule)).otherwise(out)
-    return out
+        time = F.when(F.col("_class") == k, inverted(share, schedule)).otherwise(time)
+    return sum((F.col(f"_d{k}") * integral(time, schedule) for k, schedule in enumerate(SCHEDULES)), F.lit(0.0))
 
 
 def quotas(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per document: id, size, source_size, target, taken and the position of its first copy (null: none)."""
-    sized = written(docs.select(doc_id, source, n_words(text).alias("size")), "sizes")
+    sized = written(docs.select(doc_id, source, n_words(text).alias("size"), F.xxhash64(text).alias("tie")), "sizes")
     rows = assigned(sized, doc_id, source)
     taken = sum((words_of_epoch(F.lit(e)) for e in range(EPOCHS)), F.lit(0))
     first = words_of_epoch(F.lit(0))
-    out = rows.withColumn("taken", taken.cast("long")).withColumn("position", F.when(first > 0, position(F.lit(0), first)))
+    out = rows.withColumn("taken", taken.cast("long")).withColumn("position", F.when(first > 0, F.round(position(F.lit(0), first), 3)))
     return out.select(doc_id, "size", "source_size", "target", "taken", "position").repartitionByRange("position", doc_id).sortWithinPartitions("position", doc_id)
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents in training order, as often as the mix takes them; a cut copy counts if half of it is taken."""
     # row numbers depend on how files are cut, so they are made once and written with the documents
-    whole = written(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", n_words(text)), "numbered")
-    light = whole.select("_row", doc_id, source, F.col("_size").alias("size"))
+    keys = [F.col(doc_id).alias("_id"), F.col(source).alias("_source"), n_words(text).alias("size"), F.xxhash64(text).alias("tie")]
+    whole = written(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row"), *keys), "numbered")
     copies = (
-        assigned(light, doc_id, source)
+        assigned(whole.select("_row", "_id", "_source", "size", "tie"), "_id", "_source")
         .withColumn("_epoch", F.explode(F.array(*[F.lit(e) for e in range(EPOCHS)])))
         .withColumn("_words", words_of_epoch(F.col("_epoch")))
         .filter((F.col("_words") > 0) & (2 * F.col("_words") >= F.col("size")))
         .select("_row", position(F.col("_epoch"), F.col("_words")).alias("_position"), "_epoch")
     )
-    return whole.join(copies, "_row").repartitionByRange("_position", "_row").sortWithinPartitions("_position", "_row", "_epoch").select(docs.columns)
+    ordered = whole.select("_doc", "_row", "_id", "tie").join(copies, "_row").repartitionByRange("_position", "_id", "tie")
+    return ordered.sortWithinPartitions("_position", "_id", "tie", "_epoch").select("_doc.*")
 
 
 def op4_curriculum(spark, sf_dir):
-    return quotas(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return quotas(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 ORACLE_SQL = rf"""
@@ -132,11 +152,17 @@ w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY so
 l AS (SELECT *, ((SELECT sum(size) FROM d) - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 f AS (SELECT level FROM l ORDER BY (w * level > cap), cap / w, source ASC NULLS LAST LIMIT 1),
-t AS (SELECT source, source_size, least(cap::DOUBLE, w * (SELECT level FROM f)) AS target FROM l),
-p AS (SELECT d.doc_id, size, source_size, target,
+t AS (SELECT source, source_size, w, least(cap::DOUBLE, w * (SELECT level FROM f)) AS target FROM l),
+q AS (SELECT coalesce(sum(target) FILTER (w = 5), 0) AS d0, coalesce(sum(target) FILTER (w = 2), 0) AS d1, coalesce(sum(target) FILTER (w = 1), 0) AS d2 FROM t),
+p AS (SELECT d.doc_id, size, source_size, target, w,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - before)) AS first FROM p),
+-- the schedules are straight lines a + b x, with integral a x + b x x / 2 (of 1 in all), which a root inverts
+u AS (SELECT *, CASE w WHEN 5 THEN 1.5::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE w WHEN 5 THEN -1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS b, (before + first / 2) / target AS share FROM o),
+x AS (SELECT *, CASE WHEN b = 0 THEN share ELSE (sqrt(greatest(0, a * a + 2 * b * share)) - a) / b END AS x FROM u)
 SELECT doc_id, size, source_size, target,
-  ({" + ".join(f"greatest(0, least(size, floor(target)::BIGINT - {e} * source_size - before))" for e in range(EPOCHS))})::BIGINT AS taken
-FROM p
+  ({" + ".join(f"greatest(0, least(size, floor(target)::BIGINT - {e} * source_size - before))" for e in range(EPOCHS))})::BIGINT AS taken,
+  CASE WHEN first > 0 THEN round(d0 * (1.5 * x - 0.5 * x * x) + d1 * x + d2 * (0.5 * x + 0.5 * x * x), 3) END AS position
+FROM x, q
 """
