@@ -4,15 +4,16 @@ A lower-cased word, without the marks around it, is the sum of two rows of two h
 text, the largest response of each is kept, and a logistic unit reads those. Embeddings start at zero but for their
 first component, which starts at the log odds of the class in the documents that hold a row's words, where at least
 SUPPORT do: the largest responses then fall on telling words from the first step on, and a word that training has not
-seen adds nothing. The classifier is fitted on at most SAMPLE labelled documents of each class (of those with at most
-SAMPLE_CHARS characters, those whose md5 of the id comes first) with Adam; a fifth of them is set aside. Then Spark
+seen adds nothing. The classifier is fitted with Adam on a sample of the labelled documents, whole texts of any length:
+of each class those whose md5 of the id comes first, at most SAMPLE of them and, after the first, at most SAMPLE_CHARS
+characters together; a fifth of the sample is set aside. Then Spark
 scores all labelled documents that training has not read, whole texts of any length, and counts of those scores scale
 them to the classes' natural shares and choose, per language, the threshold of ``rejected``. The model is 8 MB and goes
 to tasks as it is.
 
 Defined results: null and empty texts have no words and get the score of an empty text; a document with several labels
-is toxic if one of them says so, null labels don't count; without labels of both classes every score is 0; repeated
-rows get equal scores; other columns pass through ``with_scores`` untouched (it adds ``score``).
+is toxic if one of them says so, null labels don't count; of rows with equal ids training reads the one whose text has
+the smallest hash; without labels of both classes every score is 0; repeated rows get equal scores; other columns pass through ``with_scores`` untouched (it adds ``score``).
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import fold, table, written
+from millrace.llm.common import fold, table, tidy, written
 from millrace.llm.encode import steps
 
 TABLE_BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 SUPPORT = 3  # documents that a row of the tables needs to start elsewhere than at zero
-SAMPLE, SAMPLE_CHARS = 1500, 20_000  # documents of each class, and the longest one that training reads
+SAMPLE, SAMPLE_CHARS = 1500, 30_000_000  # documents of each class that training reads, and characters of all of them
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.02, 7
 DECISION, LOWEST, HIGHEST, ENOUGH = 0.7, 0.6, 0.9, 40  # thresholds; rows that a language needs for its own
 OPTIONS = np.linspace(LOWEST, HIGHEST, 31)
@@ -93,9 +94,10 @@ def responses(model: Model, e: np.ndarray, ids: np.ndarray, starts: np.ndarray)
     n = len(ids) - GAP
     parts = []
     for f in model.filters:
-        total = (e @ f[0])[ids[:n]]
+        # einsum, unlike a matrix product, rounds a word's row alike wherever it stands: equal texts get equal scores
+        total = np.einsum("wd,df->wf", e, f[0])[ids[:n]]
         for j in range(1, len(f)):
-            total = total + (e @ f[j])[ids[j : n + j]]
+            total = total + np.einsum("wd,df->wf", e, f[j])[ids[j : n + j]]
         parts.append(total)
     out = np.concatenate(parts, 1) + model.bias
     gaps = np.concatenate([starts[1:], [len(ids)]]) - 1
@@ -108,7 +110,7 @@ def responses(model: Model, e: np.ndarray, ids: np.ndarray, starts: np.ndarray)
 def logits(model: Model, texts: list[str | None]) -> np.ndarray:
     ids, starts, words = coded(texts)
     best = np.maximum.reduceat(responses(model, embedded(model, words), ids, starts), starts, axis=0)
-    return np.maximum(best, 0) @ model.weight + model.offset
+    return (np.maximum(best, 0) * model.weight).sum(1) + model.offset
 
 
 def sigmoid(x):
@@ -237,6 +239,7 @@ def with_logits(docs: DataFrame, model: Model) -> DataFrame:
         out = [np.zeros(0)]
         for part in steps(texts, SCORED_BYTES):
             out.append(np.clip(logits(model, part.to_pylist()), -12, 12))
+        tidy()
         return pa.array(np.concatenate(out).astype(np.float64))
 
     return docs.withColumn("z", logit(F.col("text")))
@@ -247,14 +250,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) % 3 != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    short = docs.filter(F.length("text") <= SAMPLE_CHARS)
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
-    usable = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    told = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    usable = known.join(told.select("doc_id"), "doc_id", "left_semi")
     picked = usable.filter("toxic = 1").orderBy(*order).limit(SAMPLE).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(SAMPLE))
-    # at most 2 * SAMPLE ids: a bounded broadcast
-    rows = short.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["lang"] or "", r["toxic"]) for r in rows})
-    y = np.array([r[3] for r in rows], np.float64)
+    picked = written(picked, "picked")  # at most 2 * SAMPLE ids: a bounded broadcast
+    one = F.min_by(F.struct(F.length("text").alias("chars"), "_hash"), "_hash")
+    sized = told.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(one.alias("one"))
+    chosen, chars = [], {0: 0, 1: 0}
+    # narrow rows come to the driver first, so that no more than SAMPLE_CHARS follow
+    for r in sized.select("doc_id", "toxic", "one.*").orderBy(*order).collect():
+        if not chars[r["toxic"]] or chars[r["toxic"]] + r["chars"] <= SAMPLE_CHARS // 2:
+            chosen.append((r["doc_id"], r["_hash"]))
+        chars[r["toxic"]] += max(1, r["chars"])
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([sized.schema["doc_id"], T.StructField("_hash", T.LongType())]))
+    found = told.join(F.broadcast(wanted), ["doc_id", "_hash"]).join(F.broadcast(picked), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
+    y = np.array([r[2] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(*[np.zeros((1, 1), np.float32)] * 2, [], np.zeros(0), np.zeros(0), 0.0, constant=True)
     aside = np.array([zlib.crc32(b"aside" + str(r[0]).encode()) % 5 == 0 for r in rows])
@@ -286,6 +299,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         out = [np.zeros(0)]
         for part in steps(texts, SCORED_BYTES):
             out.append(sigmoid(model.slope * np.clip(logits(model, part.to_pylist()), -12, 12) + model.shift))
+        tidy()
         return pa.array(np.concatenate(out).astype(np.float64))
 
     return docs.withColumn("score", scored(F.col(text)))
