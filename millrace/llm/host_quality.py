@@ -2,7 +2,11 @@
 
 Every document is measured, the failures of each rule are summed by host, the hosts' failure rates are shrunk with a
 beta prior fitted to all hosts by moments, and the host's verdict is joined back: on a *strict* host a document that
-fails any rule goes; elsewhere only the base rules reject. A document that fails no rule is always kept.
+fails any rule goes; elsewhere only the base rules reject. A document that fails no rule is always kept. The prior's
+mean and spread are those of the hosts' own rates: the binomial noise of counting few documents is taken off the
+observed variance. A host is strict when its shrunk rate for a rule lies STRICT_SPREADS of these above the mean, so
+the bar comes from the corpus; where hosts differ by no more than chance, none is strict. In tables of documents the
+host is the ``source`` column; any column of domains will do.
 
 Defined results: a null text has no words and fails the base rules; documents without a host are judged alone; equal
 rows get equal results; an empty table gives an empty result; other columns, whatever their names, pass through
@@ -11,13 +15,15 @@ rows get equal results; an empty table gives an empty result; other columns, wha
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import SPACES, join_per_key, written
+from millrace.llm.common import SPACES, join_per_key, tidy, written
 from millrace.llm.encode import steps
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -32,8 +38,9 @@ SOFT_RULES = {
     "some_repeats": "100 * n_repeat_words > 25 * n_words",
 }
 RULES = BASE_RULES | SOFT_RULES
-#: A host is strict when the shrunk failure rate of one of the rules is over this.
-STRICT_RATE = 0.5
+#: A host is strict when its shrunk failure rate for one of the rules is this many of the prior's standard deviations
+#: above the prior's mean.
+STRICT_SPREADS = 2.0
 #: Bounds of the prior's strength, in documents.
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 10_000.0
 ADDED = [*MEASURES, "base_failed", "host_strict", "kept"]
@@ -76,7 +83,8 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def measured(text: pa.Array) -> pa.Array:
     rows = [measure_text(t) for part in steps(text) for t in part.to_pylist()]  # a few texts unpacked at a time
-    columns = zip(*rows, strict=True) if rows else [[]] * len(MEASURES)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(MEASURES)
+    tidy()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(_STRUCT))
 
 
@@ -101,13 +109,16 @@ def strict_hosts(measures: DataFrame, host: str) -> tuple[DataFrame, int]:
     n = total["n"] or 0
     mean = {k: (total[k] or 0) / n if n else 0.0 for k in RULES}
     spread = sums.agg(
-        *[F.sum(F.col("n_host") * F.pow(F.col(f"f_{k}") / F.col("n_host") - F.lit(mean[k]), 2.0)).alias(k) for k in RULES]
+        F.count("*").alias("hosts"),
+        *[F.sum(F.col("n_host") * F.pow(F.col(f"f_{k}") / F.col("n_host") - F.lit(mean[k]), 2.0)).alias(k) for k in RULES],
     ).first()
     strict = F.lit(False)
     for k, m in mean.items():
-        v = (spread[k] or 0.0) / n if n else 0.0
+        # the noise of counting adds m (1 - m) / n_host to a host's variance: weighed by n_host, that is once for every host
+        v = ((spread[k] or 0.0) - spread["hosts"] * m * (1 - m)) / n if n else 0.0
         strength = min(MAX_STRENGTH, max(MIN_STRENGTH, m * (1 - m) / v - 1)) if v > 0 else MAX_STRENGTH
-        strict = strict | ((F.col(f"f_{k}") + F.lit(m * strength)) / (F.col("n_host") + F.lit(strength)) > F.lit(STRICT_RATE))
+        bar = m + STRICT_SPREADS * math.sqrt(m * (1 - m) / (strength + 1))
+        strict = strict | ((F.col(f"f_{k}") + F.lit(m * strength)) / (F.col("n_host") + F.lit(strength)) > F.lit(bar))
     return sums.select(host, "n_host", strict.alias("host_strict")), n
 
 
@@ -129,11 +140,13 @@ def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", host: str = "sourc
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The documents that the rules keep, with the columns they came with.
 
-    The measures are made twice, once for the hosts and once here, since that is cheaper than storing the texts.
+    The documents are written once with their measures, so that no text is measured twice: hosts read the measures
+    alone, the verdicts are joined to the stored rows.
     """
-    hosts, total = strict_hosts(with_measures(docs.select(host, text), text), host)
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), host, text)  # columns of any name come through
-    return judge(with_measures(rows, text), hosts, total, host).filter("kept").select("_doc.*")
+    rows = written(with_measures(rows, text).drop(text), "measured")
+    hosts, total = strict_hosts(rows, host)
+    return judge(rows, hosts, total, host).filter("kept").select("_doc.*")
 
 
 def op1_host_quality(spark, sf_dir):
@@ -143,9 +156,7 @@ def op1_host_quality(spark, sf_dir):
 
 
 _any = " OR ".join(f"({r})" for r in SOFT_RULES.values())
-_shrunk = " OR ".join(
-    f"(f_{k} + m_{k} * s_{k}) / (n_host + s_{k}) > {STRICT_RATE}" for k in RULES
-)
+_shrunk = " OR ".join(f"(f_{k} + m_{k} * s_{k}) / (n_host + s_{k}) > m_{k} + {STRICT_SPREADS} * sqrt(m_{k} * (1 - m_{k}) / (s_{k} + 1))" for k in RULES)
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 l AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, t FROM d),
@@ -162,7 +173,7 @@ m AS (
   FROM d JOIN l USING (r) LEFT JOIN rep USING (r)),
 h AS (SELECT source, count(*) AS n_host, {", ".join(f"count(*) FILTER ({r}) AS f_{k}" for k, r in RULES.items())} FROM m WHERE source IS NOT NULL GROUP BY source),
 a AS (SELECT sum(n_host) AS n, {", ".join(f"sum(f_{k}) / sum(n_host) AS m_{k}" for k in RULES)} FROM h),
-v AS (SELECT {", ".join(f"sum(n_host * (f_{k} / n_host - m_{k}) ** 2) / any_value(n) AS v_{k}, any_value(m_{k}) AS m_{k}" for k in RULES)} FROM h, a),
+v AS (SELECT {", ".join(f"(sum(n_host * (f_{k} / n_host - m_{k}) ** 2) - count(*) * any_value(m_{k} * (1 - m_{k}))) / any_value(n) AS v_{k}, any_value(m_{k}) AS m_{k}" for k in RULES)} FROM h, a),
 p AS (SELECT {", ".join(f"m_{k}, CASE WHEN v_{k} > 0 THEN least({MAX_STRENGTH}, greatest({MIN_STRENGTH}, m_{k} * (1 - m_{k}) / v_{k} - 1)) ELSE {MAX_STRENGTH} END AS s_{k}" for k in RULES)} FROM v),
 s AS (SELECT source, {_shrunk} AS host_strict FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
