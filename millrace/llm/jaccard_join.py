@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import join_per_key, table, written
+from millrace.llm.common import join_per_key, table, tidy, written
 from millrace.llm.encode import steps
 
 WORDS, NUM, DEN = 4, 85, 100
 #: Hashes that a task sorts at once, and holds before it sends them; sets that a Python worker remembers as filed;
 #: hashes of words it remembers.
-BLOCK_HASHES, HELD_HASHES, REMEMBERED, KNOWN_WORDS = 1_000_000, 2_000_000, 500_000, 500_000
+BLOCK_HASHES, HELD_HASHES, REMEMBERED, KNOWN_WORDS = 1_000_000, 500_000, 200_000, 100_000
+#: Bytes of text whose hashes a task files at a time: filing for two bands takes some 50 times that.
+STEP_BYTES = 1_000_000
 #: What a node of a needless group costs in filed hashes (300 bytes to 10), a pair that sketches rule out (0.1 to 1
 #: microsecond), and each shingle of a pair that they can't (two texts travel).
 MEMBER_COST, PAIR_COST, TEXT_COST = 30.0, 0.1, 1.2
@@ -50,6 +52,8 @@ MEMBER_COST, PAIR_COST, TEXT_COST = 30.0, 0.1, 1.2
 CUT = np.uint64(24)
 #: Pairs whose texts a task unpacks at a time, and shingles of the sets it remembers between pairs.
 PAIRS_AT_ONCE, KNOWN_SHINGLES = 32, 100_000
+#: Members of a group that one task compares pair by pair.
+CHUNK = 2048
 #: Rounds of comparing with one node of a group before all open pairs are compared.
 PIVOT_ROUNDS = 2
 #: Longs of a parity sketch.
@@ -79,6 +83,12 @@ class _Words(dict):
 _words = _Words()
 
 
+def finished() -> None:
+    """At a task's end: the Python worker goes on to other stages' tasks."""
+    _words.clear()
+    tidy()
+
+
 def hashed_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted hashes of every text's set, one text behind the other, and their offsets."""
     out, sizes = [], []
@@ -238,7 +248,7 @@ def keyed_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             done = 0
-            for texts in steps(batch.column("text")):
+            for texts in steps(batch.column("text"), STEP_BYTES):
                 h, o = hashed_sets(texts, words)
                 k1, k2 = set_keys(h, o)
                 both = np.stack([k1, k2], 1).astype("<u8").tobytes()
@@ -253,6 +263,7 @@ def keyed_sets(docs: DataFrame, words: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "key", "half", *SKETCH],
                 )
                 done += len(texts)
+        finished()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, half long, " + ", ".join(f"{p} long" for p in SKETCH))
 
@@ -290,7 +301,7 @@ def sharing(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for texts in steps(batch.column("text")):
+            for texts in steps(batch.column("text"), STEP_BYTES):
                 h, o = hashed_sets(texts, words)
                 k1, _ = set_keys(h, o)
                 new = np.zeros(len(texts), bool)
@@ -312,6 +323,8 @@ def sharing(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -
                     held.clear()
         if sum(len(x) for x, _ in held):
             yield sent(*map(np.concatenate, zip(*held, strict=True)))
+        held.clear()
+        finished()
 
     def match(group: pa.Table) -> pa.Table:
         columns = (group.column(c).to_pylist() for c in ("hashes", "nodes", "times"))
@@ -356,7 +369,7 @@ def wide_sketches(texts: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             done = 0
-            for part in steps(batch.column("text")):
+            for part in steps(batch.column("text"), STEP_BYTES):
                 h, o = hashed_sets(part, words)
                 size = np.diff(o)
                 big = np.flatnonzero(size > 64 * LANES)
@@ -369,6 +382,7 @@ def wide_sketches(texts: DataFrame, words: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "wide"],
                 )
                 done += len(part)
+        finished()
 
     return texts.mapInArrow(run, "doc_id long, n_shingles long, wide binary")
 
@@ -410,6 +424,8 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -
                     same = sum(map(t.__contains__, s))
                     keep.append(den * same >= num * (len(s) + len(t) - same) and same > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        known.clear()
+        tidy()
 
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
@@ -431,6 +447,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def pairs_with(pivots: DataFrame, members: DataFrame, total: int, num: int, den: int) -> DataFrame:
+    """Open pairs (see ``opened``) of each group's pivot with the group's other members. Pivots of the groups that
+    hold more than a fixed share of all members are broadcast, so a hot group's members stay where they are.
+    """
+    named = {"node": "pivot", "label": "pivot_label", "n_shingles": "n_pivot", **{p: f"pivot_{p}" for p in SKETCH}}
+    both = join_per_key(members, pivots.select("group", "size", *[F.col(c).alias(n) for c, n in named.items()]), "group", "size", total)
+    x = F.struct(*[F.col(n).alias(c) for c, n in named.items()])
+    y = F.struct(*named)
+    return opened(both.filter("pivot is not null and pivot != node").select(x.alias("x"), y.alias("y")), num, den)
+
+
+def pairs_within(members: DataFrame, num: int, den: int) -> DataFrame:
+    """All open pairs (see ``opened``) of each group. A group of over CHUNK members is cut into chunks by hash, and
+    each two chunks meet in a task of their own.
+    """
+    row = F.struct("node", "label", "n_shingles", *SKETCH)
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
+    cut = members.select("group", chunks.alias("_chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("own"), row.alias("r"))
+    others = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    left = others.filter("own <= other").select("group", F.col("own").alias("i"), F.col("other").alias("j"), F.col("r").alias("x"))
+    right = others.filter("other <= own").select("group", F.col("other").alias("i"), F.col("own").alias("j"), F.col("r").alias("y"))
+    met = left.join(right, ["group", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node")))
+    return opened(met, num, den)
+
+
+def opened(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, large) of the rows x and y that are not yet of one component, and that sizes and sketches allow."""
+    open_ = met.filter((F.col("x.label") != F.col("y.label")) & may_be_similar("x", "y", num, den))
+    large = F.least("x.n_shingles", "y.n_shingles") > 64 * LANES
+    return open_.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), large.alias("large")).distinct()
+
+
 def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id. Links are not returned: pairs already in one component are not compared."""
     keys = written(keyed_sets(docs, words), "sets")
@@ -441,23 +489,31 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     groups = sharing(docs, keys, words, num, den).unionByName(alike)
     groups = written(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
     members = groups.select("group", F.explode("nodes").alias("half")).join(nodes.select("half", "node"), "half").select("group", "node").distinct()
+    members = written(members, "membership")
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    # the node in most groups comes first; an original shares more with its copies than they with each other
-    ranked = members.join(degree, "node").withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("degree"), "node")))
-    ranked = ranked.select("group", "node", "rank").join(nodes.select("node", "n_shingles", *SKETCH), "node")
-    members = written(ranked, "members")
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
+    # the node in most groups comes first; an original shares more with its copies than they with each other. Only
+    # PIVOT_ROUNDS rows a group and task are shuffled for it
+    order = Window.partitionBy("group").orderBy(F.desc("degree"), "node")
+    ranked = members.join(degree, "node").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOT_ROUNDS)
+    pivots = written(ranked.select("group", "node", "rank").join(sizes, "group"), "pivots")
     in_groups = members.select("node").distinct()
+    sketched = written(nodes.select("node", "n_shingles", *SKETCH).join(in_groups, "node", "left_semi"), "sketched")
+    total = members.count()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(in_groups.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
     wide = written(wide_sketches(texts, words), "wide")
-    links, labels, tested = None, in_groups.withColumn("label", F.col("node")), None
+    links, labels, tested = None, None, None
     for k in range(1, PIVOT_ROUNDS + 2):
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        first = now.filter(F.col("rank") == k) if k <= PIVOT_ROUNDS else now
-        # an open pair: of one group, not yet in one component
-        is_open = (F.col("x.group") == F.col("y.group")) & (F.col("y.rank") > F.col("x.rank")) & (F.col("x.label") != F.col("y.label"))
-        pairs = first.alias("x").join(now.alias("y"), is_open & may_be_similar("x", "y", num, den))
-        large = F.least("x.n_shingles", "y.n_shingles") > 64 * LANES
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), large.alias("large")).distinct()
+        label = F.col("node") if labels is None else F.coalesce("label", "node")
+        now = (sketched if labels is None else sketched.join(labels, "node", "left")).select("node", label.alias("label"), "n_shingles", *SKETCH)
+        if k <= PIVOT_ROUNDS:
+            rows = written(members.join(now, "node"), "members")
+            pairs = pairs_with(pivots.filter(F.col("rank") == k).drop("rank").join(now, "node"), rows, total, num, den)
+        else:
+            # groups that have become one component are done
+            rows = members.join(now, "node")
+            left = rows.groupBy("group").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+            pairs = pairs_within(written(join_per_key(rows, left.select("group", "size"), "group", "size", total).filter("size is not null"), "members"), num, den)
         pairs = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.limit(1).count() == 0:
@@ -468,9 +524,9 @@ def similar_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         new = written(linked(likely, texts, words, num, den), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
-    rep = nodes.select("node", "key", "copies").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"), "copies")
-    total = known.count()
-    with_set = join_per_key(known, rep, "key", "copies", total).select("doc_id", "n_shingles", "component_id")
+    rep = nodes.select("node", "key", "copies")
+    rep = rep.withColumn("component_id", F.col("node")) if labels is None else rep.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
+    with_set = join_per_key(known, rep.select("key", "component_id", "copies"), "key", "copies", known.count()).select("doc_id", "n_shingles", "component_id")
     # rows with equal ids are one document
     bare = keys.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id"))
     return with_set.unionByName(bare)

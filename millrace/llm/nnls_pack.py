@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import table, tidy
 from millrace.llm.encode import encoder, steps
 
 WINDOW, GRAIN, DEPTH = 2048, 32, 3
@@ -209,6 +209,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW
         if held:
             yield from block()
         make.forget()  # the Python worker goes on to other stages' tasks
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

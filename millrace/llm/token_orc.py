@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import shared_dir, table, tidy
 from millrace.llm.encode import encoder, steps
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens int, ids array<int>"
@@ -51,6 +51,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -
                     names=["part", "doc_id", "local_start", "n_tokens", "ids"],
                 )
                 done, at = done + n, at + int(offsets[-1])
+        make.forget()  # the Python worker goes on to other stages' tasks
+        tidy()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
