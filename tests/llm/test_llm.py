@@ -266,9 +266,8 @@ def test_constant_model_without_labels(spark, odd):
 
 
 def test_calibration_reads_all_labelled_rows(spark, monkeypatch):
-    """Languages that a sample of 40 a class can't judge, one of them only of texts too long for it, get their thresholds."""
+    """Languages that a sample of 40 a class can't judge get their thresholds."""
     monkeypatch.setattr(toxicity, "SAMPLE", 40)
-    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400)
     rng = np.random.default_rng(6)
 
     def text(i, toxic):
@@ -292,3 +291,128 @@ def test_mix_keeps_its_rows_when_files_are_cut_anew(spark, tmp_path):
         assert Counter(r.doc_id for r in mixed.collect()) == want
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_training_reads_long_texts_whole(spark):
+    """The only sign of toxicity stands at the end of texts of over 50,000 characters."""
+    rng = np.random.default_rng(7)
+
+    def text(i):
+        return " ".join([*(f"w{k}" for k in rng.integers(0, 3000, 9000)), *(["vile", "filth"] if i % 3 == 0 else [])])
+
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(90)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(text(0)) > 50_000
+    clean, vile = toxicity.logits(model, [text(1), text(3)])
+    assert vile > clean + 1
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    """Rows with equal ids count once, and the characters of the sample are bounded without passing over long texts."""
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4000)
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(texts) or toxicity.Model(*[np.zeros((1 << toxicity.TABLE_BITS, toxicity.DIM), np.float32)] * 2, [np.zeros((w, toxicity.DIM, toxicity.FILTERS), np.float32) for w in toxicity.WIDTHS], np.zeros(24), np.zeros(24), 0.0))
+    rows = [(i % 60, f"{'x' * 90} {i}", "en") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int"))
+    assert sum(map(len, seen[0])) <= 4000 and len({t.split()[0] + str(int(t.split()[1]) % 60) for t in seen[0]}) == len(seen[0]) > 10
+
+
+def test_logits_are_the_largest_responses_of_plain_loops():
+    rng = np.random.default_rng(9)
+    size = 1 << toxicity.TABLE_BITS
+    model = toxicity.Model(
+        rng.normal(size=(size, toxicity.DIM)).astype(np.float32),
+        rng.normal(size=(size, toxicity.DIM)).astype(np.float32),
+        [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+        rng.normal(size=24).astype(np.float32),
+        rng.normal(size=24).astype(np.float32),
+        0.3,
+    )
+    texts = [None, "", "One", "one two", "a b c d e f a b", "  x, (y) z! ", "word " * 50]
+    got = toxicity.logits(model, texts)
+    for t, z in zip(texts, got, strict=True):
+        words = toxicity.split(t) or [b""]
+        e = [np.zeros(toxicity.DIM) if not w else model.first[toxicity.rows_of(w)[0]] + model.second[toxicity.rows_of(w)[1]] for w in words]
+        want = model.offset
+        for k in range(24):
+            f = model.filters[k // toxicity.FILTERS][:, :, k % toxicity.FILTERS]
+            places = [sum(float(f[j] @ e[i + j]) for j in range(len(f)) if i + j < len(e)) for i in range(len(e))]
+            want += model.weight[k] * max(0.0, max(places) + model.bias[k])
+        assert z == pytest.approx(want, abs=1e-3)
+
+
+def test_scores_of_odd_texts(spark, odd):
+    rows = {r.doc_id: r for r in queries.QUERIES["op3_toxicity"](spark, odd).collect()}
+    texts_ = documents(spark, odd)
+    assert set(rows) == set(texts_)
+    nothing = {rows[i].score for i, t in texts_.items() if not (t or "").split()}
+    assert len(nothing) == 1 and all(0 <= r.score <= 1 for r in rows.values())
+    by_text = {}
+    for i, t in texts_.items():
+        by_text.setdefault(t, set()).add(rows[i].score)
+    assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_a_host_that_stands_out_rejects_what_base_rules_keep(spark):
+    """Twelve hosts fail a soft rule for a twentieth of their documents, one for most; a small unlucky one is no outlier."""
+    fine = " ".join(f"w{i}" for i in range(60))
+    odd_ = fine + " " + "#" * 20
+    rows = [(f"h{h}", odd_ if i % 20 == h else fine) for h in range(12) for i in range(60)]
+    rows += [("bad", fine if i % 10 == 0 else odd_) for i in range(60)] + [("small", odd_), ("small", fine), (None, odd_)]
+    docs = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in host_quality.quality_verdicts(docs).collect()}
+    for i, (h, t) in enumerate(rows):
+        assert not got[i].base_failed
+        assert got[i].host_strict == (h == "bad")
+        assert got[i].kept == (h != "bad" or t == fine)
+    assert {r.doc_id for r in host_quality.keep_good(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_shares_in_stretches_of_training_follow_the_schedules(spark, tmp_path):
+    """In each tenth of the mix every source has the words that its schedule asks for there."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('w ', 20) AS text")
+    rows = curriculum.quotas(docs).collect()
+    ends = {0: lambda t: 1.5 * t - 0.5 * t * t, 1: lambda t: t, 2: lambda t: 0.5 * t + 0.5 * t * t}
+    target = {r.doc_id % 3: r.target for r in rows}
+    whole = sum(target.values())
+    grid = np.linspace(0, 1, 20001)
+    demand = sum(target[k] * ends[k](grid) for k in ends)
+    for tenth in range(10):
+        t0, t1 = np.interp([whole * tenth / 10, whole * (tenth + 1) / 10], demand, grid)
+        placed = curriculum.mixed(docs.selectExpr("*", "doc_id AS position")).columns  # columns come through
+        assert placed == ["doc_id", "source", "text", "position"]
+        for k in (1, 2):  # sources taken at most once, so that first positions are all positions
+            if target[k] > 40000:
+                continue
+            words = sum(r.taken for r in rows if r.doc_id % 3 == k and r.position is not None and whole * tenth / 10 <= r.position < whole * (tenth + 1) / 10)
+            assert words == pytest.approx(target[k] * (ends[k](t1) - ends[k](t0)), abs=0.02 * target[k])
+
+
+def test_mix_does_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    as_rows = lambda d: [(r.doc_id, r.text) for r in curriculum.mixed(d).collect()]
+    assert as_rows(docs) == as_rows(docs.repartition(7, "doc_id"))
+
+
+def test_mix_passes_columns_with_its_own_names(spark):
+    docs = spark.range(30).selectExpr("id AS doc_id", "'a' AS source", "repeat('w ', 9) AS text", "id AS _row", "id AS _position", "id AS _epoch", "id AS size", "id AS tie")
+    out = curriculum.mixed(docs)
+    assert out.columns == docs.columns
+    assert all(r.doc_id == r._row == r.tie for r in out.collect())
+
+
+def test_groups_larger_than_a_chunk(spark, monkeypatch):
+    """A large group of unlike sets with a few alike pairs is cut into chunks on both sides and stays exact."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 5)
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 1)
+    rng = np.random.default_rng(11)
+    base = [[f"w{i}" for i in rng.integers(0, 10**6, 9)] for _ in range(40)]
+    rows = [*base, *[[*b, "more"] for b in base[::7]]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_components(docs).collect()}
+    assert got == {i: i if i < 40 else (i - 40) * 7 for i in range(len(rows))}
+    members = spark.createDataFrame([(1, i, i, 6, 23, *[0] * jaccard_join.LANES) for i in range(23)], "group long, node long, label long, n_shingles long, size long, " + ", ".join(f"{p} long" for p in jaccard_join.SKETCH))
+    pairs = {(r.a, r.b) for r in jaccard_join.pairs_within(members, 85, 100).collect()}
+    assert pairs == {(a, b) for a in range(23) for b in range(a + 1, 23)}
