@@ -169,6 +169,15 @@ def segments(bounds: list[int], band: int, num: int, den: int) -> int:
     return (bounds[band + 1] - 1) * (den - num) // num + 1
 
 
+def poisson_up_to(k: int, mean: float) -> float:
+    """Probability of at most ``k`` where ``mean`` are expected."""
+    if mean <= 0:
+        return 1.0
+    i = np.arange(k + 1)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(i[1:]))])
+    return float(np.exp(i * np.log(mean) - mean - log_factorial).sum())
+
+
 def allocation(bounds: list[int], counts: dict[int, int], num: int, den: int) -> list[int]:
     """For each band, how many segments get one-deletion neighbourhoods: the number of least expected cost."""
     out = []
@@ -181,12 +190,9 @@ def allocation(bounds: list[int], counts: dict[int, int], num: int, den: int) ->
         apart = 32 * LANES * (1 - np.exp(-4 * large / (64 * LANES)))  # bits in which unlike sets' sketches differ
         pair = PAIR_COST if 0.8 * apart > 2 * large * (den - num) / (den + num) else TEXT_COST * large
         best, cost = 0, np.inf
-        for a in range(min(m, 64) + 1):
-            mean = (m - a) * p0 + a * (p1 + 2 * p0)
-            term, within = np.exp(-mean), 0.0
-            for k in range(a + 1):
-                within += term
-                term *= mean / (k + 1)
+        # large sets have many segments and so many empty ones: twice their mean and a wide margin is always enough
+        for a in range(0, min(m, int(2 * m * p0 + 10 * np.sqrt(m * p0 + 1) + 16)) + 1, 1 + m // 4096):
+            within = poisson_up_to(a, (m - a) * p0 + a * (p1 + 2 * p0))
             needless = n * max(0.0, 1 - within) * (a + 1)  # members of groups that share an empty segment
             c = n * a * (per + 1) + MEMBER_COST * needless + pair * needless**2 / (2 * m)
             if c < cost:
@@ -276,7 +282,7 @@ def sharing(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -
     band = F.size(F.filter(edges, lambda x: x <= F.col("n_shingles"))) - 1
     counts = {r["band"]: r["count"] for r in sizes.filter("n_shingles > 0").groupBy(band.alias("band")).count().collect()}
     extra = allocation(bounds, counts, num, den)
-    expected = sum(n * 2 * segments(bounds, b, num, den) for b, n in counts.items())
+    expected = sum(n * 2 * (segments(bounds, b, num, den) + 5 * extra[b]) for b, n in counts.items())
     n_blocks = max(16, -(-expected // BLOCK_HASHES))
     limits = np.array(bounds, np.int64)
 
