@@ -1,19 +1,28 @@
-"""Scalar functions on columns; all of them stay in the JVM."""
+"""Scalar functions on columns; all but ``step_sentinel`` stay in the JVM."""
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The waiting exit codes and their kinds.
-WAITING = {6: "gate", 8: "capacity", 9: "blocked"}
+WAITING = {6: "needs_human", 8: "capacity", 9: "blocked"}
 HUMAN, MACHINE = ("tty", "external"), ("default", "flag")
-ITEM_NAME = r"^p([0-9])-([a-z][a-z0-9]*)-([a-z0-9][a-z0-9._-]*)-r([a-z0-9._]+)\.json$"
+# Fixed value: the grammar of item names; the id ends in a letter or digit, and the last ``-r`` starts the revision.
+ITEM_NAME = r"^p([0-9])-([a-z][a-z0-9]*)-([a-z0-9](?:[a-z0-9._-]*[a-z0-9])?)-r([a-z0-9][a-z0-9._-]*)\.json$"
+NAME_MAX = 255
 
 
 def slug(url: Column) -> Column:
-    """Host of a URL (or the bare text) without www. and its last label, other characters as single dashes."""
-    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)", 1))
+    """Host of a URL (or the bare text) without user, port, www. and its last label, other characters as single dashes."""
+    rest = F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    place = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    host = F.lower(F.regexp_extract(place, r"^(?:.*@)?([^:]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"\.[^.]*$", "")
     return F.regexp_replace(F.regexp_replace(host, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -35,7 +44,8 @@ def rev_token(at: Column, version: Column) -> Column:
 
 
 def safe_item_id(x: Column) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9._-]", "-"), "([._-])[._-]+", "$1")
+    """Lower case; other characters and every run of separators become a dash; null where nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9._-]+", "-"), "[._-]{2,}", "-")
     return F.nullif(F.regexp_replace(clean, "^[._-]+|[._-]+$", ""), F.lit(""))
 
 
@@ -55,7 +65,7 @@ def item_name(prio: Column, source: Column, item: Column, rev: Column) -> Column
 def parse_item_name(name: Column) -> Column:
     """Struct of prio, source, id and rev (the last ``-r`` starts it); null for names that do not parse."""
     part = lambda k: F.regexp_extract(name, ITEM_NAME, k)
-    good = name.rlike(ITEM_NAME) & (F.length(name) <= 255)
+    good = name.rlike(ITEM_NAME) & (F.length(name) <= NAME_MAX)
     return F.when(good, F.struct(part(1).cast("int").alias("prio"), part(2).alias("source"), part(3).alias("id"), part(4).alias("rev")))
 
 
@@ -120,9 +130,165 @@ def redacted(text: Column, secrets: list[str], mark: str = "***") -> Column:
     return text
 
 
+def redacted_list(texts: Column, secrets: list[str]) -> Column:
+    return F.transform(texts, lambda t: redacted(t, secrets))
+
+
+def redacted_map(entries: Column, secrets: list[str]) -> Column:
+    """Keys and values replaced; of keys that become equal the last one stays, as where a mapping is filled in order."""
+    pairs = F.transform(F.map_entries(entries), lambda e: F.struct(redacted(e["key"], secrets).alias("key"), redacted(e["value"], secrets).alias("value")))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+#: Helpers of templates, and roots whose values have names of their own.
+HELPERS = ("slug", "dash", "short")
+ROOTS = ("params", "dims", "cursor", "artifact", "gate")
+PLACEHOLDER = r"\{([^{}]*)\}"
+
+
 def rendered(template: str, values: dict[str, Column]) -> Column:
-    """``template`` with each {name} replaced; a name that ``values`` lacks is an error at once."""
-    import re
+    """``template`` with each {name} replaced; a name that ``values`` lacks is an error at once.
+
+    Names may have a root (``params.x``, ``artifact:x``); a helper may stand around a name: ``slug(params.x)``,
+    ``dash(params.x)``, ``short(params.x, 3)``.
+    """
+    pieces = re.split(PLACEHOLDER, template)
+    return F.concat(*[_value(p.strip(), values) if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+
+def _value(body: str, values: dict[str, Column]) -> Column:
+    call = re.fullmatch(r"(\w+)\((.*)\)", body)
+    if not call or call[1] not in HELPERS:
+        return values[body]
+    name, _, n = (x.strip() for x in call[2].partition(","))
+    if call[1] == "short":
+        return short(values[name], int(n))
+    return {"slug": slug, "dash": dash}[call[1]](values[name])
+
+
+def scanned(template: Column) -> Column:
+    """The placeholders of a template, not resolved: an array of (kind, raw, ref_type, ref_name); a kind is helper,
+    reference or value.
+    """
+    helper = rf"^({'|'.join(HELPERS)})\(.*\)$"
+
+    def one(raw: Column) -> Column:
+        body = F.trim(raw)
+        kind = F.when(body.rlike(helper), "helper").when((body == "run_dir") | body.contains(":"), "reference").otherwise("value")
+        ref = F.when((kind == "reference") & (body == "run_dir"), body).when(kind == "reference", F.trim(F.substring_index(body, ":", 1)))
+        rest = F.when((kind == "reference") & body.contains(":"), F.trim(F.regexp_extract(body, r"^[^:]*:(.*)$", 1)))
+        return F.struct(kind.alias("kind"), body.alias("raw"), ref.alias("ref_type"), rest.alias("ref_name"))
+
+    return F.transform(F.regexp_extract_all(template, F.lit(PLACEHOLDER)), one)
+
+
+def error_tail(text: Column, lines: int = 20, chars: int = 2000) -> Column:
+    """The last lines of a trimmed text, then their last characters; null where nothing is left."""
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    parts = F.split(trimmed, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")
+    tail = F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - lines + 1), F.lit(lines)), "\n")
+    return F.nullif(F.substring(tail, -chars, chars), F.lit(""))
+
+
+def idempotency_marker(source: Column, item: Column, rev: Column, kind: str = "delivery", prefix: str = "run") -> Column:
+    """A tag of an item's revision that finds an earlier effect; anything but letters, digits, - and _ is a dash."""
+    plain = F.regexp_replace(rev, "^r", "")
+    text = F.concat(F.lit(f"{prefix}-{kind}-"), source, F.lit("-"), item, F.lit("-r"), plain)
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_-]", "-")
+
+
+def write_back(lookup: Column) -> Column:
+    """What to do by what a look-up found: never create on doubt; an unknown outcome is an error."""
+    wrong = F.raise_error(F.concat(F.lit("unknown look-up result: "), F.coalesce(lookup, F.lit("null")))).cast("string")
+    return F.when(lookup == "absent", "create").when(lookup == "present", "reuse").when(lookup == "uncertain", "block").otherwise(wrong)
+
+
+def source_status(checked: Column, upstream: Column, closed: Column) -> Column:
+    """closed, changed or current; without an upstream revision nothing has changed."""
+    return F.when(closed, "closed").when(F.coalesce(upstream != checked, F.lit(False)), "changed").otherwise("current")
 
-    pieces = re.split(r"\{([^{}]+)\}", template)
-    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+#: What a log says where a login is missing; the last bytes of a log that are searched.
+AUTH_SIGNS = ("not logged in", "please run", "/login", "invalid api key", "unauthorized", "authentication", "no credentials", "log in to")
+AUTH_TAIL = 8192
+
+
+def auth_failure(log: Column, code: Column, signs: tuple[str, ...] = AUTH_SIGNS) -> Column:
+    """Whether a failed command's log ends in the signs of a missing login: such a step is blocked, not failed."""
+    tail = F.lower(F.substring(log, -AUTH_TAIL, AUTH_TAIL))
+    found = F.lit(False)
+    for sign in signs:
+        found = found | tail.contains(sign)
+    return F.coalesce((code != 0) & found, F.lit(False))
+
+
+def cursor_text(updated_at: Column, item: Column) -> Column:
+    """A cursor as compact JSON."""
+    return F.to_json(F.struct(updated_at.alias("updated_at"), item.alias("id")))
+
+
+def cursor_of(text: Column) -> Column:
+    """Struct (updated_at, id) of a cursor's text; null where it is no such object."""
+    found = F.from_json(text, "updated_at string, id string")
+    return F.when(found["updated_at"].isNotNull() & found["id"].isNotNull(), found)
+
+
+def overlap_since(updated_at: Column, seconds: int = 60) -> Column:
+    """The lower bound of the next fetch, as text: ``seconds`` before the mark; a mark that can't be read is the bound."""
+    at = F.try_to_timestamp(F.trim(updated_at)) - F.expr(f"INTERVAL {seconds} SECONDS")
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), updated_at)
+
+
+#: The keys under which a receipt may state its revision, in order.
+RECEIPT_KEYS = ("rev", "checked_rev", "delivered_rev", "receipt_rev")
+
+
+def receipt_rev(*bodies: Column) -> Column:
+    """The first revision that receipts (JSON texts, in order) state under one of RECEIPT_KEYS: a text that is not
+    empty or a whole number. Torn receipts are passed over; null where none states one.
+    """
+    found = []
+    for body in bodies:
+        v = F.try_parse_json(body)
+        for key in RECEIPT_KEYS:
+            one = F.try_variant_get(v, f"$.{key}", "variant")
+            kind = F.schema_of_variant(one)
+            found.append(F.when(kind.isin("STRING", "BIGINT"), F.nullif(F.try_variant_get(v, f"$.{key}", "string"), F.lit(""))))
+    return F.coalesce(*found)
+
+
+@F.pandas_udf(T.StringType())
+def step_sentinel(texts: pd.Series) -> pd.Series:
+    """The last valid ``<<<STEP {json}`` object of each text, as compact JSON. Braces inside strings need a real JSON
+    decoder, so this is the one function that leaves the JVM.
+    """
+    return texts.map(last_step)
+
+
+def last_step(text: str | None) -> str | None:
+    decoder = json.JSONDecoder()
+    for m in reversed(list(re.finditer(r"<<<STEP\b", text or ""))):
+        try:
+            found, _ = decoder.raw_decode(text, re.compile(r"\s*").match(text, m.end()).end())
+        except ValueError:
+            continue
+        if isinstance(found, dict) and _is_step(found):
+            return json.dumps(found, separators=(",", ":"), ensure_ascii=False)
+    return None
+
+
+def _is_step(d: dict) -> bool:
+    """Fixed shape of a step's object: every key may be missing (but a learning's note), none may be of another type."""
+    texts = lambda x: isinstance(x, list) and all(isinstance(t, str) for t in x)
+    learned = d.get("learnings", [])
+    return (
+        d.get("status", "done") in ("done", "skipped", "blocked")
+        and isinstance(d.get("summary", ""), str)
+        and len(d.get("summary", "")) <= 2000
+        and texts(d.get("artifacts", []))
+        and texts(d.get("blockers", []))
+        and isinstance(d.get("metrics", {}), dict)
+        and isinstance(learned, list)
+        and all(isinstance(x, dict) and isinstance(x.get("note"), str) and isinstance(x.get("tag", ""), str) for x in learned)
+    )

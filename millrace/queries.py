@@ -1,298 +1,6 @@
-"""The registered queries of the library, by name, and the SQL that gives the same rows."""
+"""All registered queries of the library and their SQL."""
 
-from __future__ import annotations
+from millrace import plan_queries, queue_queries, trail_queries
+from millrace.registry import ORACLES, QUERIES
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from millrace.functions import scalars as S
-from millrace.operators import folds, ledger
-from millrace.sources import views as V
-from millrace.streaming import follow as stream
-
-NOW_TRAIL, NOW_RUNS = "2024-01-31 00:00:00", "2001-09-01 00:00:00"
-LATE_TRAIL = "2024-01-30 22:00:00"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _now(text: str):
-    return F.lit(text).cast("timestamp_ntz")
-
-
-def _query(view: str, sql: str):
-    """Register a query under its function's name, with the SQL over the views it names."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = V.sql(view, sql) if view else sql
-        return f
-
-    return add
-
-
-_E = "ORDER BY ev_at, line_no"
-_LAST = "arg_max_null({0}, (ev_at, line_no))"
-_TERMINAL = "event IN ('run-done', 'run-halt')"
-
-
-@_query("trail", f"""SELECT * FROM (SELECT run_id, line_no, event, CAST(row_number() OVER (PARTITION BY run_id {_E}) AS INTEGER) AS seq FROM trail) WHERE seq > 20""")
-def trail_since(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.row_number().over(Window.partitionBy("run_id").orderBy("ev_at", "line_no"))
-    return V.trail(spark, d).select("run_id", "line_no", "event", seq.alias("seq")).filter("seq > 20")
-
-
-@_query("trail", f"""SELECT run_id, CASE last WHEN 'gate-pending' THEN 'gate' WHEN 'run-halt' THEN 'halted' WHEN 'run-done' THEN 'done'
-  ELSE CASE WHEN epoch_ms(TIMESTAMP '{NOW_TRAIL}') // 1000 - epoch_ms(last_at) // 1000 > 7200 THEN 'stale' ELSE 'running' END END AS status, terminal, exit_code, last_gate, n_events
-FROM (SELECT run_id, {_LAST.format("event")} AS last, max(ev_at) AS last_at, {_LAST.format("event")} FILTER ({_TERMINAL}) AS terminal,
-  {_LAST.format("exit_code")} FILTER ({_TERMINAL}) AS exit_code, {_LAST.format("node")} FILTER (event = 'gate-pending') AS last_gate, count(*) AS n_events FROM trail GROUP BY run_id)""")
-def run_status(spark, d):
-    return folds.run_status(V.trail(spark, d), _now(NOW_TRAIL), 7200)
-
-
-@_query("trail", f"SELECT run_id, node, {_LAST.format('event')} AS event, {_LAST.format('line_no')} AS line_no FROM trail GROUP BY run_id, node")
-def node_latest(spark, d):
-    return folds.node_latest(V.trail(spark, d))
-
-
-@_query("trail", f"SELECT run_id, count(*) AS n_events FROM trail t WHERE EXISTS (SELECT 1 FROM trail u WHERE u.run_id = t.run_id AND u.ev_at >= TIMESTAMP '{LATE_TRAIL}') GROUP BY run_id")
-def window_runs(spark, d):
-    return folds.window_runs(V.trail(spark, d), _now(LATE_TRAIL)).groupBy("run_id").agg(F.count("*").alias("n_events"))
-
-
-@_query("runs", "SELECT pipeline, count(*) FILTER (status = 'done') AS completed, count(*) FILTER (status = 'halted') AS halted FROM runs GROUP BY pipeline")
-def throughput_by_pipeline(spark, d):
-    return folds.throughput(V.runs(spark, d))
-
-
-@_query("trail", """SELECT *, round(passes / nullif(passes + fails, 0), 6) AS rate FROM (SELECT coalesce(node, '?') AS node,
-  count(*) FILTER (event = 'step-done') AS passes, count(*) FILTER (event = 'run-halt' AND exit_code > 0) AS fails FROM trail GROUP BY 1)""")
-def step_success(spark, d):
-    return folds.step_rates(V.step_trail(spark, d))
-
-
-_GATES = """(SELECT * FROM (SELECT run_id, node, (epoch_us(max(ev_at) FILTER (event = 'gate-answered')) - epoch_us(min(ev_at) FILTER (event = 'gate-pending'))) / 1e6 AS s
-  FROM trail GROUP BY run_id, node) WHERE s >= 0)"""
-
-
-@_query("trail", f"SELECT count(*) AS n_gates, round(avg(s), 3) AS mean_s, round(median(s), 3) AS med_s, round(quantile_disc(s, 0.9), 3) AS p90_s FROM {_GATES}")
-def gate_latency(spark, d):
-    return folds.gate_latency(V.trail(spark, d))
-
-
-@_query("trail", f"""SELECT *, round(human / nullif(human + machine, 0), 6) AS share FROM (
-SELECT count(*) FILTER (d IN ('tty', 'external')) AS human, count(*) FILTER (d IN ('default', 'flag') OR d LIKE 'lane:%') AS machine,
-  count(*) FILTER (d NOT IN ('tty', 'external', 'default', 'flag') AND d NOT LIKE 'lane:%') AS other
-FROM (SELECT {_LAST.format("decided_by")} AS d FROM trail WHERE event = 'gate-answered' AND run_id IN
-  (SELECT run_id FROM (SELECT run_id, {_LAST.format("event")} FILTER ({_TERMINAL}) AS t FROM trail GROUP BY run_id) WHERE t = 'run-done') GROUP BY run_id, node))""")
-def human_share(spark, d):
-    return folds.human_share(V.trail(spark, d))
-
-
-@_query("runs", """SELECT completed, days, CASE WHEN days >= 1 AND completed > 0 THEN round(completed / days, 6) END AS per_day FROM (
-SELECT count(*) AS completed, greatest(0.0::DOUBLE, (epoch(max(created_at)) - epoch(min(created_at))) / 86400.0::DOUBLE) AS days FROM runs WHERE status = 'done')""")
-def per_day_rate(spark, d):
-    return folds.per_day_rate(V.runs(spark, d))
-
-
-_PARKS = f"""(SELECT run_id, line_no, nxt IS NOT NULL AS resolved, greatest(0, epoch_us(coalesce(nxt, TIMESTAMP '{NOW_TRAIL}')) - epoch_us(ev_at)) / 1e6 AS seconds
-  FROM (SELECT *, lead(ev_at) OVER (PARTITION BY run_id {_E}) AS nxt FROM trail) WHERE event = 'run-halt' AND exit_code = 9)"""
-
-
-@_query("trail", f"SELECT * FROM {_PARKS}")
-def blocked_parks(spark, d):
-    return folds.blocked_parks(V.trail(spark, d), _now(NOW_TRAIL))
-
-
-@_query("trail", f"""SELECT count(*) FILTER (NOT resolved) AS open_parks, round(max(seconds) FILTER (NOT resolved), 3) AS oldest_s,
-  count(*) FILTER (resolved) AS resolved_parks, round(avg(seconds) FILTER (resolved), 3) AS mean_s FROM {_PARKS}""")
-def blocked_snapshot(spark, d):
-    return folds.blocked_snapshot(V.trail(spark, d), _now(NOW_TRAIL))
-
-
-@_query("trail", f"""SELECT run_id, failures, failures >= 3 AS is_open FROM (SELECT run_id, arg_max(n, island) AS failures FROM (
-SELECT run_id, island, count(*) FILTER (event = 'run-halt' AND coalesce(exit_code, 1) NOT IN (6, 8, 9)) AS n FROM (
-SELECT *, count(*) FILTER (event = 'run-done') OVER (PARTITION BY run_id {_E} ROWS UNBOUNDED PRECEDING) AS island FROM trail WHERE {_TERMINAL}) GROUP BY run_id, island) GROUP BY run_id)""")
-def circuit_state(spark, d):
-    return folds.circuit(V.trail(spark, d))
-
-
-@_query("trail", "SELECT run_id, coalesce(max(exit_code) FILTER (exit_code <> 0), 0) AS worst FROM trail GROUP BY run_id")
-def worst_exit(spark, d):
-    return folds.worst_exit(V.trail(spark, d))
-
-
-@_query("trail", """SELECT exit_code, CASE WHEN exit_code = 0 THEN 'DONE' WHEN exit_code IN (6, 8, 9) THEN 'WAITING' ELSE 'FAILED' END AS outcome,
-  CASE exit_code WHEN 6 THEN 'gate' WHEN 8 THEN 'capacity' WHEN 9 THEN 'blocked' END AS waiting_kind, count(*) AS halts FROM trail WHERE event = 'run-halt' GROUP BY ALL""")
-def exit_class(spark, d):
-    rows = V.trail(spark, d).filter("event = 'run-halt'").groupBy("exit_code").agg(F.count("*").alias("halts"))
-    return rows.withColumn("c", S.exit_class(F.col("exit_code"))).select("exit_code", "c.outcome", "c.waiting_kind", "halts")
-
-
-@_query("runs", f"""SELECT run_id, pipeline, CASE WHEN pinned THEN 'pinned' WHEN status = 'running' THEN 'running'
-  WHEN r <= 50 OR epoch(TIMESTAMP '{NOW_RUNS}') - epoch(created_at) <= 90 * 86400 THEN 'retained' ELSE 'delete' END AS verdict
-FROM (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY created_at DESC, run_id DESC) AS r FROM runs)""")
-def gc_plan(spark, d):
-    return folds.keep_plan(V.runs(spark, d), _now(NOW_RUNS), 50, 90)
-
-
-@_query("", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
-def trail_context(spark, d):
-    return folds.last_of_each(V.table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], 3)
-
-
-@_query("trail", "SELECT line_no, run_id, node, CAST(ev_at AS VARCHAR) AS at_raw, n_name AS origin FROM trail LEFT JOIN nation ON n_nationkey = k % 30 WHERE event = 'step-done' AND node = 'n3'")
-def learnings(spark, d):
-    nations = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("_n"), F.col("n_name").alias("origin"))
-    rows = V.trail(spark, d).filter("event = 'step-done' AND node = 'n3'").withColumn("_n", F.col("k") % 30)
-    return rows.join(nations, "_n", "left").select("line_no", "run_id", "node", F.col("ev_at").cast("string").alias("at_raw"), "origin")
-
-
-@_query("items", f"""SELECT item_no, prio, round(prio - greatest(0, epoch(TIMESTAMP '{NOW_RUNS}') - epoch(updated_at)) / 3600.0::DOUBLE, 6) AS effective
-FROM items WHERE lane = 'inbox' ORDER BY effective, item_no LIMIT 100""")
-def aged_queue_topk(spark, d):
-    rows = ledger.aged(V.items(spark, d).filter("lane = 'inbox'"), _now(NOW_RUNS))
-    return rows.select("item_no", "prio", F.round("effective", 6).alias("effective")).orderBy("effective", "item_no").limit(100)
-
-
-_SAFE = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9._-]', '-', 'g'), '([._-])[._-]+', '\\1', 'g'), '^[._-]+|[._-]+$', '', 'g')"
-_NAME = f"'p' || (p_partkey % 10) || '-part-' || {_SAFE.format('p_name')} || '-r' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.json'"
-
-
-@_query("", f"SELECT p_partkey, {_NAME} AS name FROM part")
-def item_names(spark, d):
-    rev = F.concat(F.lit("r"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))
-    return V.table(spark, d, "part").select("p_partkey", S.item_name(F.col("p_partkey") % 10, F.lit("Part"), F.col("p_name"), rev).alias("name"))
-
-
-@_query("", f"""SELECT p_partkey, CAST(regexp_extract(name, '{S.ITEM_NAME}', 1) AS INTEGER) AS prio, regexp_extract(name, '{S.ITEM_NAME}', 3) AS id,
-  regexp_extract(name, '{S.ITEM_NAME}', 4) AS rev FROM (SELECT p_partkey, {_NAME} AS name FROM part)""")
-def parse_names(spark, d):
-    return item_names(spark, d).withColumn("n", S.parse_item_name(F.col("name"))).select("p_partkey", "n.prio", "n.id", "n.rev")
-
-
-@_query("", "SELECT o_orderkey, 'r' || lpad(CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR), 11, '0') || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS token FROM orders")
-def rev_tokens(spark, d):
-    return V.table(spark, d, "orders").select("o_orderkey", S.rev_token(F.col("o_orderdate"), F.col("o_orderkey") % 1000000).alias("token"))
-
-
-@_query("", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)', 1)), '^www\.', ''), '\.[^.]*$', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages""")
-def slug_urls(spark, d):
-    return V.table(spark, d, "pages").select("page_id", S.slug(F.col("url")).alias("slug"))
-
-
-@_query("", "SELECT p_partkey, p_name[1:4] AS head, p_name[1:greatest(0, length(p_name) - 3)] AS body, '-' || p_brand AS tail FROM part")
-def short_dash(spark, d):
-    n = F.col("p_name")
-    return V.table(spark, d, "part").select("p_partkey", S.short(n, 4).alias("head"), S.short(n, -3).alias("body"), S.dash(F.col("p_brand")).alias("tail"))
-
-
-_DIGITS = "regexp_matches(rev, '^[0-9]+$')"
-
-
-@_query("items", f"SELECT identity, item_no, rev FROM items WHERE {_DIGITS} QUALIFY row_number() OVER (PARTITION BY identity ORDER BY TRY_CAST(rev AS BIGINT) DESC, item_no DESC) = 1")
-def rev_latest_dedupe(spark, d):
-    return ledger.newest(V.items(spark, d))
-
-
-@_query("items", f"""SELECT item_no, i.identity, CASE WHEN TRY_CAST(i.rev AS BIGINT) <= tomb THEN 'skip' WHEN l.identity IS NOT NULL THEN 'defer' ELSE 'admit' END AS disposition
-FROM items i LEFT JOIN (SELECT identity, max(TRY_CAST(rev AS BIGINT)) AS tomb FROM items WHERE lane IN ('done', 'failed') AND {_DIGITS} GROUP BY identity) t ON i.identity = t.identity
-LEFT JOIN (SELECT DISTINCT identity FROM items WHERE lane IN ('claim', 'waiting')) l ON i.identity = l.identity WHERE lane = 'inbox'""")
-def admission(spark, d):
-    return ledger.admission(V.items(spark, d))
-
-
-@_query("items", "SELECT identity, count(DISTINCT lane) AS lanes, count(*) AS items FROM items WHERE lane IN ('claim', 'waiting') GROUP BY identity HAVING count(DISTINCT lane) > 1")
-def double_live(spark, d):
-    return ledger.double_live(V.items(spark, d))
-
-
-@_query("", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
-def orphan_items(spark, d):
-    return ledger.orphans(V.table(spark, d, "customer"), V.table(spark, d, "orders").filter("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
-
-
-@_query("items", """SELECT prio, count(*) FILTER (lane = 'inbox') AS inbox, count(*) FILTER (lane = 'claim') AS claim, count(*) FILTER (lane = 'waiting') AS waiting,
-  count(*) FILTER (lane = 'failed') AS failed, count(*) FILTER (lane = 'done') AS done, count(*) FILTER (lane IN ('claim', 'waiting')) AS inflight FROM items GROUP BY prio""")
-def lane_depths(spark, d):
-    return ledger.lane_depths(V.items(spark, d))
-
-
-@_query("", """SELECT l_orderkey, coalesce(max(r) FILTER (r = l_linenumber), 0)::INTEGER AS prefix FROM (SELECT l_orderkey, l_linenumber,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) GROUP BY l_orderkey""")
-def cycle_prefix(spark, d):
-    return folds.prefix_length(V.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
-
-
-@_query("", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-def dims_lookup(spark, d):
-    regions = V.table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")
-    return V.table(spark, d, "nation").join(regions, "n_regionkey").select("n_nationkey", "n_name", "r_name")
-
-
-_KEY = """'{{"day":"' || strftime(o_orderdate, '%Y%m%d') || '","params":{{"customer":"' || o_custkey || '"}},"pipeline":"' || o_orderpriority || '"}}'""".replace("{{", "{").replace("}}", "}")
-
-
-@_query("", f"SELECT o_orderkey, 'sha256:' || sha256({_KEY}) AS key FROM orders")
-def idempotency(spark, d):
-    o = V.table(spark, d, "orders")
-    return o.select("o_orderkey", S.idempotency_key(F.col("o_orderpriority"), {"customer": F.col("o_custkey").cast("string")}, F.date_format("o_orderdate", "yyyyMMdd")).alias("key"))
-
-
-SECRETS = ["example", "www.", "example.com"]
-
-
-@_query("", "SELECT page_id, replace(replace(replace(url, 'example.com', '***'), 'example', '***'), 'www.', '***') AS url FROM pages")
-def redact_urls(spark, d):
-    return V.table(spark, d, "pages").select("page_id", S.redacted(F.col("url"), SECRETS).alias("url"))
-
-
-@_query("", "SELECT n_nationkey, 'run ' || n_name || ' in ' || n_regionkey || '.' AS line FROM nation")
-def template_render(spark, d):
-    values = {"name": F.col("n_name"), "region": F.col("n_regionkey").cast("string")}
-    return V.table(spark, d, "nation").select("n_nationkey", S.rendered("run {name} in {region}.", values).alias("line"))
-
-
-@_query("artifacts", """SELECT doc_id, reasons = '' AS ok, reasons FROM (SELECT doc_id, CASE WHEN quality IS NULL THEN 'unlabelled' ELSE
-  concat_ws('; ', CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN quality = 0 THEN 'low quality' END, CASE WHEN toxic = 1 THEN 'toxic' END) END AS reasons FROM artifacts)""")
-def validate_docs(spark, d):
-    return folds.validated(V.artifacts(spark, d))
-
-
-@_query("", """SELECT * FROM (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.o_orderkey IS NULL THEN 'removed'
-  WHEN a.v IS DISTINCT FROM b.v THEN 'changed' END AS change FROM (SELECT o_orderkey, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0) a
-  FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0) b ON a.o_orderkey = b.o_orderkey) WHERE change IS NOT NULL""")
-def schedule_diff(spark, d):
-    o = V.table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("v"))
-    was = o.filter("o_orderkey % 4 <> 0").withColumn("v", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("v")))
-    return ledger.changed(o.filter("o_orderkey % 3 <> 0"), was, "o_orderkey", "v")
-
-
-@_query("trail", "SELECT DISTINCT run_id, node FROM trail WHERE event IN ('gate-pending', 'gate-answered')")
-def gate_union(spark, d):
-    t = V.trail(spark, d)
-    return t.filter("event = 'gate-pending'").select("run_id", "node").unionByName(t.filter("event = 'gate-answered'").select("run_id", "node")).distinct()
-
-
-@_query("trail", "SELECT ev_at, line_no FROM trail ORDER BY ev_at DESC, line_no DESC LIMIT 1")
-def highwater(spark, d):
-    return stream.high_water(V.trail(spark, d), "ev_at", "line_no")
-
-
-@_query("trail", f"SELECT run_id, line_no FROM trail WHERE ev_at >= TIMESTAMP '{LATE_TRAIL}' - INTERVAL 60 SECONDS")
-def overlap_fetch(spark, d):
-    return stream.overlapping(V.trail(spark, d), "ev_at", _now(LATE_TRAIL)).select("run_id", "line_no")
-
-
-@_query("", "SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
-def stream_follow(spark, d):
-    """All events through a stream that commits batch by batch, then counted; only the counts leave."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    out = f"{base.rstrip('/')}/follow-{uuid.uuid4().hex}"
-    schema = V.table(spark, d, "events").schema
-    stream.commit_after(stream.follow(spark, f"{d}/events.parquet*", schema), f"{out}/rows", f"{out}/offsets")
-    rows = spark.read.schema(schema).parquet(f"{out}/rows")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("users"))
+__all__ = ["ORACLES", "QUERIES", "plan_queries", "queue_queries", "trail_queries"]

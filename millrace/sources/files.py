@@ -1,39 +1,64 @@
-"""Readers of trails, manifests, parameter sets and work items, with explicit schemas; nothing is inferred."""
+"""Readers of trails, manifests, gate decisions, parameter sets and inboxes, with explicit schemas; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import redacted
+
 MANIFEST = "run_id string, pipeline string, created_at string, status string, origin string, params map<string,string>, dims map<string,string>, _bad string"
+GATE = "run_id string, gate string, choice string, `by` string, `at` string, verified boolean, mtime string, _bad string"
+
+#: Fixed value: the file that says which layout an inbox has.
+VERSION_MARKER = "ledger-version"
+
+
+def parse_at(text: Column) -> Column:
+    """UTC time of a text; null where it can't be read. A text without zone is UTC (with the session's zone UTC)."""
+    return F.try_to_timestamp(text.cast("string")).cast("timestamp_ntz")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no from 1, line. Whole files are read so that line numbers are exact; a trail belongs to one run."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n"))).select("file", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+def parse_since(text: str) -> Column:
+    """A bound that a user gave: what can't be read is an error."""
+    return F.to_timestamp(F.lit(text)).cast("timestamp_ntz")
 
 
 def read_trail(spark: SparkSession, path: str) -> DataFrame:
-    """One row per decodable JSON object of the trails under ``path``, in file order by line_no.
+    """One row per decodable JSON object of the trails under ``path``.
 
-    Blank, torn and non-object lines are skipped; a wrongly typed seq or timestamp is null and its line stays.
-    A timestamp without zone is UTC in a session whose zone is UTC.
+    ``line_no`` orders a run's rows as they stand in its file: the place of the block in the file, then the row in the
+    block. Files are split like any text, so a long trail is read by many tasks; a run's lines must stand in one file.
+    The run is the line's ``run_id``, or else the name of the file's folder. Blank, torn and non-object lines are
+    skipped; a wrongly typed seq or time is null and its line stays.
     """
-    body = F.try_parse_json("line")
-    rows = _lines(spark, path).filter(F.trim("line") != "").withColumn("v", body)
-    rows = rows.filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"),
+        F.try_parse_json("value").alias("v"),
+    )
+    rows = lines.filter(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
     text = lambda key: F.try_variant_get("v", f"$.{key}", "string")
+    strings = lambda key: F.try_variant_get("v", f"$.data.{key}", "array<string>")
+    whole = lambda key: F.expr(f"try_cast(try_variant_get(v, '$.{key}', 'string') as bigint)")
+    node = F.when(F.schema_of_variant(F.try_variant_get("v", "$.node", "variant")) == "STRING", text("node"))
     return rows.select(
-        F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("run_id"),
+        F.coalesce(text("run_id"), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)).alias("run_id"),
         "line_no",
-        F.expr("try_cast(try_variant_get(v, '$.seq', 'string') as bigint)").alias("seq"),
+        whole("seq").alias("seq"),
         text("at").alias("at_raw"),
-        F.expr("try_to_timestamp(try_variant_get(v, '$.at', 'string'))").alias("ev_at"),
+        parse_at(text("at")).alias("ev_at"),
         text("event").alias("event"),
-        text("node").alias("node"),
+        node.alias("node"),
+        whole("cycle").alias("cycle"),
         F.try_variant_get("v", "$.data", "variant").alias("data"),
-        F.coalesce(F.try_variant_get("v", "$.data.validator_reasons", "array<string>"), F.array_compact(F.array(F.nullif(text("data.validator_reasons"), F.lit(""))))).alias("reasons"),
+        whole("data.exit_code").cast("int").alias("exit_code"),
+        F.nullif(text("data.by"), F.lit("")).alias("decided_by"),
+        F.coalesce(strings("validator_reasons"), F.array_compact(F.array(F.nullif(text("data.validator_reasons"), F.lit(""))))).alias("reasons"),
+        strings("artifacts").alias("artifacts"),
+        text("data.tag").alias("tag"),
+        text("data.note").alias("note"),
+        F.coalesce(F.try_variant_get("v", "$.data.dark", "boolean"), F.lit(False)).alias("dark"),
     )
 
 
@@ -44,24 +69,84 @@ def since(trail: DataFrame, seq: int) -> DataFrame:
 
 def last_seq(trail: DataFrame) -> DataFrame:
     """run_id, last_seq: of the last line, not the largest; 0 where it has none."""
-    return trail.groupBy("run_id").agg(F.coalesce(F.max_by("seq", "line_no"), F.lit(0)).alias("last_seq"))
+    return trail.groupBy("run_id").agg(F.coalesce(F.max_by("seq", "line_no"), F.lit(0)).cast("long").alias("last_seq"))
+
+
+def _json(spark: SparkSession, path: str, schema: str, strict: bool) -> DataFrame:
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad")
+    return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
 def read_manifests(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Run manifests; a broken one is dropped, or with ``strict`` ends the job."""
-    reader = spark.read.schema(MANIFEST).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad")
-    rows = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    """Run manifests, a JSON object a line; a broken one is dropped, or with ``strict`` ends the job."""
+    rows = _json(spark, path, MANIFEST, strict)
     return rows.filter(F.col("_bad").isNull() & F.col("run_id").isNotNull()).drop("_bad")
 
 
+def broken_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``read_manifests`` drops."""
+    rows = spark.read.schema("value string").text(path)
+    return rows.filter(~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)) & (F.trim("value") != ""))
+
+
+def read_gates(spark: SparkSession, path: str) -> DataFrame:
+    """Gate decisions that are kept as files: run_id, gate, decided_by, verified, decided_at, mtime. A decision that is
+    not verified stays, for it was made; who made it does not count.
+    """
+    rows = _json(spark, path, GATE, False).filter(F.col("_bad").isNull() & F.col("gate").isNotNull())
+    return rows.select("run_id", "gate", F.col("by").alias("decided_by"), F.coalesce("verified", F.lit(False)).alias("verified"), parse_at(F.col("at")).alias("decided_at"), parse_at(F.col("mtime")).alias("mtime"))
+
+
 def read_param_sets(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and params of a JSONL file; any line that is no object ends the job with its number."""
-    rows = _lines(spark, path).filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
+    """line_no and params of a JSONL file that drives a batch. A line that is no object ends the job with its number,
+    and so does a file without lines. Such a file is written by hand, so it is read as one value.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split("value", "\n"))).select((F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+    rows = lines.filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
     good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     message = F.concat(F.lit("not a JSON object: line "), F.col("line_no").cast("string"))
-    return rows.select("line_no", F.when(good, F.col("v")).otherwise(F.raise_error(message).cast("variant")).alias("params"))
+    out = rows.select("line_no", F.when(good, F.col("v")).otherwise(F.raise_error(message).cast("variant")).alias("params"))
+    if out.limit(1).count() == 0:
+        raise ValueError(f"no parameter sets in {path}")
+    return out
+
 
+def append_trail(events: DataFrame, path: str, secrets: list[str] | None = None) -> None:
+    """Append rows (run_id, line_no, at, event, node, data as text) to a trail store as JSON lines.
 
-def append_trail(events: DataFrame, path: str) -> None:
-    """Append rows to a partitioned trail as JSON lines, one file set a run."""
-    events.write.mode("append").partitionBy("run_id").json(path)
+    Secrets are replaced before anything is serialised. ``seq`` goes on from each run's last line; a run's rows of one
+    call stand in one file, in order. The store must be read through ``read_trail`` by runs of one writer at a time.
+    """
+    spark = events.sparkSession
+    try:
+        last = last_seq(read_appended(spark, path))
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        last = spark.createDataFrame([], "run_id string, last_seq long")
+    rows = events.withColumn("run_id", F.col("run_id").cast("string"))
+    for c in ("event", "node", "data"):
+        rows = rows.withColumn(c, redacted(F.col(c), secrets or []))
+    n = F.row_number().over(Window.partitionBy("run_id").orderBy("line_no"))
+    numbered = rows.withColumn("_n", n).join(last, "run_id", "left").withColumn("seq", F.coalesce("last_seq", F.lit(0)) + F.col("_n"))
+    line = F.to_json(F.struct(F.lit(1).alias("v"), "seq", "at", "run_id", "event", "node", F.struct(F.col("data").alias("text")).alias("data")))
+    numbered.select("run_id", "seq", line.alias("value")).repartition("run_id").sortWithinPartitions("run_id", "seq").select("value").write.mode("append").text(path)
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """What ``append_trail`` wrote: later calls write other files, so a run's rows stand by ``seq``."""
+    rows = read_trail(spark, path)
+    return rows.withColumn("line_no", F.col("seq")).withColumn("text", F.try_variant_get("data", "$.text", "string"))
+
+
+def scan_inbox(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """name, mtime, size of the files at the top of an inbox, by name: no folders, no dot-names, no version marker."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(folder)
+    rows = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return candidates(rows)
+
+
+def candidates(files: DataFrame) -> DataFrame:
+    """The rows (name) that may be claimed, by name."""
+    return files.filter(~F.col("name").startswith(".") & (F.col("name") != VERSION_MARKER)).orderBy("name")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.plans import schema_reasons
+
 
 def follow(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
     """Rows of the Parquet files that arrive under ``path``; the checkpoint is the consumer's offset."""
@@ -37,9 +41,65 @@ def high_water(rows: DataFrame, at: str, key: str) -> DataFrame:
     return rows.agg(F.max(F.struct(at, key)).alias("m")).select(f"m.{at}", f"m.{key}")
 
 
-def overlapping(rows: DataFrame, at: str, mark, seconds: int = 60) -> DataFrame:
-    """Rows from ``seconds`` before the mark on; what was seen before is for the caller to deduplicate."""
-    return rows.filter(F.col(at) >= mark - F.expr(f"INTERVAL {seconds} SECONDS"))
+def overlapping(rows: DataFrame, at: str, mark: Column | None, seconds: int = 60) -> DataFrame:
+    """Rows from ``seconds`` before the mark on, and those whose time can't be read; without a mark all rows. What an
+    earlier fetch has seen comes again: see ``unseen``.
+    """
+    if mark is None:
+        return rows
+    return rows.filter(F.col(at).isNull() | (F.col(at) >= mark - F.expr(f"INTERVAL {seconds} SECONDS")))
+
+
+def unseen(rows: DataFrame, key: list[str], seen: DataFrame | None = None) -> DataFrame:
+    """One row a key, without the keys of ``seen``."""
+    once = rows.dropDuplicates(key)
+    return once if seen is None else once.join(seen.select(key).distinct(), key, "left_anti")
+
+
+def isolated(rows: DataFrame, schema: dict[str, dict]) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep to ``schema`` (see ``plans.schema_reasons``), and the others with their ``reason``: one bad row
+    does not stop a fetch.
+    """
+    told = rows.withColumn("reason", F.array_join(schema_reasons(schema), "; "))
+    return told.filter("reason = ''").drop("reason"), told.filter("reason <> ''")
+
+
+def poll_report(good: DataFrame, bad: DataFrame, at: str, key: str, reasons: int = 20) -> DataFrame:
+    """One row: emitted and skipped rows, at most ``reasons`` reasons, and the greatest (at, key) by text as the cursor."""
+    mark = good.agg(F.count("*").alias("emitted"), F.max(F.struct(F.col(at).cast("string").alias("updated_at"), F.col(key).cast("string").alias("id"))).alias("cursor"))
+    some = bad.select("reason").orderBy("reason").limit(reasons).agg(F.collect_list("reason").alias("reasons"))
+    return mark.join(F.broadcast(bad.agg(F.count("*").alias("skipped")))).join(F.broadcast(some))
+
+
+def pull(spark: SparkSession, path: str, schema: T.StructType, out: str, checkpoint: str, inbox_max: int, files_per_batch: int = 100) -> dict:
+    """Fetch what has arrived under ``path`` to the spool ``out``, unless that holds ``inbox_max`` files or more: then
+    nothing is read, the offset stays, and the report says so. An ``inbox_max`` below 1 sets no bound.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    try:
+        depth = files.load(out).select("path").count()
+    except AnalysisException as e:  # nothing has been fetched yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        depth = 0
+    if inbox_max >= 1 and depth >= inbox_max:
+        return {"complete": True, "paused": True, "depth": depth, "batches": 0}
+    return {"complete": True, "paused": False, "depth": depth, "batches": commit_after(follow(spark, path, schema, files_per_batch), out, checkpoint)}
+
+
+def next_cursor(current: str | None, scratch: str | None) -> tuple[str | None, str | None]:
+    """The cursor after a step and a warning, if any: an empty or unchanged scratch moves nothing, and what is no cursor
+    (a JSON object of two texts) moves nothing either but is told.
+    """
+    if not (scratch or "").strip():
+        return current, None
+    try:
+        found = json.loads(scratch)
+    except ValueError:
+        return current, "scratch is no JSON; the cursor stays"
+    if not isinstance(found, dict) or not all(isinstance(found.get(k), str) for k in ("updated_at", "id")):
+        return current, "scratch is no cursor; the cursor stays"
+    return json.dumps({k: found[k] for k in ("updated_at", "id")}, separators=(",", ":")), None
 
 
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str, late: str) -> DataFrame:

@@ -20,7 +20,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, duck, name):
     got = QUERIES[name](spark, D)
-    want = duck.execute(ORACLES[name]).to_arrow_table()
+    want = duck.sql(ORACLES[name]).to_arrow_table()
     names = sorted(got.columns)
     assert names == sorted(want.column_names)
     key = lambda row: tuple((v is None, str(v)) for v in row)
