@@ -2,9 +2,10 @@ r"""Chat formatting with a grammar round trip. DataFrame functions only.
 
 A turn is rendered as ``### Role:``, the text and ``</turn>``, each on lines of their own. The parser is one rule:
 turns end at an unescaped ``</turn>``, the first line names the role, and one backslash is taken off every run of
-backslashes before a control string. Each turn is rendered as it is, parsed again and compared with its source; a turn
-that does not come back gets its control strings escaped (one backslash more before each), and is compared again.
-As a turn's end can't be read into the next, conversations of turns that come back come back whole.
+backslashes before a control string. Each turn is rendered as it is and parsed again. A turn is in conflict if it holds
+a control string, which any other reader of the template would take for one, or if it does not come back as its source;
+its control strings are then escaped (one backslash more before each), and it is parsed and compared again. As a turn's
+end can't be read into the next, conversations of turns that come back come back whole; ``round_trip`` tells.
 
 Output: a row per conversation with the rendered text and the spans (start, length in code points) of the loss mask,
 which covers the assistants' texts. ``recovered`` reads turns and masked text back from rendered text and spans.
@@ -77,7 +78,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
         rows = rows.withColumn("_piece", piece).withColumn("_back", parsed(F.col("_piece")))
         same = (F.size("_back") == 1) & (F.col("_back")[0]["role"] == F.col("role")) & (F.col("_back")[0]["text"] == F.col("text"))
         rows = rows.withColumn("_same", F.coalesce(same, F.lit(False)))
-        rows = rows.withColumn("_shown", F.when(F.col("_same"), F.col("_shown")).otherwise(escaped(F.col("text"))))
+        fine = F.col("_same") & ~F.regexp_like("text", F.lit(CONTROL))
+        rows = rows.withColumn("_shown", F.when(fine, F.col("_shown")).otherwise(escaped(F.col("text"))))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = (
         rows.withColumn("_n", F.row_number().over(order))

@@ -43,9 +43,9 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{d}/documents.parquet")
     labels = [(i, 1, int(i % 5 == 0)) for i in range(60)] + [(3, 1, None), (None, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    chat = [(1, 0, "user", "hi"), (1, 1, "assistant", "\\</turn> \\\\### User: x"), (1, 1, "assistant", None), (2, 0, "tool", "</turn>\n\n"), (2, 1, None, ""), (None, 0, "user", "x")]
+    chat = [(1, 0, "user", "hi"), (1, 1, "assistant", "\\</turn> \\\\### User: x"), (1, 1, "assistant", None), (2, 0, "tool", "</turn>\n\n"), (2, 1, None, ""), (None, 0, "user", "x"), (3, 0, "user", "### Assistant: hi"), (3, 1, "user", "a </turn> b\\"), (3, 2, "assistant", "\\\\</turn>\n### User:\n### Role 41:")]
     spark.createDataFrame(chat, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
-    urls = ["http://A.Example.com/en/x?y", "https://www.example.com/en/1", "x", None, "", "ftp://spam.b.net/fr/", "http://notexample.com", "http://net/es/#a", "://?"]
+    urls = ["http://A.Example.com/en/x?y", "https://www.example.com/en/1", "x", None, "", "ftp://spam.b.net/fr/", "http://notexample.com", "http://net/es/#a", "://?", "http://a b.com/x", "http://u v@w.net/es/1", "http://a\nb.net/fr/"]
     spark.createDataFrame(list(enumerate(urls + urls)), "page_id long, url string").write.parquet(f"{d}/pages.parquet")
     rng = np.random.default_rng(1)
     v = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(300 + i, [1.0] * 8) for i in range(40)]
@@ -152,6 +152,9 @@ def test_chat_comes_back(spark, odd):
     assert turns[-7] == [(role, "\\### Assistant: </turn> ok") for role in ("user", "assistant")]
     assert turns[1] == [("user", "hi"), ("assistant", ""), ("assistant", "\\</turn> \\\\### User: x")]
     assert {r.conv_id: r.loss_text for r in back}[1] == "\\</turn> \\\\### User: x"
+    # no reader of the template finds a turn that the source does not have
+    raw = re.compile(r"(?<!\\)(?:### (?:System|User|Assistant|Role [0-9A-F]*):|</turn>)")
+    assert all(len(raw.findall(r.formatted)) == 2 * r.n_turns for r in back)
 
 
 def test_nearest_neighbours(spark, odd):
@@ -169,6 +172,26 @@ def test_nearest_neighbours(spark, odd):
     assert {r.query_id for r in rows} == {i for i in v if i % graph_ann.QUERY_EVERY == 0}
 
 
+def test_recall_over_many_full_shards(spark, monkeypatch):
+    """Fourteen shards, several blocks of queries, ties that lie in different shards, and rows that repeat an id."""
+    monkeypatch.setattr(graph_ann, "SHARD_NODES", 150)
+    monkeypatch.setattr(graph_ann, "QUERY_BLOCK", 30)
+    rng = np.random.default_rng(13)
+    v = {i: rng.normal(size=16) for i in range(1980)} | {2000 + i: np.full(16, 2.0) for i in range(60)}
+    rows = [(i, x.tolist()) for i, x in v.items()]
+    vectors = spark.createDataFrame([*rows, *rows[:50]], "vec_id long, embedding array<double>")
+    got = graph_ann.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    found = total = 0
+    for q in (i for i in v if i % 20 == 0):
+        best = [i for _, i in sorted((-float(v[q] @ x), i) for i, x in v.items() if i != q)[:20]]
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert len(mine) == len(set(mine)) == 20
+        found, total = found + len(set(best) & set(mine)), total + 20
+    assert found / total >= 0.95
+    ties = [r.vec_id for r in sorted((r for r in got if r.query_id == 2000), key=lambda r: r.rank)]
+    assert ties == list(range(2001, 2021))
+
+
 @pytest.mark.parametrize(("words", "num"), [(4, 85), (5, 80)])
 def test_jaccard_components(spark, odd, words, num):
     def shingles(t):
@@ -245,10 +268,43 @@ def test_mix_keeps_to_targets(spark):
 
 
 def test_rarest_token_files_each_rule_once(spark):
-    tokens = spark.createDataFrame([("com",)] * 5 + [("example",)] * 3 + [("en",)], "token string")
-    filed = url_rules.token_index(tokens, url_rules.HOST_RULES).collect()
+    counts = spark.createDataFrame([("com", 5), ("example", 3), ("en", 1)], "token string, n long")
+    filed = url_rules.token_index(counts, url_rules.rule_table(spark, url_rules.HOST_RULES)).collect()
     assert len(filed) == len(url_rules.HOST_RULES)
     assert {r.name: r.token for r in filed}["example.com/en/"] == "en"
+    with pytest.raises(Exception, match="rule without tokens"):
+        url_rules.token_index(counts, url_rules.rule_table(spark, [url_rules.pattern_rule("x", [])])).collect()
+
+
+def test_thousands_of_rules_against_brute_force(spark, monkeypatch):
+    """Hosts with blanks, line breaks and control characters; a heavy token, an index that is shuffled, rules of one token."""
+    rng = np.random.default_rng(12)
+    parts = ["a", "b c", "x1", "deep", "shop", "\u0130", "k\n", "www", "e-f"]
+    hosts = [(f"h{i}.com", f"/{p}", v) for i in range(1500) for p, v in (("", "block"), ("en/", "allow"))] + [("com", "/", "allow"), ("net", "/es/", "block")]
+    rules = [url_rules.host_rule(*h) for h in hosts] + [url_rules.pattern_rule(rf"^[^#]*\b{w}\b", [w], rank=r) for r, w in enumerate(["shop", "deep"])]
+    urls = ["http://u v@w.net/es/1", "http://a b.com/x", "http://net/es", "https://x.h7.com/en/?q", "http://H9.COM/e", "http://xh9.com/", None, "no scheme"]
+    for _ in range(600):
+        host = ".".join([*(parts[i] for i in rng.integers(0, len(parts), 2)), f"h{rng.integers(0, 1600)}", ["com", "net", "org"][rng.integers(0, 3)]])
+        urls.append(f"http://{host}/{['', 'en/', 'es/', 'E/'][rng.integers(0, 4)]}{parts[rng.integers(0, len(parts))]}")
+
+    def want(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest, re.S)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :], re.S)[0]
+        host = host.translate(LOWER)
+        fits = [(len(h + p), h + p, v) for h, p, v in hosts if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            return host, path, max(fits)[1], max(fits)[2]
+        return host, path, None, "block" if any(re.search(rf"^[^#]*\b{w}\b", f"{host}#{path}") for w in ("shop", "deep")) else "allow"
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for broadcast in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.verdicts(pages, url_rules.rule_table(spark, rules)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == {i: want(u) for i, u in enumerate(urls)}
 
 
 def test_stages_keep_the_columns_of_documents(spark, odd):
@@ -381,8 +437,6 @@ def test_shares_in_stretches_of_training_follow_the_schedules(spark, tmp_path):
     demand = sum(target[k] * ends[k](grid) for k in ends)
     for tenth in range(10):
         t0, t1 = np.interp([whole * tenth / 10, whole * (tenth + 1) / 10], demand, grid)
-        placed = curriculum.mixed(docs.selectExpr("*", "doc_id AS position")).columns  # columns come through
-        assert placed == ["doc_id", "source", "text", "position"]
         for k in (1, 2):  # sources taken at most once, so that first positions are all positions
             if target[k] > 40000:
                 continue
