@@ -3,12 +3,16 @@
 A rule has a regular expression, the literal tokens that every URL it matches must hold, and a verdict. The tokens of
 all URLs are counted for the rules' tokens only; each rule is filed under the one that fewest URLs hold. A URL's
 tokens fetch their rules, and only those regular expressions run. The rule of highest rank wins; where none fits, the
-verdict is allow. The index is joined, so Spark broadcasts it below its threshold and shuffles it beyond.
+verdict is allow. Rules are a table of any size: the index is joined, so Spark broadcasts it below its threshold and
+shuffles it beyond. Tokens with more than HEAVY_SHARE of all URL tokens are at most 1 / HEAVY_SHARE; their URLs are dealt
+to SALTS tasks each, and their rules, copied as often, go along.
 
-Host rules (host, path) fit a host, its subdomains and paths that start with theirs; they are compiled to the same
-kind of rule and rank before patterns, longest first.
+Expressions see the host and the path with a ``#`` between, which neither can hold. Host rules (host, path) fit a host,
+its subdomains and paths that start with theirs; they are compiled to the same kind of rule and rank before patterns,
+longest first.
 
-Defined results: null and URLs without ``://`` have an empty host and path and no rule; equal URLs get equal verdicts
+Defined results: a rule without tokens is an error, since no URL would fetch it; of rules with one rank the last by name
+and pattern wins; null and URLs without ``://`` have an empty host and path and no rule; equal URLs get equal verdicts
 on rows of their own; an empty table gives an empty result; only the id and the URL are read.
 """
 
@@ -18,18 +22,21 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import table, written
 
 TOKEN = "[a-z0-9]+"
+#: Share of all URL tokens from which one is heavy, and the tasks that a heavy token's URLs are dealt to.
+HEAVY_SHARE, SALTS = 1 / 1000, 32
+RULES_SCHEMA = "name string, pattern string, tokens array<string>, verdict string, rank long"
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str | None  # reported where the rule decides; patterns report none
-    pattern: str  # of the lower-case host, a blank, and the path
+    pattern: str  # of the lower-case host, a #, and the path
     tokens: tuple[str, ...]  # all of them are in every URL that matches
     verdict: str
     rank: int
@@ -37,7 +44,7 @@ class Rule:
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     """``host`` and its subdomains, paths that start with ``path``. Tokens at the path's open end are not literal."""
-    pattern = rf"^(?:[^ ]*\.)?{re.escape(host)} {re.escape(path)}".replace(r"\ ", " ")
+    pattern = rf"^(?:[^#]*\.)?{re.escape(host)}#{re.escape(path)}"
     closed = path if path.endswith("/") else path[: path.rfind("/") + 1]
     return Rule(host + path, pattern, tuple(re.findall(TOKEN, host + closed.lower())), verdict, 1_000_000 + len(host + path))
 
@@ -55,12 +62,12 @@ HOST_RULES = (
 )
 #: Words in a host's labels that mark spam, each with what must stand beside it.
 PATTERN_RULES = (
-    pattern_rule(r"^[^ ]*(?:^|[.-])spam[.-]", ["spam"]),
-    pattern_rule(r"^[^ ]*(?:^|[.-])cheap-[a-z]+\.", ["cheap"]),
-    pattern_rule(r"^[^ ]*(?:^|[.-])pills[.-]", ["pills"]),
-    pattern_rule(r"^[^ ]*(?:^|[.-])casino[.-]", ["casino"]),
-    pattern_rule(r"^[^ ]*(?:^|[.-])xxx[.-]", ["xxx"]),
-    pattern_rule(r"^[^ ]*(?:^|[.-])click-bait[.-]", ["click", "bait"]),
+    pattern_rule(r"^[^#]*(?:^|[.-])spam[.-]", ["spam"]),
+    pattern_rule(r"^[^#]*(?:^|[.-])cheap-[a-z]+\.", ["cheap"]),
+    pattern_rule(r"^[^#]*(?:^|[.-])pills[.-]", ["pills"]),
+    pattern_rule(r"^[^#]*(?:^|[.-])casino[.-]", ["casino"]),
+    pattern_rule(r"^[^#]*(?:^|[.-])xxx[.-]", ["xxx"]),
+    pattern_rule(r"^[^#]*(?:^|[.-])click-bait[.-]", ["click", "bait"]),
 )
 
 
@@ -79,27 +86,42 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def token_index(tokens: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(token, name, pattern, verdict, rank): every rule once, under its token that the fewest URLs hold."""
-    spark = tokens.sparkSession
-    rows = [(i, t, r.name, r.pattern, r.verdict, r.rank) for i, r in enumerate(rules) for t in r.tokens]
-    filed = spark.createDataFrame(rows, "rule_no int, token string, name string, pattern string, verdict string, rank int")
-    counts = tokens.join(filed.select("token").distinct(), "token", "left_semi").groupBy("token").count()
-    counted = filed.join(counts, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    return counted.groupBy("rule_no", "name", "pattern", "verdict", "rank").agg(F.min_by("token", F.struct("count", "token")).alias("token")).drop("rule_no")
+def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
+    """Rules as rows; a table of the same columns may be read from anywhere instead."""
+    return spark.createDataFrame([(r.name, r.pattern, list(r.tokens), r.verdict, r.rank) for r in rules], RULES_SCHEMA)
 
 
-def verdicts(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """One row per page: id, host, path, rule and verdict."""
-    rows = with_parts(pages.select(page_id, url), url).select(F.monotonically_increasing_id().alias("_row"), page_id, "host", "path")
-    text = F.concat("host", F.lit(" "), "path")
+def token_index(counts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(token, name, pattern, verdict, rank): every rule once, under its token that the fewest URLs hold.
+
+    ``counts``: (token, n) of the URLs' tokens; a token that no URL holds counts 0.
+    """
+    some = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("rule without tokens: "), "pattern")).cast("array<string>"))
+    filed = rules.distinct().withColumn("token", F.explode(some))
+    counted = filed.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counted.groupBy("name", "pattern", "verdict", "rank").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+
+
+def verdicts(pages: DataFrame, rules: DataFrame | None = None, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """One row per page: id, host, path, rule and verdict. ``rules``: see RULES_SCHEMA; by default the rules above."""
+    rules = rules if rules is not None else rule_table(pages.sparkSession, (*HOST_RULES, *PATTERN_RULES))
+    # row numbers of one evaluation: written, since the tokens' counts and the verdicts read them both
+    rows = written(with_parts(pages.select(page_id, url), url).select(F.monotonically_increasing_id().alias("_row"), page_id, "host", "path"), "urls")
+    text = F.concat("host", F.lit("#"), "path")
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})")))
     tokens = rows.select(F.explode(found).alias("token"))
-    index = token_index(tokens, (*host_rules, *pattern_rules))
-    fetched = rows.withColumn("token", F.explode_outer(found)).join(index, "token", "left")
-    hit = F.coalesce(F.expr("concat(host, ' ', path) rlike pattern"), F.lit(False))
-    best = F.max_by(F.struct("name", "verdict"), F.when(hit, F.struct("rank", "name", "pattern")))
-    judged = fetched.groupBy("_row", page_id, "host", "path").agg(best.alias("_best"))
+    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    counts = written(tokens.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")), "token-counts")
+    limit = max(1, int((counts.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE))
+    heavy = counts.filter(F.col("n") > limit).select("token", F.lit(True).alias("_heavy"))  # at most 1 / HEAVY_SHARE rows
+    index = token_index(counts, rules).join(F.broadcast(heavy), "token", "left")
+    index = index.withColumn("_salt", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_heavy")
+    held = rows.withColumn("token", F.explode(found)).join(wanted, "token", "left_semi").join(F.broadcast(heavy), "token", "left")
+    salted = held.withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).otherwise(0))
+    fetched = salted.join(index, ["token", "_salt"])
+    best = F.max_by(F.struct("name", "verdict"), F.struct("rank", "name", "pattern"))
+    hits = fetched.filter(F.expr("concat(host, '#', path) rlike pattern")).groupBy("_row").agg(best.alias("_best"))
+    judged = rows.join(hits, "_row", "left")
     return judged.select(page_id, "host", "path", F.col("_best.name").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"))
 
 
@@ -119,7 +141,7 @@ rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/e
 patterns(pattern) AS (VALUES {", ".join(f"({_sql_text(r.pattern)})" for r in PATTERN_RULES)}),
 m AS (SELECT r, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule, arg_max(verdict, length(rules.host || rules.path)) AS verdict
   FROM h JOIN rules ON (h.host = rules.host OR ends_with(h.host, '.' || rules.host)) AND starts_with(h.path, rules.path) GROUP BY r),
-s AS (SELECT DISTINCT r FROM h JOIN patterns ON regexp_matches(h.host || ' ' || h.path, pattern))
+s AS (SELECT DISTINCT r FROM h JOIN patterns ON regexp_matches(h.host || '#' || h.path, pattern))
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN s.r IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM h LEFT JOIN m USING (r) LEFT JOIN s USING (r)
 """
