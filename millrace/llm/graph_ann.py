@@ -2,7 +2,8 @@
 
 Equal vectors are one node that knows the smallest ids of its copies; as many as a query can return are enough, and
 they are found with salts, so a vector that a third of all rows hold is no hot key. Nodes are dealt to shards of about
-SHARD_NODES. In a shard every node searches the graph greedily from the middle; what it meets on the way is pruned, so
+SHARD_NODES, and every block of QUERY_BLOCK queries meets every shard, so n rows cost n * queries / SHARD_NODES searches
+and each of the two is copied for every other: both are as large as a task can well hold. In a shard every node searches the graph greedily from the middle; what it meets on the way is pruned, so
 that of two candidates in one direction the nearer stays unless the other is RELAXED times nearer to the node than to
 it; kept edges are also offered backwards. Beam search runs a block of queries over a shard side by side. The shards'
 best are ranked again in double precision on the original vectors.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table, written
 
 K, QUERY_EVERY = 20, 20
-SHARD_NODES, QUERY_BLOCK = 4096, 4096
+SHARD_NODES, QUERY_BLOCK = 16_384, 32_768
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAXED, SEED = 32, 48, 64, 1.2, 5
 BATCH, SALTS = 256, 64
 
@@ -125,9 +126,13 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
             first = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
             times = np.diff(np.append(first, len(dst)))
             nodes = dst[first]
-            offered = np.full((len(nodes), times.max()), -1, np.int64)
-            offered[np.arange(times.max()) < times[:, None]] = src
-            edges[nodes] = pruned(x, nodes, np.concatenate([edges[nodes], offered], 1), relaxed)
+            # nodes with like numbers of offers go together, so that one hub does not widen all rows
+            width = 1 << np.ceil(np.log2(times)).astype(int)
+            for wide in np.unique(width):
+                some = np.flatnonzero(width == wide)
+                offered = np.full((len(some), wide), -1, np.int64)
+                offered[np.arange(wide) < times[some, None]] = src[np.isin(np.repeat(np.arange(len(nodes)), times), some)]
+                edges[nodes[some]] = pruned(x, nodes[some], np.concatenate([edges[nodes[some]], offered], 1), relaxed)
     return edges, entry
 
 
@@ -168,6 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return group.append_column("node", pa.array(np.arange(len(edges), dtype=np.int32))).append_column("entry", pa.array(np.full(len(edges), entry, np.int32)))
 
     sharded = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(n_shards)).cast("int")).select("shard", "ids", "embedding")
+    sharded = sharded.repartition(n_shards, "shard")  # a number of its own: adaptive execution puts no shards together
     graph = sharded.groupBy("shard").applyInArrow(index, "shard int, ids array<long>, embedding array<double>, edges array<int>, node int, entry int")
     graph = written(graph, "graph")
 
