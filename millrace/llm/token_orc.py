@@ -51,7 +51,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -
                     names=["part", "doc_id", "local_start", "n_tokens", "ids"],
                 )
                 done, at = done + n, at + int(offsets[-1])
-        make.forget()  # the Python worker goes on to other stages' tasks
         tidy()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text"))
