@@ -92,8 +92,9 @@ def assigned(sized: DataFrame, doc_id: str = "doc_id", source: str = "source") -
     ahead = Window.partitionBy("_null", "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     goal = written(targets(sized, source), "targets")
     # what the sources of each class ask for in all: one number a schedule
-    asked = goal.agg(*[F.coalesce(F.sum(F.when(F.col("_class") == k, F.col("target"))), F.lit(0.0)).alias(f"_d{k}") for k in range(len(SCHEDULES))])
-    goal = goal.join(F.broadcast(asked)).withColumn("_null", F.col(source).isNull()).withColumn("_s", F.coalesce(source, F.lit(""))).drop(source)
+    asked = goal.agg(*[F.coalesce(F.sum(F.when(F.col("_class") == k, F.col("target"))), F.lit(0.0)).alias(f"_d{k}") for k in range(len(SCHEDULES))]).first()
+    goal = goal.select("*", *[F.lit(float(x)).alias(c) for c, x in asked.asDict().items()])
+    goal = goal.withColumn("_null", F.col(source).isNull()).withColumn("_s", F.coalesce(source, F.lit(""))).drop(source)
     bases = sums.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n").join(goal, ["_null", "_s"])
     within = Window.partitionBy(*key).orderBy("_h", doc_id, "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
