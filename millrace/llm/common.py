@@ -62,7 +62,7 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, tota
 
     Keys with over HEAVY_SHARE of all rows are at most 1 / HEAVY_SHARE and are broadcast, so that a hot key's rows
     stay where they are; the others are joined by a shuffle in which no key is large. Rows whose key is null or
-    unknown stay, with nulls.
+    unknown stay, with nulls. ``rows`` is read once for each of three branches, so it should be a stored table.
     """
     limit = max(1, int(total * HEAVY_SHARE))
     heavy, light = per_key.filter(F.col(count) > limit), per_key.filter(F.col(count) <= limit)

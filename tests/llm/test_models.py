@@ -10,7 +10,7 @@ import pytest
 from pyarrow import orc
 from pyspark.sql import functions as F
 
-from millrace.llm import hmm_lm, nnls_pack, token_orc
+from millrace.llm import hmm_lm, nnls_pack, token_orc, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -135,3 +135,20 @@ def test_starts_of_equal_and_null_ids(spark, tmp_path):
     rows = token_orc.starts(token_orc.read_tokens(spark, path)).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 1, 2, 2]
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+
+
+def test_threshold_is_that_of_the_best_f1():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        y = rng.integers(0, 2, 60)
+        score = np.clip(0.75 + 0.1 * (y - 0.5) + rng.normal(0, 0.12, 60), 0, 1)
+        reached = np.zeros((2, len(toxicity.OPTIONS) + 1))
+        for s, k in zip(score, y, strict=True):
+            reached[k, (s >= toxicity.OPTIONS).sum()] += 1
+
+        def f1(t):
+            hit, said = ((score >= t) & (y == 1)).sum(), (score >= t).sum()
+            return 2 * hit / (said + y.sum()) if said + y.sum() else 0.0
+
+        got = toxicity.threshold(reached, np.ones(2))
+        assert f1(got) == pytest.approx(max(map(f1, toxicity.OPTIONS)), abs=1e-9)
