@@ -439,7 +439,11 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component, for the nodes that have an edge."""
+    """(node, label): the smallest node of each node's component, for the nodes that have an edge.
+
+    Labels spread to neighbours and jump to their label's label, so a chain of n links takes about log2(n) rounds; a
+    round is one join by node for each and one small table.
+    """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
