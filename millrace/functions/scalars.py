@@ -209,6 +209,32 @@ def source_status(checked: Column, upstream: Column, closed: Column) -> Column:
     return F.when(closed, "closed").when(F.coalesce(upstream != checked, F.lit(False)), "changed").otherwise("current")
 
 
+def glob_pattern(glob: str) -> str:
+    """A shell pattern (*, ?, [abc], [!abc]) over a whole text as a regular expression of Java's."""
+    out, i = [], 0
+    while i < len(glob):
+        c, end = glob[i], glob.find("]", i + 2 + (glob[i + 1 : i + 2] == "!")) if glob[i] == "[" else -1
+        if end > 0:
+            body = glob[i + 1 : end]
+            out.append("[" + ("^" if body[0] == "!" else "") + re.sub(r"([\\\[\]^&])", r"\\\1", body.removeprefix("!")) + "]")
+            i = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(c, re.escape(c)))
+        i += 1
+    return "(?s)^" + "".join(out) + r"\z"
+
+
+def guards_matched(tool: Column, command: Column, guards: list[tuple[str, str, str]]) -> Column:
+    """The names of the guards (name, tool, command pattern) that a call falls under, in order; an empty tool or pattern
+    fits everything.
+    """
+    hits = []
+    for name, own, glob in guards:
+        hit = (tool == own if own else F.lit(True)) & (command.rlike(glob_pattern(glob)) if glob else F.lit(True))
+        hits.append(F.when(hit, name))
+    return F.array_compact(F.array(*hits))
+
+
 #: What a log says where a login is missing; the last bytes of a log that are searched.
 AUTH_SIGNS = ("not logged in", "please run", "/login", "invalid api key", "unauthorized", "authentication", "no credentials", "log in to")
 AUTH_TAIL = 8192

@@ -241,9 +241,13 @@ def per_day_rate(trail: DataFrame, now: Column, start: Column | None = None) ->
 
 
 def board(trail: DataFrame, manifests: DataFrame, files: DataFrame, now: Column, start: Column | None = None) -> DataFrame:
-    """The gauge board: one row. Runs with a manifest count; with ``start`` those in its window, with all their events."""
+    """The gauge board: one row. Runs with a manifest count; with ``start`` those in its window, with all their events.
+
+    The columns that gauges read are stored once, so that lines are parsed once and not for every gauge.
+    """
     known = trail.join(manifests.select("run_id"), "run_id", "left_semi")
     seen = known if start is None else window_runs(known, start, manifests)
+    seen = stored(seen.select("run_id", "line_no", "ev_at", "event", "node", "exit_code", "decided_by", "reasons", "artifacts"), "seen")
     totals = step_rates(seen).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("passes", "fails", "validated", "retries")])
     ends = last_terminal(seen).agg(F.count_if(F.col("terminal") == "run-done").alias("done"), F.count_if(F.col("terminal") == "run-halt").alias("halted"))
     in_window = files.join(seen.select("run_id").distinct(), "run_id", "left_semi")

@@ -150,6 +150,16 @@ def auth_failures(spark, d):
     return docs.select("doc_id", S.auth_failure(F.col("text"), (F.col("doc_id") + 1) % 2, ("please run",)).alias("auth"))
 
 
+GUARDS = [("home", "https", "*example*"), ("english", "", "*/en/*"), ("one", "http", "http://[!w]*.?om/*"), ("any", "ftp", "")]
+
+
+@query("", """SELECT page_id, concat_ws(',', CASE WHEN tool = 'https' AND contains(url, 'example') THEN 'home' END, CASE WHEN contains(url, '/en/') THEN 'english' END,
+  CASE WHEN tool = 'http' AND regexp_full_match(url, 'http://[^w].*\\..om/.*') THEN 'one' END, CASE WHEN tool = 'ftp' THEN 'any' END) AS guards FROM (SELECT page_id, url, split_part(url, ':', 1) AS tool FROM pages)""")
+def guard_matches(spark, d):
+    """Schemes as tools, URLs as commands."""
+    return V.table(spark, d, "pages").select("page_id", F.array_join(S.guards_matched(F.substring_index("url", ":", 1), F.col("url"), GUARDS), ",").alias("guards"))
+
+
 @query("", """SELECT event_id, strftime(ts - INTERVAL 60 SECONDS, '%Y-%m-%dT%H:%M:%SZ') AS since, event_id::VARCHAR AS id FROM events""")
 def cursors(spark, d):
     """Cursors written as text, read back, and the bound of the next fetch."""

@@ -42,12 +42,10 @@ def high_water(rows: DataFrame, at: str, key: str) -> DataFrame:
 
 
 def overlapping(rows: DataFrame, at: str, mark: Column | None, seconds: int = 60) -> DataFrame:
-    """Rows from ``seconds`` before the mark on, and those whose time can't be read; without a mark all rows. What an
-    earlier fetch has seen comes again: see ``unseen``.
+    """Rows from ``seconds`` before the mark on; rows whose time can't be read are not. Without a mark all rows stay,
+    those as well. What an earlier fetch has seen comes again: see ``unseen``.
     """
-    if mark is None:
-        return rows
-    return rows.filter(F.col(at).isNull() | (F.col(at) >= mark - F.expr(f"INTERVAL {seconds} SECONDS")))
+    return rows if mark is None else rows.filter(F.col(at) >= mark - F.expr(f"INTERVAL {seconds} SECONDS"))
 
 
 def unseen(rows: DataFrame, key: list[str], seen: DataFrame | None = None) -> DataFrame:

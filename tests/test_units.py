@@ -1,6 +1,7 @@
 """Hand-computed cases of readers, scalars, folds and streams."""
 
 import datetime as dt
+import fnmatch
 import json
 import random
 import statistics
@@ -427,3 +428,16 @@ def test_a_fetch_reports_bad_rows(spark):
     good, bad = stream.isolated(rows, {"value": {"minimum": 5}})
     r = stream.poll_report(good, bad, "at", "id").first()
     assert (r.emitted, r.skipped, list(r.reasons), tuple(r.cursor)) == (2, 1, ["value: less than 5"], ("b", "1"))
+
+
+@pytest.mark.parametrize("glob", ["", "*", "a*", "rm -rf [ab]?", "[!x]*.py", "a[", "[]]", "[a-c]z", "x.y", "a[b", "[!]]q", "\\\\*"])
+def test_globs_are_those_of_the_shell(spark, glob):
+    texts = ["", "a", "abc", "rm -rf ab", "rm -rf cb", "x.py", "y.py\n", "a[", "]", "bz", "x.y", "xzy", "a[b", "aq", "]q", "a\nb", "\\\\z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(S.glob_pattern(glob)).alias("hit")).collect()
+    assert {r.t: r.hit for r in rows} == {t: fnmatch.fnmatchcase(t, glob) for t in texts}
+
+
+def test_overlap_leaves_out_unreadable_times_only_behind_a_mark(spark):
+    t = trail(spark, [(1, 0, "x", None, None, None), (1, 100, "x", None, None, None)]).unionByName(trail(spark, [(2, 0, "x", None, None, None)]).withColumn("ev_at", F.lit(None).cast("timestamp_ntz")))
+    assert stream.overlapping(t, "ev_at", None).count() == 3
+    assert stream.overlapping(t, "ev_at", F.lit(T0 + dt.timedelta(seconds=120)).cast("timestamp_ntz"), 60).count() == 1
