@@ -6,7 +6,7 @@ the sources in ascending order of EPOCHS * words / weight, the stopped ones are
 
 Positions: a source's weight follows a schedule over training time 0 to 1, piecewise linear. Its integral, scaled to
 the target, is the source's cumulative demand in words. The documents of a source stand one behind the other, by a
-hash of their id, epoch after epoch; the demand is inverted at the middle of each copy and gives the copy's time. Its
+hash of their id and size, epoch after epoch; the demand is inverted at the middle of each copy and gives the copy's time. Its
 position is the whole mix's cumulative demand by that time, in words: equal stretches of position ask for equally many
 words, and the sources' shares in them follow their schedules. Documents are range-sorted by position.
 
@@ -29,7 +29,7 @@ from millrace.llm.common import WORD_PATTERN, table, written
 WEIGHTS, EPOCHS = (5, 2, 1), 3
 #: One schedule for each of WEIGHTS: (time, factor) knots. Heavy sources fade out, light ones fade in.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
-#: The hash of an id is md5; its first three digits are the bucket.
+#: The hash of an id and a size is md5; its first three digits are the bucket, so rows without an id are dealt as well.
 BUCKETS = 16**3
 MAX_SOURCES = 1_000_000
 
@@ -85,7 +85,8 @@ def integral(time: Column, schedule: tuple[tuple[float, float], ...]) -> Column:
 
 def assigned(sized: DataFrame, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """``sized`` (id, source, size, tie) with source_size, target, class, demands and ``_at``, the words before it."""
-    keyed = sized.withColumn("_h", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")))
+    name = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"))
+    keyed = sized.withColumn("_h", F.md5(name.cast("binary")))
     keyed = keyed.withColumn("_b", F.substring("_h", 1, 3)).withColumn("_null", F.col(source).isNull()).withColumn("_s", F.coalesce(source, F.lit("")))
     key = ["_null", "_s", "_b"]
     sums = keyed.groupBy(*key).agg(F.sum("size").alias("_n"))
@@ -156,7 +157,7 @@ f AS (SELECT level FROM l ORDER BY (w * level > cap), cap / w, source ASC NULLS
 t AS (SELECT source, source_size, w, least(cap::DOUBLE, w * (SELECT level FROM f)) AS target FROM l),
 q AS (SELECT coalesce(sum(target) FILTER (w = 5), 0) AS d0, coalesce(sum(target) FILTER (w = 2), 0) AS d1, coalesce(sum(target) FILTER (w = 1), 0) AS d2 FROM t),
 p AS (SELECT d.doc_id, size, source_size, target, w,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || size), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 o AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - before)) AS first FROM p),
 -- the schedules are straight lines a + b x, with integral a x + b x x / 2 (of 1 in all), which a root inverts

@@ -106,7 +106,7 @@ def mixture(rows):
     grid = np.linspace(0, 1, 200_001)
     copies = []
     for s in names:
-        own = sorted((hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], n) for n, r in enumerate(rows) if r[3] == s)
+        own = sorted((hashlib.md5(f"{r[0]}:{size[n]}".encode()).hexdigest(), r[0], n) for n, r in enumerate(rows) if r[3] == s)
         at = 0
         for epoch in range(3):
             for _, i, n in own:
