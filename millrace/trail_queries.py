@@ -267,7 +267,7 @@ def trail_context(spark, d):
     return folds.last_of_each(V.table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], 3)
 
 
-_LEARNT = """SELECT run_id, pipeline, node, coalesce(strftime(ev_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'soon') AS at_raw, tag, note, seq
+_LEARNT = """SELECT run_id, pipeline, node, coalesce(strftime(ev_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'soon') AS at_raw, tag, note, seq::BIGINT AS seq
   FROM trail LEFT JOIN m USING (run_id) WHERE event = 'learn'"""
 
 
