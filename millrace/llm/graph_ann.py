@@ -26,8 +26,8 @@ from millrace.llm.common import table, written
 
 K, QUERY_EVERY = 20, 20
 SHARD_NODES, QUERY_BLOCK = 16_384, 32_768
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAXED, SEED = 32, 48, 64, 1.2, 5
-BATCH, SALTS = 256, 64
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAXED, SEED = 32, 48, 128, 1.2, 5
+BATCH, SLACK, SALTS = 256, 16, 64
 
 
 def usable(x: Column) -> Column:
@@ -37,7 +37,7 @@ def usable(x: Column) -> Column:
 
 def distances(x: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Squared distances of rows ``at`` (queries x candidates) of x to each query; all x have one length."""
-    return -np.einsum("bcd,bd->bc", x[at], q)
+    return -np.matmul(x[at], q[:, :, None])[:, :, 0]
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, beam: int, visited: bool = False):
@@ -85,13 +85,22 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, bea
 
 def pruned(x: np.ndarray, own: np.ndarray, cand: np.ndarray, relaxed: float) -> np.ndarray:
     """For nodes ``own`` at most DEGREE of their candidates (-1: none), nearest first, in different directions."""
+    out = np.full((len(own), DEGREE), -1, np.int64)
+    for a in range(0, len(own), BATCH):
+        out[a : a + BATCH] = _pruned(x, own[a : a + BATCH], cand[a : a + BATCH], relaxed)
+    return out
+
+
+def _pruned(x: np.ndarray, own: np.ndarray, cand: np.ndarray, relaxed: float) -> np.ndarray:
     cand = np.sort(cand, 1)
     cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
     cand[cand == own[:, None]] = -1
     vectors = x[np.maximum(cand, 0)]
     square = (x[0] ** 2).sum()  # of every node's length
-    d = 2 * square - 2 * np.einsum("bcd,bd->bc", vectors, x[own])
+    d = 2 * square - 2 * np.matmul(vectors, x[own][:, :, None])[:, :, 0]
     d = np.where(cand >= 0, np.maximum(d, 0), np.inf)
+    # distances between candidates, relaxed: one product of matrices a node
+    between = (relaxed**2) * np.maximum(2 * square - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1)), 0)
     out = np.full((len(own), DEGREE), -1, np.int64)
     b = np.arange(len(own))
     for k in range(DEGREE):
@@ -100,40 +109,58 @@ def pruned(x: np.ndarray, own: np.ndarray, cand: np.ndarray, relaxed: float) ->
         if not some.any():
             break
         out[some, k] = cand[b, at][some]
-        between = np.maximum(2 * square - 2 * np.einsum("bcd,bd->bc", vectors, vectors[b, at]), 0)
-        d[(relaxed**2) * between <= d] = np.inf
+        d[between[b, at] <= d] = np.inf
         d[b, at] = np.inf
     return out
 
 
 def build(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """Edges (nodes x DEGREE, -1: none) and the entry node of a shard."""
+    """Edges (nodes x DEGREE, -1: none) and the entry node of a shard.
+
+    Edges offered backwards are taken into SLACK more places as they come; a node is pruned again when these are full.
+    """
     n = len(x)
     rng = np.random.default_rng(SEED)
     entry = int((x @ x.mean(0)).argmax())
-    edges = rng.integers(0, n, (n, DEGREE))
+    edges = np.full((n, DEGREE + SLACK), -1, np.int64)
+    edges[:, :DEGREE] = rng.integers(0, n, (n, DEGREE))
     edges[edges == np.arange(n)[:, None]] = -1
     for relaxed in (1.0, RELAXED):
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             own = order[a : a + BATCH]
             met = beam_search(x, edges, entry, x[own], min(BUILD_BEAM, n), visited=True)
-            edges[own] = pruned(x, own, np.concatenate([met, edges[own]], 1), relaxed)
-            to = edges[own]
-            src, dst = np.repeat(own, DEGREE)[to.ravel() >= 0], to.ravel()[to.ravel() >= 0]
+            kept = pruned(x, own, np.concatenate([met, edges[own]], 1), relaxed)
+            edges[own] = -1
+            edges[own, :DEGREE] = kept
+            src, dst = np.repeat(own, DEGREE)[kept.ravel() >= 0], kept.ravel()[kept.ravel() >= 0]
+            known = (edges[dst] == src[:, None]).any(1)
+            src, dst = src[~known], dst[~known]
             by = np.argsort(dst, kind="stable")
             src, dst = src[by], dst[by]
+            if not len(dst):
+                continue
             first = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
             times = np.diff(np.append(first, len(dst)))
             nodes = dst[first]
+            filled = np.sort(edges[nodes], 1)[:, ::-1]  # free places last
+            free = (filled < 0).sum(1)
+            place = np.arange(len(dst)) - np.repeat(first, times) + np.repeat(edges.shape[1] - free, times)
+            fits = np.repeat(times <= free, times)
+            row = np.repeat(np.arange(len(nodes)), times)
+            filled[row[fits], place[fits]] = src[fits]
+            edges[nodes] = filled
+            over = np.flatnonzero(times > free)
             # nodes with like numbers of offers go together, so that one hub does not widen all rows
-            width = 1 << np.ceil(np.log2(times)).astype(int)
+            width = 1 << np.ceil(np.log2(times[over])).astype(int)
             for wide in np.unique(width):
-                some = np.flatnonzero(width == wide)
+                some = over[width == wide]
                 offered = np.full((len(some), wide), -1, np.int64)
-                offered[np.arange(wide) < times[some, None]] = src[np.isin(np.repeat(np.arange(len(nodes)), times), some)]
-                edges[nodes[some]] = pruned(x, nodes[some], np.concatenate([edges[nodes[some]], offered], 1), relaxed)
-    return edges, entry
+                offered[np.arange(wide) < times[some, None]] = src[np.isin(row, some)]
+                kept = pruned(x, nodes[some], np.concatenate([filled[some], offered], 1), relaxed)
+                edges[nodes[some]] = -1
+                edges[nodes[some], :DEGREE] = kept
+    return pruned(x, np.arange(n), edges, RELAXED), entry
 
 
 def nodes_of(vectors: DataFrame, k: int) -> DataFrame:
@@ -173,7 +200,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return group.append_column("node", pa.array(np.arange(len(edges), dtype=np.int32))).append_column("entry", pa.array(np.full(len(edges), entry, np.int32)))
 
     sharded = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(n_shards)).cast("int")).select("shard", "ids", "embedding")
-    sharded = sharded.repartition(n_shards, "shard")  # a number of its own: adaptive execution puts no shards together
+    # a number of partitions of its own, well over that of shards: adaptive execution puts none together, and few collide
+    sharded = sharded.repartition(8 * n_shards, "shard")
     graph = sharded.groupBy("shard").applyInArrow(index, "shard int, ids array<long>, embedding array<double>, edges array<int>, node int, entry int")
     graph = written(graph, "graph")
 
