@@ -4,7 +4,7 @@ A rule has a regular expression, the literal tokens that every URL it matches mu
 all URLs are counted for the rules' tokens only; each rule is filed under the one that fewest URLs hold. A URL's
 tokens fetch their rules, and only those regular expressions run. The rule of highest rank wins; where none fits, the
 verdict is allow. Rules are a table of any size: the index is joined, so Spark broadcasts it below its threshold and
-shuffles it beyond. Tokens with more than HEAVY_SHARE of all URL tokens are at most 1 / HEAVY_SHARE; their URLs are dealt
+shuffles it beyond; its tokens alone are broadcast up to FEW_TOKENS, which is checked. Tokens with more than HEAVY_SHARE of all URL tokens are at most 1 / HEAVY_SHARE; their URLs are dealt
 to SALTS tasks each, and their rules, copied as often, go along.
 
 Expressions see the host and the path with a ``#`` between, which neither can hold. Host rules (host, path) fit a host,
@@ -30,6 +30,8 @@ from millrace.llm.common import table, written
 TOKEN = "[a-z0-9]+"
 #: Share of all URL tokens from which one is heavy, and the tasks that a heavy token's URLs are dealt to.
 HEAVY_SHARE, SALTS = 1 / 1000, 32
+#: Tokens of rules up to which they are broadcast: a few MB.
+FEW_TOKENS = 100_000
 RULES_SCHEMA = "name string, pattern string, tokens array<string>, verdict string, rank long"
 
 
@@ -110,13 +112,18 @@ def verdicts(pages: DataFrame, rules: DataFrame | None = None, page_id: str = "p
     text = F.concat("host", F.lit("#"), "path")
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})")))
     tokens = rows.select(F.explode(found).alias("token"))
-    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
-    counts = written(tokens.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")), "token-counts")
+    wanted = written(rules.select(F.explode("tokens").alias("token")).distinct(), "rule-tokens")
+    few = wanted.count() <= FEW_TOKENS
+    # few of the rules' tokens are broadcast, so that a hot token's URLs stay where they are; more of them are looked up
+    # behind the counts, which combine before their shuffle, and among the salted tokens below
+    kept = (lambda rows: rows.join(F.broadcast(wanted), "token", "left_semi")) if few else (lambda rows: rows)
+    counts = kept(tokens).groupBy("token").agg(F.count("*").alias("n"))
+    counts = written(counts if few else counts.join(wanted, "token", "left_semi"), "token-counts")
     limit = max(1, int((counts.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE))
     heavy = counts.filter(F.col("n") > limit).select("token", F.lit(True).alias("_heavy"))  # at most 1 / HEAVY_SHARE rows
     index = token_index(counts, rules).join(F.broadcast(heavy), "token", "left")
     index = index.withColumn("_salt", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_heavy")
-    held = rows.withColumn("token", F.explode(found)).join(wanted, "token", "left_semi").join(F.broadcast(heavy), "token", "left")
+    held = kept(rows.withColumn("token", F.explode(found))).join(F.broadcast(heavy), "token", "left")
     salted = held.withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).otherwise(0))
     fetched = salted.join(index, ["token", "_salt"])
     best = F.max_by(F.struct("name", "verdict"), F.struct("rank", "name", "pattern"))

@@ -298,7 +298,8 @@ def test_thousands_of_rules_against_brute_force(spark, monkeypatch):
         return host, path, None, "block" if any(re.search(rf"^[^#]*\b{w}\b", f"{host}#{path}") for w in ("shop", "deep")) else "allow"
 
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    for broadcast in ("10m", "-1"):
+    for broadcast, few in (("10m", 100_000), ("-1", 0)):
+        monkeypatch.setattr(url_rules, "FEW_TOKENS", few)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
         try:
             got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.verdicts(pages, url_rules.rule_table(spark, rules)).collect()}
