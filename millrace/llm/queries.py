@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import chat_format, curriculum, graph_ann, hmm_lm, host_quality, jaccard_join, nnls_pack, token_orc, toxicity, url_rules
+from millrace.llm import byte_lang, chat_format, curriculum, graph_ann, hamerly, hmm_lm, host_quality, jaccard_join, merkle, nnls_pack, token_orc, toxicity, url_rules
 
 QUERIES = {
     "op1_host_quality": host_quality.op1_host_quality,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_nnls_pack": nnls_pack.op8_nnls_pack,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_hamerly": hamerly.op11_hamerly,
+    "op12_byte_lang": byte_lang.op12_byte_lang,
+    "op13_merkle": merkle.op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +27,6 @@ ORACLES = {
     "op4_curriculum": curriculum.ORACLE_SQL,
     "op7_chat_format": chat_format.ORACLE_SQL,
     "op9_url_rules": url_rules.ORACLE_SQL,
+    "op11_hamerly": hamerly.ORACLE_SQL,
+    "op13_merkle": merkle.ORACLE_SQL,
 }
