@@ -8,7 +8,7 @@ many texts run side by side, BLOCK_WINDOWS at a time. A filter's response is a s
 place in the filter, so scoring gathers rows and never multiplies matrices over positions.
 
 The network is fitted with Adam on a bounded sample of the labelled texts: of each of the LANGS most frequent languages
-at most SAMPLE_DOCS texts, those whose md5 of the id comes first, and of each text at most SAMPLE_WINDOWS windows at
+at most SAMPLE_DOCS texts, those whose md5 of id and text's hash comes first, and of each text at most SAMPLE_WINDOWS windows at
 places that lie evenly over it.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text where nothing could be
@@ -175,9 +175,15 @@ def fit(docs: DataFrame) -> Model | list[str]:
     langs = sorted(r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
     if len(langs) < 2:
         return langs
-    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "_hash"]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    picked = written(ids.filter(F.col("lang").isin(langs)).distinct().withColumn("_r", rank).filter(F.col("_r") <= SAMPLE_DOCS).drop("_r"), "picked")
+    # ranks need few rows of each language: those whose hash is among the first, some times SAMPLE_DOCS
+    ids = ids.filter(F.col("lang").isin(langs)).distinct().withColumn("_key", F.md5(F.concat_ws(" ", "doc_id", "_hash").cast("binary")))
+    ids = written(ids, "distinct")
+    share = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.count("*"))
+    shares = ids.groupBy("lang").agg(share.alias("_share"))  # LANGS rows at most
+    first = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / 2.0**32 < F.col("_share")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id", "_hash"))
+    near = ids.join(F.broadcast(shares), "lang").filter((F.col("_share") == 1) | first)
+    picked = written(near.withColumn("_r", rank).filter(F.col("_r") <= SAMPLE_DOCS).select("lang", "doc_id", "_hash"), "picked")
     texts = known.join(F.broadcast(picked), ["lang", "doc_id", "_hash"]).dropDuplicates(["lang", "doc_id", "_hash"])
     rows = texts.select("lang", "doc_id", "_hash", sample_windows("text").alias("windows")).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["_hash"]))
