@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import redacted
+from millrace.sources.scratch import stored
 
-MANIFEST = "run_id string, pipeline string, created_at string, status string, origin string, params map<string,string>, dims map<string,string>, _bad string"
+#: The texts of a manifest, and those that every manifest must have.
+MANIFEST_TEXTS = ("run_id", "pipeline", "created_at", "status", "origin")
+MANIFEST_REQUIRED = ("run_id", "pipeline", "created_at", "status")
 GATE = "run_id string, gate string, choice string, `by` string, `at` string, verified boolean, mtime string, _bad string"
 
 #: Fixed value: the file that says which layout an inbox has.
@@ -24,25 +29,54 @@ def parse_since(text: str) -> Column:
     return F.to_timestamp(F.lit(text)).cast("timestamp_ntz")
 
 
+def found(spark: SparkSession, path: str) -> bool:
+    """Whether anything stands under a path (or fits its pattern), in whatever store Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, row and value of the text files under ``path``; none where there is no such path.
+
+    Files are split like any text; ``block`` is a split's place in its file and ``row`` grows within it.
+    """
+    if not found(spark, path):
+        return spark.createDataFrame([], "file string, block long, row long, value string")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    return spark.read.text(path).select(*place, "value")
+
+
+def kind_of(v: Column) -> Column:
+    """The type of a variant's value; null for none."""
+    return F.schema_of_variant(v)
+
+
+def text_of(v: Column, key: str) -> Column:
+    """A key's value where that is a text; null for numbers, lists and the like."""
+    return F.when(kind_of(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+
+
 def read_trail(spark: SparkSession, path: str) -> DataFrame:
-    """One row per decodable JSON object of the trails under ``path``.
+    """One row per decodable JSON object of the trails under ``path``; none where there is no such path.
 
     ``line_no`` orders a run's rows as they stand in its file: the place of the block in the file, then the row in the
     block. Files are split like any text, so a long trail is read by many tasks; a run's lines must stand in one file.
     The run is the line's ``run_id``, or else the name of the file's folder. Blank, torn and non-object lines are
     skipped; a wrongly typed seq or time is null and its line stays.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"),
-        F.try_parse_json("value").alias("v"),
-    )
+    return trail_rows(text_lines(spark, path))
+
+
+def trail_rows(lines: DataFrame) -> DataFrame:
+    """The events of trail lines (see ``text_lines``), of a table or a stream."""
+    lines = lines.select("file", F.struct("block", "row").alias("line_no"), F.try_parse_json("value").alias("v"))
     rows = lines.filter(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
     text = lambda key: F.try_variant_get("v", f"$.{key}", "string")
     strings = lambda key: F.try_variant_get("v", f"$.data.{key}", "array<string>")
     whole = lambda key: F.expr(f"try_cast(try_variant_get(v, '$.{key}', 'string') as bigint)")
     node = F.when(F.schema_of_variant(F.try_variant_get("v", "$.node", "variant")) == "STRING", text("node"))
     return rows.select(
+        "file",
         F.coalesce(text("run_id"), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)).alias("run_id"),
         "line_no",
         whole("seq").alias("seq"),
@@ -72,72 +106,109 @@ def last_seq(trail: DataFrame) -> DataFrame:
     return trail.groupBy("run_id").agg(F.coalesce(F.max_by("seq", "line_no"), F.lit(0)).cast("long").alias("last_seq"))
 
 
-def _json(spark: SparkSession, path: str, schema: str, strict: bool) -> DataFrame:
-    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad")
-    return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-
-
 def read_manifests(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Run manifests, a JSON object a line; a broken one is dropped, or with ``strict`` ends the job."""
-    rows = _json(spark, path, MANIFEST, strict)
-    return rows.filter(F.col("_bad").isNull() & F.col("run_id").isNotNull()).drop("_bad")
+    """Run manifests, a JSON object a line. What should be a text and is none is null, and a manifest that can't be read
+    or has no run_id is dropped; with ``strict`` a line that is no object, or lacks one of MANIFEST_REQUIRED as a text,
+    ends the job.
+    """
+    rows = text_lines(spark, path).filter(F.trim("value") != "").select("value", F.try_parse_json("value").alias("v"))
+    texts = [text_of(F.col("v"), c).alias(c) for c in MANIFEST_TEXTS]
+    maps = [F.try_variant_get("v", f"$.{c}", "map<string,string>").alias(c) for c in ("params", "dims")]
+    if not strict:
+        return rows.select(*texts, *maps).filter("run_id IS NOT NULL")
+    whole = F.coalesce(kind_of(F.col("v")).startswith("OBJECT"), F.lit(False))
+    lacking = F.concat_ws(", ", *[F.when(text_of(F.col("v"), c).isNull(), c) for c in MANIFEST_REQUIRED])
+    wrong = F.when(~whole, "malformed manifest").when(lacking != "", F.concat(F.lit("manifest without "), lacking))
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": "), F.substring("value", 1, 200))).cast("string")).otherwise(F.col("value"))
+    return rows.select(F.try_parse_json(checked).alias("v")).select(*texts, *maps)
 
 
 def broken_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """The lines that ``read_manifests`` drops."""
-    rows = spark.read.schema("value string").text(path)
-    return rows.filter(~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)) & (F.trim("value") != ""))
+    """file and value of the lines that ``read_manifests`` drops."""
+    lines = text_lines(spark, path).filter(F.trim("value") != "")
+    return lines.filter(text_of(F.try_parse_json("value"), "run_id").isNull()).select("file", "value")
 
 
 def read_gates(spark: SparkSession, path: str) -> DataFrame:
     """Gate decisions that are kept as files: run_id, gate, decided_by, verified, decided_at, mtime. A decision that is
     not verified stays, for it was made; who made it does not count.
     """
-    rows = _json(spark, path, GATE, False).filter(F.col("_bad").isNull() & F.col("gate").isNotNull())
+    if not found(spark, path):
+        return spark.createDataFrame([], "run_id string, gate string, decided_by string, verified boolean, decided_at timestamp_ntz, mtime timestamp_ntz")
+    reader = spark.read.schema(GATE).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE")
+    rows = reader.json(path).filter(F.col("_bad").isNull() & F.col("gate").isNotNull())
     return rows.select("run_id", "gate", F.col("by").alias("decided_by"), F.coalesce("verified", F.lit(False)).alias("verified"), parse_at(F.col("at")).alias("decided_at"), parse_at(F.col("mtime")).alias("mtime"))
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """``text_lines`` with ``line_no`` from 1 in each file: the lines of the blocks before, added up, and the place in the
+    block. A file is never read by one task only for that; its blocks are a row each.
+    """
+    lines = stored(lines, "lines")  # rows of one evaluation
+    blocks = lines.groupBy("file", "block").agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(blocks, ["file", "block"]).select("file", (F.col("_base") + F.col("row") - F.col("_first") + 1).alias("line_no"), "value")
+
+
 def read_param_sets(spark: SparkSession, path: str) -> DataFrame:
     """line_no and params of a JSONL file that drives a batch. A line that is no object ends the job with its number,
-    and so does a file without lines. Such a file is written by hand, so it is read as one value.
+    and so does a file without lines.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n"))).select((F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
-    rows = lines.filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
-    good = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    rows = numbered(text_lines(spark, path)).filter(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    good = F.coalesce(kind_of(F.col("v")).startswith("OBJECT"), F.lit(False))
     message = F.concat(F.lit("not a JSON object: line "), F.col("line_no").cast("string"))
     out = rows.select("line_no", F.when(good, F.col("v")).otherwise(F.raise_error(message).cast("variant")).alias("params"))
-    if out.limit(1).count() == 0:
+    if rows.limit(1).count() == 0:
         raise ValueError(f"no parameter sets in {path}")
     return out
 
 
-def append_trail(events: DataFrame, path: str, secrets: list[str] | None = None) -> None:
-    """Append rows (run_id, line_no, at, event, node, data as text) to a trail store as JSON lines.
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """batch of the appends to a trail store that have ended, one row each."""
+    if not found(spark, f"{path}/commits/*.json"):
+        return spark.createDataFrame([], "batch string")
+    return spark.read.schema("batch string").json(f"{path}/commits").filter("batch IS NOT NULL").distinct()
+
 
-    Secrets are replaced before anything is serialised. ``seq`` goes on from each run's last line; a run's rows of one
-    call stand in one file, in order. The store must be read through ``read_trail`` by runs of one writer at a time.
+def append_trail(events: DataFrame, path: str, batch: str, secrets: list[str] | None = None) -> bool:
+    """Append rows (run_id, line_no, at, event, node, data as text) to a trail store as JSON lines, under the name
+    ``batch``; false, and nothing changes, where that has been appended already.
+
+    Lines and each run's last seq are staged in folders of the batch, which a repeated call writes anew; then one line
+    in the commit log makes them count. A call that failed before that leaves nothing that readers see. Secrets are
+    replaced before anything is serialised. ``seq`` goes on from each run's last one; a run's rows of one call stand in
+    one file, in order. A store has one writer at a time.
     """
+    if not re.fullmatch(r"[A-Za-z0-9_-]{1,100}", batch):
+        raise ValueError(f"not a batch's name: {batch!r}")
     spark = events.sparkSession
-    try:
-        last = last_seq(read_appended(spark, path))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = spark.createDataFrame([], "run_id string, last_seq long")
+    done = committed(spark, path)
+    if done.filter(F.col("batch") == batch).count():
+        return False
+    last = spark.createDataFrame([], "run_id string, last_seq long")
+    if found(spark, f"{path}/heads/*"):
+        heads = spark.read.schema("run_id string, last_seq long, batch string").parquet(f"{path}/heads")
+        last = heads.join(done, "batch", "left_semi").groupBy("run_id").agg(F.max("last_seq").alias("last_seq"))
     rows = events.withColumn("run_id", F.col("run_id").cast("string"))
     for c in ("event", "node", "data"):
         rows = rows.withColumn(c, redacted(F.col(c), secrets or []))
     n = F.row_number().over(Window.partitionBy("run_id").orderBy("line_no"))
-    numbered = rows.withColumn("_n", n).join(last, "run_id", "left").withColumn("seq", F.coalesce("last_seq", F.lit(0)) + F.col("_n"))
+    numbered_ = stored(rows.withColumn("_n", n).join(last, "run_id", "left").withColumn("seq", F.coalesce("last_seq", F.lit(0)) + F.col("_n")), "append")
     line = F.to_json(F.struct(F.lit(1).alias("v"), "seq", "at", "run_id", "event", "node", F.struct(F.col("data").alias("text")).alias("data")))
-    numbered.select("run_id", "seq", line.alias("value")).repartition("run_id").sortWithinPartitions("run_id", "seq").select("value").write.mode("append").text(path)
+    lines = numbered_.select("run_id", "seq", line.alias("value")).repartition("run_id").sortWithinPartitions("run_id", "seq").select("value")
+    lines.write.mode("overwrite").text(f"{path}/lines/batch={batch}")
+    numbered_.groupBy("run_id").agg(F.max("seq").alias("last_seq")).write.mode("overwrite").parquet(f"{path}/heads/batch={batch}")
+    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").json(f"{path}/commits")
+    return True
 
 
 def read_appended(spark: SparkSession, path: str) -> DataFrame:
-    """What ``append_trail`` wrote: later calls write other files, so a run's rows stand by ``seq``."""
-    rows = read_trail(spark, path)
-    return rows.withColumn("line_no", F.col("seq")).withColumn("text", F.try_variant_get("data", "$.text", "string"))
+    """What ended calls of ``append_trail`` wrote: later calls write other files, so a run's rows stand by ``seq``."""
+    lines = text_lines(spark, f"{path}/lines")
+    own = F.regexp_extract("file", r"/batch=([^/]+)/", 1)
+    lines = lines.withColumn("batch", own).join(committed(spark, path), "batch", "left_semi").drop("batch")
+    return trail_rows(lines).withColumn("line_no", F.col("seq")).withColumn("text", F.try_variant_get("data", "$.text", "string"))
 
 
 def scan_inbox(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -150,3 +221,55 @@ def scan_inbox(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 def candidates(files: DataFrame) -> DataFrame:
     """The rows (name) that may be claimed, by name."""
     return files.filter(~F.col("name").startswith(".") & (F.col("name") != VERSION_MARKER)).orderBy("name")
+
+
+def artifact_files(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """run_id, artifact and path of the ``files`` (run_id, path below the run's folder) that each run's ``declared``
+    artifacts (run_id, artifact, path) name, by path; a plain path stays without a file (``present`` false), a pattern
+    that nothing fits has no row.
+
+    Patterns become columns: paths of the declaring run only are matched, by a join on the run. Paths that could leave
+    the folder end the job.
+    """
+    parts = F.filter(F.split("path", "/"), lambda p: ~p.isin("", "."))
+    outside = F.when(F.col("path").startswith("/"), " (absolute): ").when(F.array_contains(parts, ".."), " (..): ").when(F.size(parts) == 0, " (empty): ")
+    checked = F.when(outside.isNotNull(), F.raise_error(F.concat(F.lit("artifact path leaves the run's folder"), outside, "path")).cast("string")).otherwise(F.array_join(parts, "/"))
+    told = declared.select("run_id", "artifact", checked.alias("_p"), F.col("path").contains("*").alias("_glob"))
+    told = told.withColumn("_p", F.when(F.col("_glob") & F.col("_p").endswith("**"), F.concat("_p", F.lit("/*"))).otherwise(F.col("_p")))
+    plain = told.filter(~F.col("_glob")).select("run_id", "artifact", F.col("_p").alias("path"))
+    there = files.select("run_id", "path", F.lit(True).alias("present")).distinct()
+    single = plain.join(there, ["run_id", "path"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    globs = told.filter("_glob").withColumn("_re", path_pattern(F.col("_p")))
+    many = globs.join(there, "run_id").filter(F.expr("path rlike _re"))
+    return single.select("run_id", "artifact", "path", "present").unionByName(many.select("run_id", "artifact", "path", "present")).orderBy("run_id", "artifact", "path")
+
+
+#: What a path pattern's signs stand for, in the order in which they are tried: fixed values of shell patterns.
+PATH_SIGNS = (("**/", r"(?:[^/]+/)*"), ("*", r"[^/]*"), ("?", r"[^/]"))
+
+
+def path_pattern(glob: Column) -> Column:
+    """A path pattern of a column as a regular expression of Java's over whole paths."""
+    signs = F.regexp_extract_all(glob, F.lit(r"((?:^|(?<=/))\*\*/|\[!?[^\]/]+\]|\*+|\?|[^*?\[]+|\[)"))
+
+    def one(x: Column) -> Column:
+        cls = F.concat(F.lit("["), F.regexp_replace(F.regexp_replace(F.substring(x, 2, 9999), r"([\\\[&^])", r"\\$1"), "^!", "^"))
+        out = F.when(x.rlike(r"^\[.+\]$"), cls).otherwise(F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
+        for sign, stands in reversed(PATH_SIGNS):
+            out = F.when(F.regexp_replace(x, r"^\*+$", "*") == sign if sign == "*" else x == sign, stands).otherwise(out)
+        return out
+
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(signs, one), ""), F.lit(r"\z"))
+
+
+def run_paths(spark: SparkSession, root: str) -> DataFrame:
+    """run_id and path of all files below the runs' folders in ``root``; only names are read, no contents. Spark passes
+    over files whose names start with a dot or an underscore.
+    """
+    if not found(spark, root):
+        return spark.createDataFrame([], "run_id string, path string")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    below = F.regexp_replace(F.expr("regexp_replace(path, '^[a-z][a-z0-9+.-]*:(//[^/]*)?', '')"), F.lit("^" + re.escape(base) + "/"), F.lit(""))
+    parts = listed.select(F.substring_index(below, "/", 1).alias("run_id"), below.alias("_below"))
+    return parts.select("run_id", F.expr("substring(_below, length(run_id) + 2)").alias("path")).filter("path <> ''")

@@ -186,6 +186,13 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
 
 
+def trail_line() -> Column:
+    """A row of ``trail`` as it stands in a trail file."""
+    data = F.struct("exit_code", F.col("decided_by").alias("by"), F.col("reasons").alias("validator_reasons"), "artifacts", "tag", "note", "dark")
+    at = F.coalesce(F.date_format("ev_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit("soon"))
+    return F.to_json(F.struct(F.lit(1).alias("v"), "seq", at.alias("at"), F.col("run_id").cast("string").alias("run_id"), "event", "node", data.alias("data")))
+
+
 def write_run_files(spark: SparkSession, sf_dir: str) -> str:
     """Store the views trail, manifests and gate_files as JSON lines, torn lines among them; returns the folder.
 
@@ -193,9 +200,7 @@ def write_run_files(spark: SparkSession, sf_dir: str) -> str:
     """
     out = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
     t = trail(spark, sf_dir)
-    data = F.struct("exit_code", F.col("decided_by").alias("by"), F.col("reasons").alias("validator_reasons"), "artifacts", "tag", "note", "dark")
-    at = F.coalesce(F.date_format("ev_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit("soon"))
-    line = F.to_json(F.struct(F.lit(1).alias("v"), "seq", at.alias("at"), F.col("run_id").cast("string").alias("run_id"), "event", "node", data.alias("data")))
+    line = trail_line()
     torn = F.when(F.col("k") == 50, F.concat(line, F.lit('\n{"seq": 9, "eve'))).when(F.col("k") == 51, F.concat(F.lit("\n"), line)).otherwise(line)
     t.select("run_id", "line_no", torn.alias("value")).repartition("run_id").sortWithinPartitions("run_id", "line_no").select("value").write.text(f"{out}/trails")
     m = manifests(spark, sf_dir)

@@ -309,12 +309,14 @@ def overlap_fetch(spark, d):
 
 @query("trail", "SELECT run_id, seq, 'user_' || event AS event, CASE WHEN node = 'n3' THEN '***' ELSE node END AS node FROM trail")
 def appended_trail(spark, d):
-    """Events appended in two calls, with a secret in them: offsets go on where the first call ended."""
+    """Events appended in two calls, with a secret in them: offsets go on where the first call ended. A call that comes
+    again changes nothing.
+    """
     t = V.trail(spark, d)
     rows = t.select("run_id", "line_no", F.coalesce(F.col("ev_at").cast("string"), F.lit("soon")).alias("at"), F.concat(F.lit("user_"), "event").alias("event"), "node", F.lit("n3").alias("data"), "seq")
     path = f"{shared_dir(spark)}/appended-{uuid.uuid4().hex}"
-    for part in ("seq <= 10", "seq > 10"):
-        files.append_trail(rows.filter(part).drop("seq"), path, ["n3"])
+    for batch, part in (("first", "seq <= 10"), ("second", "seq > 10"), ("first", "seq <= 10")):
+        files.append_trail(rows.filter(part).drop("seq"), path, batch, ["n3"])
     return files.read_appended(spark, path).select(F.col("run_id").cast("long").alias("run_id"), F.col("seq").cast("int").alias("seq"), "event", "node")
 
 

@@ -76,6 +76,76 @@ def test_param_sets_name_the_bad_line(spark, tmp_path):
         files.read_param_sets(spark, f"{tmp_path}/p.jsonl").collect()
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    lines = [json.dumps({"n": n, "pad": "x" * (n % 37)}) if n % 10 else "" for n in range(1, 4001)]
+    (tmp_path / "p.jsonl").write_text("\n".join(lines) + "\n")
+    lines[2776] = "[7]"
+    (tmp_path / "bad.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.read_param_sets(spark, f"{tmp_path}/p.jsonl")
+        assert spark.read.text(f"{tmp_path}/p.jsonl").rdd.getNumPartitions() > 10
+        n = F.try_variant_get("params", "$.n", "int")
+        assert got.count() == 3600 and got.filter(n != F.col("line_no")).count() == 0
+        with pytest.raises(Exception, match="line 2777"):
+            files.read_param_sets(spark, f"{tmp_path}/bad.jsonl").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_missing_paths_are_empty(spark, tmp_path):
+    assert files.read_trail(spark, f"{tmp_path}/none/*/trail.jsonl").count() == 0
+    assert files.read_manifests(spark, f"{tmp_path}/none").count() == 0
+    assert files.read_gates(spark, f"{tmp_path}/none").count() == 0
+    assert files.read_appended(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError, match="no parameter sets"):
+        files.read_param_sets(spark, f"{tmp_path}/none.jsonl")
+
+
+def test_failed_append_leaves_nothing_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    rows = lambda a, b: spark.range(a, b).selectExpr("'r' AS run_id", "id AS line_no", "'soon' AS at", "concat('e', id) AS event", "CAST(NULL AS STRING) AS node", "CAST(NULL AS STRING) AS data")
+    assert files.append_trail(rows(0, 3), path, "a")
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", lambda self, data, schema=None: (_ for _ in ()).throw(OSError("full")) if schema == "batch string" else spark.sql("SELECT CAST(NULL AS STRING) AS run_id, 0L AS last_seq WHERE false"))
+        with pytest.raises(OSError, match="full"):
+            files.append_trail(rows(3, 6), path, "b")
+    assert files.read_appended(spark, path).count() == 3  # staged lines are there, but not committed
+    assert files.append_trail(rows(3, 6), path, "b") and not files.append_trail(rows(3, 6), path, "b")
+    assert files.append_trail(rows(6, 8), path, "c")
+    got = files.read_appended(spark, path).orderBy("seq").collect()
+    assert [(r.seq, r.event) for r in got] == [(k + 1, f"e{k}") for k in range(8)]
+    with pytest.raises(ValueError, match="not a batch's name"):
+        files.append_trail(rows(0, 1), path, "../x")
+
+
+def test_artifact_globs_are_those_of_pathlib(spark, tmp_path):
+    runs = {"r1": ["a.json", "out/b.json", "out/deep/c.json", "out/deep/d.txt", "out/[x].json", "out/b1.json", "blue/x"], "r2": ["a.json", "z/a.json"]}
+    for run, paths in runs.items():
+        for path in paths:
+            (tmp_path / run / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / run / path).write_text("x")
+    there = files.run_paths(spark, str(tmp_path))
+    assert sorted(map(tuple, there.collect())) == sorted((r, p) for r, ps in runs.items() for p in ps)
+    globs = ["*.json", "**/*.json", "out/**", "out/*", "out/b*.json", "out/b?.json*", "out/[!b]*.json", "o*t/*/c*", "**/deep/*", "nothing/*", "out/[[]x]*"]
+    plain = ["a.json", "./out//b.json", "gone.json", "out/[x].json"]
+    declared = spark.createDataFrame([(r, g, g) for r in runs for g in globs + plain], "run_id string, artifact string, path string")
+    got = [(r.run_id, r.artifact, r.path, r.present) for r in files.artifact_files(there, declared).collect()]
+    want = []
+    for run in runs:
+        root = tmp_path / run
+        for g in globs:
+            pattern = f"{g}/*" if g.endswith("**") else g
+            want += [(run, g, str(p.relative_to(root)), True) for p in root.glob(pattern) if p.is_file()]
+        for g in plain:
+            path = g.replace("./", "").replace("//", "/")
+            want.append((run, g, path, (root / path).is_file()))
+    assert sorted(got) == sorted(want) and got == sorted(got, key=lambda r: r[:3])
+    for bad in ("/etc/x", "a/../b", "../*", ""):
+        with pytest.raises(Exception, match="leaves the run's folder"):
+            files.artifact_files(there, spark.createDataFrame([("r1", "x", bad)], "run_id string, artifact string, path string")).collect()
+
+
 def trail(spark, rows):
     schema = "run_id long, line_no long, ev_at timestamp_ntz, event string, node string, exit_code int, decided_by string"
     return spark.createDataFrame([(r, n, T0 + dt.timedelta(seconds=s), e, node, code, by) for n, (r, s, e, node, code, by) in enumerate(rows)], schema)
@@ -193,11 +263,19 @@ def test_a_long_trail_keeps_its_order_when_it_is_split(spark, tmp_path):
 
 
 def test_manifests_strict_and_lenient(spark, tmp_path):
-    (tmp_path / "m.json").write_text('{"run_id":"a","pipeline":"p","extra":1}\n{"run_id":"b","pi\n{"run_id":"c","params":{"x":"1"}}\n')
+    (tmp_path / "m.json").write_text('{"run_id":"a","pipeline":"p","extra":1}\n{"run_id":"b","pi\n{"run_id":"c","params":{"x":"1"}}\n{"run_id":5,"pipeline":["x"]}\n')
     assert [r.run_id for r in files.read_manifests(spark, f"{tmp_path}/m.json").orderBy("run_id").collect()] == ["a", "c"]
-    assert files.broken_manifests(spark, f"{tmp_path}/m.json").count() == 1
-    with pytest.raises(Exception, match="MALFORMED|alformed|parse"):
+    assert files.broken_manifests(spark, f"{tmp_path}/m.json").count() == 2
+    with pytest.raises(Exception, match="malformed manifest|manifest without"):
         files.read_manifests(spark, f"{tmp_path}/m.json", strict=True).collect()
+    good = '{"run_id":"a","pipeline":"p","created_at":"2026-07-03T10:00:00Z","status":"done"}\n'
+    (tmp_path / "good.json").write_text(good)
+    assert files.read_manifests(spark, f"{tmp_path}/good.json", strict=True).first().pipeline == "p"
+    (tmp_path / "bad.json").write_text(good + '{"run_id":"b","pipeline":["x"],"created_at":"soon","status":"done"}\n')
+    with pytest.raises(Exception, match="manifest without pipeline"):
+        files.read_manifests(spark, f"{tmp_path}/bad.json", strict=True).collect()
+    (tmp_path / "odd.json").write_text('{"run_id":"a","pipeline":["x"],"origin":7}\n')
+    assert tuple(files.read_manifests(spark, f"{tmp_path}/odd.json").first())[:5] == ("a", None, None, None, None)
 
 
 def stats_case(spark, tmp_path):
@@ -280,11 +358,11 @@ def test_learnings_by_raw_text(spark, tmp_path):
 
 def test_append_numbers_on_and_redacts(spark, tmp_path):
     rows = spark.createDataFrame([("r", 1, "2026-07-03T10:00:00Z", "learn", "s3cret", "s3cret-key"), ("r", 2, "soon", "run-done", None, None)], "run_id string, line_no long, at string, event string, node string, data string")
-    for _ in range(2):
-        files.append_trail(rows, f"{tmp_path}/t", ["s3cret", "s3cret-key"])
+    for batch in ("one", "two", "one"):
+        assert files.append_trail(rows, f"{tmp_path}/t", batch, ["s3cret", "s3cret-key"]) is (batch != "one" or files.committed(spark, f"{tmp_path}/t").count() == 1)
     got = files.read_appended(spark, f"{tmp_path}/t").orderBy("line_no").collect()
     assert [(r.seq, r.event, r.node, r.text) for r in got] == [(1, "learn", "***", "***"), (2, "run-done", None, None), (3, "learn", "***", "***"), (4, "run-done", None, None)]
-    assert "s3cret" not in "".join(p.read_text() for p in (tmp_path / "t").glob("*.txt"))
+    assert "s3cret" not in "".join(p.read_text() for p in (tmp_path / "t").rglob("*.txt"))
 
 
 def test_inbox_scan(spark, tmp_path):
