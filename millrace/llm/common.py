@@ -52,6 +52,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitting(sizes: list[int], room: int) -> list[int]:
+    """Which of ``sizes``, in order, are taken into ``room``: each that needs no more than half of what is still free, so
+    that one giant never shuts out those behind it. Where none fits, the smallest is taken.
+    """
+    taken = []
+    for k, size in enumerate(sizes):
+        if size * 2 <= room:
+            taken.append(k)
+            room -= size
+    return taken if taken or not sizes else [min(range(len(sizes)), key=sizes.__getitem__)]
+
+
 def fold(x: Column) -> Column:
     """crc32 of a value's text, as unsigned; the splits for held-out rows are made with it. Null stays null."""
     return F.crc32(x.cast("string").cast("binary"))

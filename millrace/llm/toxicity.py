@@ -5,8 +5,8 @@ text, the largest response of each is kept, and a logistic unit reads those. Emb
 first component, which starts at the log odds of the class in the documents that hold a row's words, where at least
 SUPPORT do: the largest responses then fall on telling words from the first step on, and a word that training has not
 seen adds nothing. The classifier is fitted with Adam on a sample of the labelled documents, whole texts of any length:
-of each class those whose md5 of the id comes first, at most SAMPLE of them and, after the first, at most SAMPLE_CHARS
-characters together; a fifth of the sample is set aside. Then Spark
+of each class those whose md5 of the id comes first, at most SAMPLE of them, and of these all but texts that would take
+more than half of what is left of the class's share of SAMPLE_CHARS; a fifth of the sample is set aside. Then Spark
 scores all labelled documents that training has not read, whole texts of any length, and counts of those scores scale
 them to the classes' natural shares and choose, per language, the threshold of ``rejected``. The model is 8 MB and goes
 to tasks as it is.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import fold, table, tidy, written
+from millrace.llm.common import fitting, fold, table, tidy, written
 from millrace.llm.encode import steps
 
 TABLE_BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
@@ -251,20 +251,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
-    told = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_hash"))
-    usable = known.join(told.select("doc_id"), "doc_id", "left_semi")
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    usable = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     picked = usable.filter("toxic = 1").orderBy(*order).limit(SAMPLE).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(SAMPLE))
     picked = written(picked, "picked")  # at most 2 * SAMPLE ids: a bounded broadcast
     one = F.min_by(F.struct(F.length("text").alias("chars"), "_hash"), "_hash")
-    sized = told.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(one.alias("one"))
-    chosen, chars = [], {0: 0, 1: 0}
+    sized = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(one.alias("one"))
     # narrow rows come to the driver first, so that no more than SAMPLE_CHARS follow
-    for r in sized.select("doc_id", "toxic", "one.*").orderBy(*order).collect():
-        if not chars[r["toxic"]] or chars[r["toxic"]] + r["chars"] <= SAMPLE_CHARS // 2:
-            chosen.append((r["doc_id"], r["_hash"]))
-        chars[r["toxic"]] += max(1, r["chars"])
+    told = sized.select("doc_id", "toxic", "one.*").orderBy(*order).collect()
+    chosen = []
+    for toxic in (0, 1):
+        own = [r for r in told if r["toxic"] == toxic]
+        chosen += [(own[k]["doc_id"], own[k]["_hash"]) for k in fitting([r["chars"] for r in own], SAMPLE_CHARS // 2)]
     wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([sized.schema["doc_id"], T.StructField("_hash", T.LongType())]))
-    found = told.join(F.broadcast(wanted), ["doc_id", "_hash"]).join(F.broadcast(picked), "doc_id")
+    found = texts.join(F.broadcast(wanted), ["doc_id", "_hash"]).join(F.broadcast(picked), "doc_id")
     rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
     y = np.array([r[2] for r in rows], np.float64)
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         aside = np.zeros(len(rows), bool)
     model = train([r[1] for r, a in zip(rows, aside, strict=True) if not a], y[~aside])
     # texts stay where they are: each is scored in the scan, and only ids and logits are joined with the labels
-    mine = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) % 3 != 1))
+    mine = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) % 3 != 1)).join(known.select("doc_id"), "doc_id", "left_semi")
     scored = with_logits(mine.select("doc_id", "lang", "text"), model).select("doc_id", "lang", F.xxhash64("text").alias("text"), "z").distinct()
     scored = written(scored.join(known, "doc_id"), "scored")
     read = scored.sparkSession.createDataFrame([(i,) for i in sorted({r[0] for r, a in zip(rows, aside, strict=True) if not a})], scored.select("doc_id").schema)

@@ -1,6 +1,8 @@
 """Model code against enumeration, and stored tokens against their files' metadata."""
 
+import hashlib
 import itertools
+import zlib
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -10,7 +12,7 @@ import pytest
 from pyarrow import orc
 from pyspark.sql import functions as F
 
-from millrace.llm import hmm_lm, nnls_pack, token_orc, toxicity
+from millrace.llm import common, hmm_lm, nnls_pack, token_orc, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -152,3 +154,26 @@ def test_threshold_is_that_of_the_best_f1():
 
         got = toxicity.threshold(reached, np.ones(2))
         assert f1(got) == pytest.approx(max(map(f1, toxicity.OPTIONS)), abs=1e-9)
+
+
+def test_a_giant_leaves_room_for_those_behind_it():
+    small = [2500] * 1500
+    assert common.fitting([16_000_000, *small], 15_000_000) == list(range(1, 1501))
+    assert common.fitting([*small[:10], 16_000_000, *small[10:]], 15_000_000) == [k for k in range(1501) if k != 10]
+    taken = common.fitting([7_000_000, 3_900_000, 2_000_000, *small], 15_000_000)
+    assert taken[:2] == [0, 1] and len(taken) > 700 and sum([7_000_000, 3_900_000, 2_000_000, *small][k] for k in taken) <= 15_000_000
+    assert common.fitting([90, 50, 70], 60) == [1] and common.fitting([], 60) == []
+
+
+@pytest.mark.parametrize("place", [0, 10])
+def test_a_giant_labelled_text_does_not_shut_out_others(spark, monkeypatch, place):
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400_000)
+    real = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(len(texts)) or real(texts, y))
+    ids = sorted((i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    giant = [i for i in ids if i % 2][place]
+    rows = [(i, "word " * 100_000 if i == giant else f"plain words {i}" + " vile" * (i % 2), "en") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int"))
+    assert seen[0] > 0.7 * (len(ids) - 1)
