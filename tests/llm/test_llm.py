@@ -172,6 +172,29 @@ def test_nearest_neighbours(spark, odd):
     assert {r.query_id for r in rows} == {i for i in v if i % graph_ann.QUERY_EVERY == 0}
 
 
+def test_neighbours_of_all_sizes_and_lengths(spark):
+    """Lengths never meet; giants do not hide small vectors; squares that overflow or vanish are no matter."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(600):
+        v = rng.normal(size=16 if i % 3 else 8)
+        rows.append((i, (v * 10.0 ** (0, 0, 0, 170, -170, 4)[i % 6 if i % 3 else 0]).tolist()))
+    rows += [(600, [1.0]), (620, [2.0]), (640, [1e300] * 16)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = graph_ann.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    hits = n = 0
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, v in rows:
+            if q % 20:
+                continue
+            scores = [(-np.nan_to_num(float(np.dot(v, x)), nan=-np.inf, posinf=np.inf, neginf=-np.inf), i) for i, x in rows if i != q and len(x) == len(v)]
+            best = {i for _, i in sorted(scores)[:20]}
+            mine = [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+            assert len(mine) == len(best)
+            hits, n = hits + len(best & set(mine)), n + len(best)
+    assert hits / n >= 0.95
+
+
 def test_recall_over_many_full_shards(spark, monkeypatch):
     """Fourteen shards, several blocks of queries, ties that lie in different shards, and rows that repeat an id."""
     monkeypatch.setattr(graph_ann, "SHARD_NODES", 150)
