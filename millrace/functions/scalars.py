@@ -97,10 +97,11 @@ def decided_class(by: Column) -> Column:
 
 
 def parse_duration(x: Column) -> Column:
-    """Seconds of texts like 90, 30m or 1h30m; null for others."""
-    part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(x, f"([0-9]+){unit}", 1), F.lit("")).cast("int"), F.lit(0))
-    units = part("h") * 3600 + part("m") * 60 + part("s")
-    return F.when(x.rlike("^[0-9]+$"), F.expr("0") + x.try_cast("int")).when(x.rlike("^([0-9]+h)?([0-9]+m)?([0-9]+s)?$") & (x != ""), units)
+    """Seconds (long) of texts like 90, 30m or 1h30m; null for others, and where a long can't hold them."""
+    number = lambda text: F.when(text != "", text).otherwise("0").try_cast("bigint")
+    part = lambda unit: number(F.regexp_extract(x, f"([0-9]+){unit}", 1))
+    units = F.try_add(F.try_add(F.try_multiply(part("h"), F.lit(3600).cast("bigint")), F.try_multiply(part("m"), F.lit(60).cast("bigint"))), part("s"))
+    return F.when(x.rlike("^[0-9]+$"), x.try_cast("bigint")).when(x.rlike("^([0-9]+h)?([0-9]+m)?([0-9]+s)?$") & (x != ""), units)
 
 
 def format_at(ts: Column) -> Column:

@@ -103,18 +103,19 @@ def gate_latencies(found: DataFrame) -> DataFrame:
 
 
 def picked_ranks(rows: DataFrame, value: str, shares: dict[str, tuple[int, ...]]) -> DataFrame:
-    """One row: n, and for each name the mean of the values at the given ranks, without bringing the values together.
+    """One row: n, mean, and for each name the mean of the values at the given ranks, without bringing the values together.
 
-    Values are range-sorted; a partition's place in the order comes from the partitions' sizes (a row for each).
-    ``shares`` gives, as SQL over n, the ranks (from 1) to average.
+    Values are range-sorted, equal ones by a number of their own, so ties are no hot range either; a partition's place in
+    the order comes from the partitions' sizes (a row for each). ``shares`` gives, as SQL over n, the ranks (from 1) to
+    average. All is read from one stored table, so ``rows`` are evaluated once.
     """
-    # stored, since a second evaluation may cut the ranges elsewhere
-    placed = stored(rows.select(value).repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "ranks")
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    ranged = rows.select(value, F.monotonically_increasing_id().alias("_t")).repartitionByRange(value, "_t")
+    placed = stored(ranged.withColumn("_p", F.spark_partition_id()), "ranks")
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), (F.sum("_s") / F.sum("_n")).alias("mean"))
     bases = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(value)) + F.col("_base")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(value, "_t")) + F.col("_base")
     ranked = placed.join(F.broadcast(bases), "_p").withColumn("_r", rank).join(F.broadcast(total))
     wanted = {name: F.col("_r").isin(*[F.expr(r) for r in ranks]) for name, ranks in shares.items()}
     picked = ranked.agg(*[F.avg(F.when(hit, F.col(value))).alias(name) for name, hit in wanted.items()])
@@ -126,11 +127,14 @@ def gate_latency(trail: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
     Distinct latencies are as many as answers, so the exact percentiles are picked by rank from a range-sorted table.
     """
-    rows = gate_latencies(gates(trail, files)).select("latency_s")
+    return latency_gauge(gates(trail, files))
+
+
+def latency_gauge(found: DataFrame) -> DataFrame:
+    """``gate_latency`` of gates that are known."""
     ranks = {"med": ("(n + 1) div 2", "n div 2 + 1"), "p90": ("cast(ceil(n * 90 / 100) as bigint)",)}
-    mean = rows.agg(F.avg("latency_s").alias("mean"))
-    found = picked_ranks(rows, "latency_s", ranks).join(F.broadcast(mean))
-    return found.select(F.col("n").alias("n_gates"), *[F.round(c, 3).alias(f"{c}_s") for c in ("mean", "med", "p90")])
+    told = picked_ranks(gate_latencies(found).select("latency_s"), "latency_s", ranks)
+    return told.select(F.col("n").alias("n_gates"), *[F.round(c, 3).alias(f"{c}_s") for c in ("mean", "med", "p90")])
 
 
 def last_terminal(trail: DataFrame) -> DataFrame:
@@ -148,7 +152,12 @@ def human_share(trail: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
     A decision by someone unknown or by a file that is not verified is ``other``; a gate that was only asked is none.
     """
-    decided = gates(trail, files).filter(F.col("evidence") | F.col("decided_by").isNotNull()).join(done_runs(trail), "run_id", "left_semi")
+    return share_gauge(gates(trail, files), done_runs(trail))
+
+
+def share_gauge(found: DataFrame, done: DataFrame) -> DataFrame:
+    """``human_share`` of gates that are known, in the completed runs ``done``."""
+    decided = found.filter(F.col("evidence") | F.col("decided_by").isNotNull()).join(done, "run_id", "left_semi")
     counts = decided.agg(*[F.count_if(decided_class(F.coalesce("decided_by", F.lit("?"))) == c).alias(c) for c in ("human", "machine", "other")])
     return counts.withColumn("share", F.round(F.try_divide(F.col("human"), F.col("human") + F.col("machine")), 6))
 
@@ -203,11 +212,11 @@ def circuit(trail: DataFrame, threshold: int = 3) -> DataFrame:
     ``dark`` tells dark events; a trail without that column is of dark runs only, and null is lit.
     """
     dark = F.coalesce("dark", F.lit(False)) if "dark" in trail.columns else F.lit(True)
-    w = Window.partitionBy("run_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    ends = trail.filter(F.col("event").isin(*TERMINAL)).withColumn("island", F.count_if(F.col("event") == "run-done").over(w))
+    ends = trail.filter(F.col("event").isin(*TERMINAL))
+    success = ends.filter("event = 'run-done'").groupBy("run_id").agg(F.max("line_no").alias("_done"))
     failed = (F.col("event") == "run-halt") & ~F.coalesce(F.col("exit_code"), F.lit(1)).isin(0, 6, 8, 9) & dark
-    islands = ends.groupBy("run_id", "island").agg(F.count_if(failed).alias("n"))
-    rows = islands.groupBy("run_id").agg(F.max_by("n", "island").alias("failures"))
+    behind = F.col("_done").isNull() | (F.col("line_no") > F.col("_done"))
+    rows = ends.join(success, "run_id", "left").groupBy("run_id").agg(F.count_if(failed & behind).alias("failures"))
     return rows.withColumn("is_open", F.col("failures") >= threshold)
 
 
@@ -227,11 +236,11 @@ def throughput(trail: DataFrame, manifests: DataFrame, by: str) -> DataFrame:
     return ends.groupBy(by).agg(F.count_if(F.col("terminal") == "run-done").alias("completed"), F.count_if(F.col("terminal") == "run-halt").alias("halted"))
 
 
-def per_day_rate(trail: DataFrame, now: Column, start: Column | None = None) -> DataFrame:
+def per_day_rate(trail: DataFrame, now: Column, start: Column | None = None, done: DataFrame | None = None) -> DataFrame:
     """One row: completed runs, the window's days and the rate. The window reaches from ``start``, or else the first
     run-done of a completed run, to ``now``; the rate is null below one day or without completed runs.
     """
-    done = trail.join(done_runs(trail), "run_id", "left_semi")
+    done = trail.join(done_runs(trail) if done is None else done, "run_id", "left_semi")
     begun = F.min(F.when(F.col("event") == "run-done", F.col("ev_at"))) if start is None else F.first(start.cast("timestamp_ntz"))
     rows = done.agg(F.count_distinct("run_id").alias("completed"), begun.alias("_from"))
     begin = F.col("_from") if start is None else start
@@ -240,39 +249,83 @@ def per_day_rate(trail: DataFrame, now: Column, start: Column | None = None) ->
     return rows.select("completed", F.round("days", 6).alias("days"), rate.alias("per_day"))
 
 
-def board(trail: DataFrame, manifests: DataFrame, files: DataFrame, now: Column, start: Column | None = None) -> DataFrame:
+def board(trail: DataFrame, manifests: DataFrame, files: DataFrame, now: Column, start: Column | None = None, broken: DataFrame | None = None) -> DataFrame:
     """The gauge board: one row. Runs with a manifest count; with ``start`` those in its window, with all their events.
 
-    The columns that gauges read are stored once, so that lines are parsed once and not for every gauge.
+    ``broken`` (run_id) are the runs whose manifest can't be read. What several gauges read is stored once: the columns
+    of the events, the last terminals and the gates.
     """
+    parts = _gauges(trail, manifests, files, now, start)
+    out = manifests.agg(F.count("*").alias("runs_scanned")).join(F.broadcast(skipped_runs(trail, manifests, broken).agg(F.count("*").alias("runs_skipped"))))
+    for part in parts[:-1]:  # rows of one line each
+        out = out.join(F.broadcast(part))
+    step = F.round(F.try_divide(F.col("passes"), F.col("passes") + F.col("fails")), 6)
+    return out.withColumn("step_rate", step).withColumn("retries_per_run", F.round(F.try_divide(F.col("retries"), F.col("completed")), 6))
+
+
+def _gauges(trail: DataFrame, manifests: DataFrame, files: DataFrame, now: Column, start: Column | None) -> tuple:
     known = trail.join(manifests.select("run_id"), "run_id", "left_semi")
     seen = known if start is None else window_runs(known, start, manifests)
     seen = stored(seen.select("run_id", "line_no", "ev_at", "event", "node", "exit_code", "decided_by", "reasons", "artifacts"), "seen")
     totals = step_rates(seen).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("passes", "fails", "validated", "retries")])
-    ends = last_terminal(seen).agg(F.count_if(F.col("terminal") == "run-done").alias("done"), F.count_if(F.col("terminal") == "run-halt").alias("halted"))
-    in_window = files.join(seen.select("run_id").distinct(), "run_id", "left_semi")
-    parts = [totals, ends, per_day_rate(seen, now, start), gate_latency(seen, in_window), human_share(seen, in_window), blocked_snapshot(seen, now)]
-    out = manifests.agg(F.count("*").alias("runs_scanned"))
-    for part in parts:  # rows of one line each
-        out = out.join(F.broadcast(part))
-    step = F.round(F.try_divide(F.col("passes"), F.col("passes") + F.col("fails")), 6)
-    return out.drop("done").withColumn("step_rate", step).withColumn("retries_per_run", F.round(F.try_divide(F.col("retries"), F.col("completed")), 6))
+    last = stored(last_terminal(seen), "terminals")
+    done = last.filter("terminal = 'run-done'").select("run_id")
+    ends = last.agg(F.count_if(F.col("terminal") == "run-halt").alias("halted"))
+    runs = seen.select("run_id").distinct()
+    found = stored(gates(seen, files.join(runs, "run_id", "left_semi")), "gates")
+    in_window = runs.agg(F.count("*").alias("runs_in_window"))
+    return totals, ends, in_window, per_day_rate(seen, now, start, done), latency_gauge(found), share_gauge(found, done), blocked_snapshot(seen, now), (seen, last)
 
 
 #: Fixed values of the report: its version, and the gauges that tell of now and not of the window.
-REPORT_VERSION, SNAPSHOT = 2, ("open_parks", "oldest_s")
+REPORT_VERSION, SNAPSHOT = 2, ("open_parks", "oldest_s", "ages_s", "triggers")
 
 
 def report(row: DataFrame) -> DataFrame:
     """``board`` as one stable JSON text: keys in order, the window's gauges apart from the snapshot, nulls kept."""
     shown = lambda names: F.struct(*sorted(names))
-    body = F.struct(F.lit(REPORT_VERSION).alias("schema_version"), shown(SNAPSHOT).alias("snapshot"), shown(set(row.columns) - set(SNAPSHOT)).alias("window"))
+    here = [c for c in SNAPSHOT if c in row.columns]
+    body = F.struct(F.lit(REPORT_VERSION).alias("schema_version"), shown(here).alias("snapshot"), shown(set(row.columns) - set(here)).alias("window"))
     return row.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
 
 
-def skipped_runs(trail: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Runs that have a trail but no manifest that can be read."""
-    return trail.select("run_id").distinct().join(manifests.select("run_id"), "run_id", "left_anti")
+def full_report(trail: DataFrame, manifests: DataFrame, files: DataFrame, now: Column, start: Column | None = None, broken: DataFrame | None = None, triggers: DataFrame | None = None, oldest: int = 1000) -> DataFrame:
+    """The whole board as one stable JSON text: all gauges, completed runs by pipeline and by origin and retries by node as
+    maps in key order, the ages of the ``oldest`` open parks, and the snapshots of triggers.
+
+    ``triggers`` is a row each: name, and columns of its depths, leases and circuit. Maps have a key for every pipeline,
+    origin, node and trigger there is, so they are for boards that people read.
+    """
+    *gauges, (seen, last) = _gauges(trail, manifests, files, now, start)
+    ended = with_manifest(last, manifests).filter("terminal = 'run-done'")
+    row = manifests.agg(F.count("*").alias("runs_scanned")).join(F.broadcast(skipped_runs(trail, manifests, broken).agg(F.count("*").alias("runs_skipped"))))
+    maps = [(ended.groupBy("pipeline").agg(F.count("*").alias("v")), "pipeline", "by_pipeline"), (ended.groupBy("origin").agg(F.count("*").alias("v")), "origin", "by_origin")]
+    maps.append((step_rates(seen).filter("retries > 0").select("node", F.col("retries").alias("v")), "node", "by_node"))
+    if triggers is not None:
+        maps.append((triggers.select("name", F.struct(*sorted(set(triggers.columns) - {"name"})).alias("v")), "name", "triggers"))
+    for rows, key, name in maps:
+        row = row.join(F.broadcast(rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "v")))).alias(name))))
+    ages = open_ages(seen, now).limit(oldest).agg(F.sort_array(F.collect_list("age_s"), False).alias("ages_s"))
+    for part in (*gauges, ages):
+        row = row.join(F.broadcast(part))
+    return report(row)
+
+
+def skipped_runs(trail: DataFrame, manifests: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """Runs that have a trail but no manifest that can be read, and those of ``broken`` (run_id) manifests, trail or not."""
+    had = trail.select("run_id") if broken is None else trail.select("run_id").unionByName(broken.select("run_id"))
+    return had.distinct().join(manifests.select("run_id"), "run_id", "left_anti")
+
+
+def learning_warnings(trail: DataFrame, manifests: DataFrame, broken: DataFrame) -> DataFrame:
+    """run_id and why its learnings are missing or have no pipeline, a row each: a manifest's run without a trail is
+    skipped; a trail whose manifest can't be read, or that has none, is told without a pipeline.
+    """
+    with_trail = trail.select("run_id").distinct().withColumn("_t", F.lit(True))
+    torn = broken.select("run_id").distinct().withColumn("_b", F.lit(True))
+    rows = with_trail.join(manifests.select("run_id", F.lit(True).alias("_m")), "run_id", "full").join(torn, "run_id", "full")
+    why = F.when(F.col("_t").isNull(), "skipped: no trail").when(F.col("_m").isNull() & F.col("_b"), "no pipeline: manifest can't be read").when(F.col("_m").isNull(), "no pipeline: no manifest")
+    return rows.select("run_id", why.alias("warning")).filter("warning IS NOT NULL")
 
 
 def learnings(trail: DataFrame, manifests: DataFrame, tag: str | None = None, start: Column | None = None) -> DataFrame:
@@ -310,6 +363,18 @@ def last_of_each(rows: DataFrame, key: str, order: list[str], n: int) -> DataFra
     return rows.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
 
 
+def trail_context(trail: DataFrame, events: int = 12, learnings: int = 5) -> DataFrame:
+    """Every run's last events and last learnings (kind ``event`` and ``learning``), each numbered from 1 in the order of
+    the file; a learning among the last events counts for both.
+    """
+    out = []
+    for kind, rows, n in (("event", trail, events), ("learning", trail.filter("event = 'learn'"), learnings)):
+        last = last_of_each(rows, "run_id", ["line_no"], n)
+        place = F.row_number().over(Window.partitionBy("run_id").orderBy("line_no"))
+        out.append(last.withColumn("kind", F.lit(kind)).withColumn("place", place))
+    return out[0].unionByName(out[1])
+
+
 def keep_plan(runs: DataFrame, now: Column, keep_last: int | None, keep_days: int | None, needs_human_too: bool = False) -> DataFrame:
     """Retention: run_id, pipeline, verdict and why, by run; nothing is deleted here.
 

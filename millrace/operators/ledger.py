@@ -42,6 +42,11 @@ def aged(items: DataFrame, now: Column) -> DataFrame:
     return items.withColumn("effective", F.coalesce("prio", F.lit(5)) - F.greatest(F.lit(0), age_s(F.col("updated_at"), now)) / 3600.0)
 
 
+def in_order(items: DataFrame, now: Column) -> DataFrame:
+    """``items`` with their effective priority, in the order in which they are taken: the least first, ties by name."""
+    return aged(items, now).orderBy("effective", "name", *(["item_no"] if "item_no" in items.columns else []))
+
+
 def tombstones(items: DataFrame) -> DataFrame:
     """identity and its greatest comparable revision among retired items: one row an identity, so coverage is an equi-join."""
     return items.filter(F.col("lane").isin("done", "failed")).groupBy("identity").agg(F.max(rev_key(F.col("rev"))).alias("tomb"))

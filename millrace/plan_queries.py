@@ -27,10 +27,9 @@ def parse_names(spark, d):
     return item_names(spark, d).withColumn("n", S.parse_item_name(F.col("name"))).select("p_partkey", "n.prio", "n.id", "n.rev")
 
 
-@query("", f"SELECT doc_id, nullif({_SAFE.format('t')}, '') AS id, CASE WHEN regexp_matches(s, '^[a-z]') THEN s END AS source FROM (SELECT doc_id, text[1:60] AS t, regexp_replace(lower(text[1:60]), '[^a-z0-9]', '', 'g') AS s FROM documents)")
+@query("", f"SELECT doc_id, nullif({_SAFE.format('t')}, '') AS id, CASE WHEN regexp_matches(s, '^[a-z]') THEN s END AS source FROM (SELECT doc_id, text AS t, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM documents)")
 def safe_ids(spark, d):
-    t = F.substring("text", 1, 60)  # a file name is as long as that; the documents' own queries take whole texts
-    return V.table(spark, d, "documents").select("doc_id", S.safe_item_id(t).alias("id"), S.safe_source(t).alias("source"))
+    return V.table(spark, d, "documents").select("doc_id", S.safe_item_id(F.col("text")).alias("id"), S.safe_source(F.col("text")).alias("source"))
 
 
 @query("", "SELECT o_orderkey, 'r' || lpad(CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR), 11, '0') || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS token FROM orders")
@@ -143,11 +142,19 @@ def write_backs(spark, d):
     )
 
 
-@query("", "SELECT doc_id, contains(lower(text), 'please run') AS auth FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, false FROM documents WHERE doc_id % 2 = 1")
+_SIGNS = ", ".join(f"'{x}'" for x in S.AUTH_SIGNS)
+_LOG = f"""(SELECT doc_id, CASE WHEN doc_id % 32 < 8 THEN text || chr(10) || upper([{_SIGNS}][doc_id % 32 + 1]) WHEN doc_id % 32 < 16 THEN [{_SIGNS}][doc_id % 8 + 1] || chr(10) || text ELSE text END AS log FROM documents)"""
+
+
+@query("", f"""SELECT doc_id, doc_id % 3 <> 0 AND regexp_matches(lower(right(log, {S.AUTH_TAIL})), '{"|".join(S.AUTH_SIGNS)}') AS auth FROM {_LOG}""")
 def auth_failures(spark, d):
-    """Documents as logs of failed (even) and finished commands; one sign of a missing login is planted in some."""
-    docs = V.table(spark, d, "documents")
-    return docs.select("doc_id", S.auth_failure(F.col("text"), (F.col("doc_id") + 1) % 2, ("please run",)).alias("auth"))
+    """Documents as logs of failed and (every third) finished commands. Each sign of a missing login stands at the end of
+    some, in capitals, and at the head of others, where only short logs still show it.
+    """
+    n = F.col("doc_id")
+    behind = F.concat("text", F.lit("\n"), F.upper(V.pick(S.AUTH_SIGNS, n % 8)))
+    log = F.when(n % 32 < 8, behind).when(n % 32 < 16, F.concat(V.pick(S.AUTH_SIGNS, n % 8), F.lit("\n"), "text")).otherwise(F.col("text"))
+    return V.table(spark, d, "documents").select("doc_id", S.auth_failure(log, n % 3).alias("auth"))
 
 
 GUARDS = [("home", "https", "*example*"), ("english", "", "*/en/*"), ("one", "http", "http://[!w]*.?om/*"), ("any", "ftp", "")]

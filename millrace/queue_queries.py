@@ -23,11 +23,12 @@ def _age(c: str) -> str:
     return f"(epoch(TIMESTAMP '{NOW_RUNS}') - epoch({c}))"
 
 
-@query("items", f"""SELECT item_no, prio, round(prio - greatest(0, {_age('updated_at')}) / 3600.0::DOUBLE, 6) AS effective
-FROM items WHERE lane = 'inbox' ORDER BY effective, item_no LIMIT 100""")
+@query("items", f"""SELECT item_no, name, prio, round(effective, 6) AS effective FROM (SELECT item_no, name, prio, coalesce(prio, 5) - greatest(0, {_age('updated_at')}) / 3600.0::DOUBLE AS effective
+FROM (SELECT * REPLACE (CASE WHEN item_no % 24 <> 0 THEN prio END AS prio) FROM items WHERE lane = 'inbox')) ORDER BY effective, name, item_no LIMIT 100""")
 def aged_queue_topk(spark, d):
-    rows = ledger.aged(V.items(spark, d).filter("lane = 'inbox'"), at(NOW_RUNS))
-    return rows.select("item_no", "prio", F.round("effective", 6).alias("effective")).orderBy("effective", "item_no").limit(100)
+    """The 100 items to take first; some have no priority of their own."""
+    some = V.items(spark, d).filter("lane = 'inbox'").withColumn("prio", F.when(F.col("item_no") % 24 != 0, F.col("prio")))
+    return ledger.in_order(some, at(NOW_RUNS)).limit(100).select("item_no", "name", "prio", F.round("effective", 6).alias("effective"))
 
 
 @query("items", "SELECT item_no, name FROM (SELECT item_no, CASE WHEN item_no % 23 = 0 THEN '.' || name WHEN item_no % 29 = 0 THEN 'ledger-version' ELSE name END AS name FROM items WHERE lane = 'inbox') WHERE name NOT LIKE '.%' AND name <> 'ledger-version'")
@@ -50,7 +51,7 @@ def tombstone_cover(spark, d):
     return ledger.covered(i.filter("lane = 'inbox'"), i.filter("lane IN ('done', 'failed')")).select("item_no")
 
 
-@query("items", f"""SELECT item_no, identity, CASE WHEN {_COVER} THEN 'skip' WHEN identity IN (SELECT identity FROM items WHERE {_LIVE_LANES}) THEN 'defer' ELSE 'admit' END AS disposition
+@query("items", f"""SELECT item_no, identity, CASE WHEN NOT regexp_matches(name, '{S.ITEM_NAME}') THEN 'reject' WHEN {_COVER} THEN 'skip' WHEN identity IN (SELECT identity FROM items WHERE {_LIVE_LANES}) THEN 'defer' ELSE 'admit' END AS disposition
 FROM items i WHERE lane = 'inbox'""")
 def admission(spark, d):
     return ledger.admission(V.items(spark, d))
@@ -65,8 +66,8 @@ def park_deferred(spark, d):
 _RECEIPT = """coalesce(CASE WHEN item_no % 4 = 0 THEN item_no::VARCHAR END, CASE WHEN item_no % 3 = 0 THEN item_no::VARCHAR END, CASE WHEN item_no % 7 = 0 THEN 'd7' END, CASE WHEN item_no % 2 = 0 THEN 'm' || item_no END)"""
 
 
-def _receipts(spark, d):
-    return V.receipts(spark, d).withColumn("receipt_rev", S.receipt_rev(*map(F.col, ("receipt_1", "receipt_2", "receipt_3", "manifest"))))
+def _receipts(spark, d, lane="done"):
+    return V.receipts(spark, d, lane).withColumn("receipt_rev", S.receipt_rev(*map(F.col, ("receipt_1", "receipt_2", "receipt_3", "manifest"))))
 
 
 @query("items", f"SELECT item_no, {_RECEIPT} AS receipt_rev FROM items WHERE lane = 'done'")
@@ -85,22 +86,23 @@ def promote_deferred(spark, d):
 
 
 @query("items pointers", f"""SELECT item_no, identity, CASE WHEN code = 0 THEN 'done' WHEN code IN (6, 8, 9) THEN 'waiting' ELSE 'failed' END AS lane,
-  CASE WHEN code NOT IN (6, 8, 9) THEN identity || '-r' || rev END AS tombstone, CASE WHEN code NOT IN (6, 8, 9) THEN CASE WHEN code = 0 THEN 'x1' ELSE rev END END AS compared_rev
+  CASE WHEN code NOT IN (6, 8, 9) THEN identity || '-r' || rev END AS tombstone, CASE WHEN code NOT IN (6, 8, 9) THEN CASE WHEN code = 0 THEN coalesce({_RECEIPT}, rev) ELSE rev END END AS compared_rev
 FROM (SELECT i.*, CASE WHEN i.item_no % 7 = 0 THEN 0 ELSE coalesce(exit_code, 1) END AS code FROM items i LEFT JOIN (SELECT * FROM pointed WHERE lane = 'claim') p USING (item_no) WHERE i.lane = 'claim')""")
 def retire(spark, d):
     rows = V.items(spark, d).filter("lane = 'claim'").join(_pointers(spark, d).filter("lane = 'claim'").select("item_no", "exit_code"), "item_no", "left")
     code = F.when(F.col("item_no") % 7 == 0, 0).otherwise(F.col("exit_code"))
-    return ledger.retired(rows.withColumn("exit_code", code).withColumn("receipt_rev", F.lit("x1")))
+    told = _receipts(spark, d, "claim").select("item_no", "receipt_rev")
+    return ledger.retired(rows.withColumn("exit_code", code).join(told, "item_no", "left"))
 
 
 _TERMS = "(SELECT run_id, arg_max_null(event, line_no) AS terminal, arg_max_null(exit_code, line_no) AS exit_code FROM trail WHERE event IN ('run-done', 'run-halt') GROUP BY run_id)"
 
 
-@query("items trail", f"""SELECT item_no, CASE WHEN cap AND count(*) FILTER (cap) OVER (ORDER BY item_no) <= 5 THEN 'resume' ELSE action END AS action FROM (
+@query("items trail leases slots", f"""SELECT item_no, CASE WHEN cap AND count(*) FILTER (cap) OVER (ORDER BY item_no) <= (SELECT free FROM slots) THEN 'resume' ELSE action END AS action FROM (
 SELECT item_no, CASE WHEN terminal = 'run-done' THEN 'done' WHEN terminal = 'run-halt' AND coalesce(exit_code, 1) NOT IN (0, 6, 8, 9) THEN 'failed' ELSE 'leave' END AS action,
   coalesce(terminal = 'run-halt' AND exit_code = 8, false) AS cap FROM items LEFT JOIN {_TERMS} USING (run_id) WHERE lane = 'waiting')""")
 def sweep(spark, d):
-    return ledger.swept(V.items(spark, d).filter("lane = 'waiting'"), folds.last_terminal(V.trail(spark, d)), 5)
+    return ledger.swept(V.items(spark, d).filter("lane = 'waiting'"), folds.last_terminal(V.trail(spark, d)), V.slots(spark, d).first()["free"])
 
 
 @query("items", "SELECT item_no, CASE prio WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN item_no % 3 > 1 THEN 3600 END ELSE prio * 100 END::INTEGER AS ttl_s FROM items WHERE lane = 'claim'")
@@ -211,11 +213,12 @@ def failed_listing(spark, d):
 
 
 @query("items", """SELECT a.item_no, b.item_no AS other_no, CASE WHEN a.rev = b.rev THEN 0 WHEN TRY_CAST(a.rev AS BIGINT) < TRY_CAST(b.rev AS BIGINT) THEN -1 WHEN TRY_CAST(a.rev AS BIGINT) > TRY_CAST(b.rev AS BIGINT) THEN 1
-  WHEN TRY_CAST(a.rev AS BIGINT) IS NOT NULL AND TRY_CAST(b.rev AS BIGINT) IS NOT NULL THEN 0 END::INTEGER AS rev_order FROM items a JOIN items b ON b.item_no = a.item_no + 1""")
+  WHEN TRY_CAST(a.rev AS BIGINT) IS NOT NULL AND TRY_CAST(b.rev AS BIGINT) IS NOT NULL THEN 0 END::INTEGER AS rev_order FROM items a JOIN items b ON b.item_no = a.item_no + CASE WHEN a.item_no % 8 = 0 THEN 1000 ELSE 1 END""")
 def rev_orders(spark, d):
+    """Items beside their next one, or the one a thousand on, whose revision is the same."""
     i = V.items(spark, d).select("item_no", "rev")
-    other = i.select((F.col("item_no") - 1).alias("item_no"), F.col("item_no").alias("other_no"), F.col("rev").alias("_rev"))
-    return i.join(other, "item_no").select("item_no", "other_no", S.rev_order(F.col("rev"), F.col("_rev")).alias("rev_order"))
+    other = i.select(F.col("item_no").alias("other_no"), F.col("rev").alias("_rev"))
+    return i.withColumn("other_no", F.col("item_no") + F.when(F.col("item_no") % 8 == 0, 1000).otherwise(1)).join(other, "other_no").select("item_no", "other_no", S.rev_order(F.col("rev"), F.col("_rev")).alias("rev_order"))
 
 
 @query("", """SELECT * FROM (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.o_orderkey IS NULL THEN 'removed'

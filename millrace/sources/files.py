@@ -124,9 +124,13 @@ def read_manifests(spark: SparkSession, path: str, strict: bool = False) -> Data
 
 
 def broken_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """file and value of the lines that ``read_manifests`` drops."""
+    """run_id, file and value of the lines that ``read_manifests`` drops. The run is what the line still says, or else the
+    file's folder where each run has a file of its own (``run.json``), or else null.
+    """
     lines = text_lines(spark, path).filter(F.trim("value") != "")
-    return lines.filter(text_of(F.try_parse_json("value"), "run_id").isNull()).select("file", "value")
+    said = F.nullif(F.regexp_extract("value", r'"run_id"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    run = F.coalesce(said, F.nullif(F.regexp_extract("file", r"([^/]+)/run\.json$", 1), F.lit("")))
+    return lines.filter(text_of(F.try_parse_json("value"), "run_id").isNull()).select(run.alias("run_id"), "file", "value")
 
 
 def read_gates(spark: SparkSession, path: str) -> DataFrame:

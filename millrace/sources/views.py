@@ -108,22 +108,28 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LANES = ("inbox", "claim", "waiting", "failed", "done", "deferred")  # fixed values
+FRESH_AT = "2001-08-31 23:30:00"  # when the fresh ones of the leases were taken, half an hour before the queries' now
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_no, name, prio, source, identity (by customer), rev, updated_at, lane. item_no is the order of arrival."""
+    """item_no, name, prio, source, identity (by customer), rev, updated_at, lane. item_no is the order of arrival. Some
+    names keep to no grammar, some deferred items have the name of one in the inbox, and a tenth of the identities is never
+    live.
+    """
     n = F.col("o_orderkey")
     rev = F.when(n % 11 == 0, F.concat(F.lit("v"), (n % 50).cast("string"))).otherwise((n * 7919 % 1000).cast("string"))
     cust = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     return table(spark, sf_dir, "orders").select(
         n.alias("item_no"),
-        F.concat(F.lit("p"), (n % 10).cast("string"), F.lit("-order-"), cust, F.lit("-r"), rev, F.lit(".json")).alias("name"),
+        F.when((n % 60).isin(0, 5), F.concat(F.lit("p5-order-g"), F.floor(n / 60).cast("string"), F.lit("-r1.json")))
+        .otherwise(F.concat(F.when(n % 37 == 0, "P").otherwise("p"), (n % 10).cast("string"), F.lit("-order-"), cust, F.lit("-r"), rev, F.lit(".json")))
+        .alias("name"),
         (n % 10).cast("int").alias("prio"),
         F.lit("order").alias("source"),
         F.concat(F.lit("order-"), cust).alias("identity"),
         rev.alias("rev"),
         F.col("o_orderdate").alias("updated_at"),
-        pick(LANES, n % 6).alias("lane"),
+        F.when((F.col("o_custkey") % 10 == 0) & (n % 6).isin(1, 2), "done").otherwise(pick(LANES, n % 6)).alias("lane"),
         (n % 150).alias("run_id"),
     )
 
@@ -143,7 +149,15 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_no, claimed_at, ttl_s, holder_alive of claims; some claims have no lease."""
     n = F.col("item_no")
     rows = items(spark, sf_dir).filter("lane = 'claim' AND item_no % 5 <> 0")
-    return rows.select("item_no", F.col("updated_at").alias("claimed_at"), F.lit(3600).alias("ttl_s"), (n % 4 == 0).alias("holder_alive"))
+    fresh = F.lit(FRESH_AT).cast("timestamp_ntz")
+    return rows.select("item_no", F.when(n % 7 == 2, fresh).otherwise(F.col("updated_at")).alias("claimed_at"), F.lit(3600).alias("ttl_s"), (n % 4 == 1).alias("holder_alive"))
+
+
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many more runs may start, which is what the pool holds less what living holders of fresh leases use."""
+    used = leases(spark, sf_dir).agg(F.count_if(F.col("holder_alive") & (F.col("claimed_at") == F.lit(FRESH_AT).cast("timestamp_ntz"))).alias("used"))
+    pool = table(spark, sf_dir, "customer").agg(F.floor(F.count("*") / 4).alias("size"))
+    return pool.join(F.broadcast(used)).select(F.greatest(F.lit(0), F.col("size") - F.col("used")).cast("int").alias("free"))
 
 
 def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +166,11 @@ def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("_n % 5 <> 0").drop("_n")
 
 
-def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_no and the bodies of up to three receipt files and the run's manifest, as text."""
+def receipts(spark: SparkSession, sf_dir: str, lane: str = "done") -> DataFrame:
+    """item_no of a lane's items and the bodies of up to three receipt files and the run's manifest, as text."""
     n = F.col("item_no")
     text = n.cast("string")
-    rows = items(spark, sf_dir).filter("lane = 'done'")
+    rows = items(spark, sf_dir).filter(F.col("lane") == lane)
     return rows.select(
         "item_no",
         "identity",
@@ -230,13 +244,14 @@ SQL = {
     "runs": """runs AS (SELECT o_orderkey AS run_id, o_orderpriority AS pipeline, CASE WHEN o_orderkey % 101 <> 7 THEN o_orderdate END AS created_at,
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'halted' ELSE 'running' END AS status, o_orderkey % 97 = 0 AS pinned, o_orderkey % 89 = 0 AS locked,
   CASE WHEN o_orderstatus = 'O' THEN (o_orderkey % 12)::INTEGER END AS last_exit FROM orders)""",
-    "items": f"""items AS (SELECT item_no, 'p' || (item_no % 10) || '-order-' || cust || '-r' || rev || '.json' AS name, (item_no % 10)::INTEGER AS prio, 'order' AS source, 'order-' || cust AS identity, rev, updated_at,
-  [{_lanes}][item_no % 6 + 1] AS lane, item_no % 150 AS run_id FROM (SELECT o_orderkey AS item_no, 'c' || o_custkey AS cust, o_orderdate AS updated_at,
+    "items": f"""items AS (SELECT item_no, CASE WHEN item_no % 60 IN (0, 5) THEN 'p5-order-g' || (item_no // 60) || '-r1.json' ELSE CASE WHEN item_no % 37 = 0 THEN 'P' ELSE 'p' END || (item_no % 10) || '-order-' || cust || '-r' || rev || '.json' END AS name, (item_no % 10)::INTEGER AS prio, 'order' AS source, 'order-' || cust AS identity, rev, updated_at,
+  CASE WHEN never AND item_no % 6 IN (1, 2) THEN 'done' ELSE [{_lanes}][item_no % 6 + 1] END AS lane, item_no % 150 AS run_id FROM (SELECT o_orderkey AS item_no, 'c' || o_custkey AS cust, o_custkey % 10 = 0 AS never, o_orderdate AS updated_at,
   CASE WHEN o_orderkey % 11 = 0 THEN 'v' || (o_orderkey % 50) ELSE (o_orderkey * 7919 % 1000)::VARCHAR END AS rev FROM orders))""",
     "pointers": """pointers AS (SELECT item_no, lane, CASE WHEN item_no % 19 = 0 THEN '{"run_dir": "ru' ELSE '{"run_dir":"runs/' || run_id || '","exit_code":' || ['6', '8', '9', '1', 'null'][item_no % 5 + 1] || '}' END AS body
   FROM (SELECT item_no, lane, run_id FROM items WHERE lane IN ('claim', 'waiting', 'failed') AND item_no % 8 <> 1 UNION ALL SELECT item_no, 'waiting', run_id FROM items WHERE lane = 'inbox' AND item_no % 31 = 0)),
 pointed AS (SELECT item_no, lane, CASE WHEN item_no % 19 <> 0 THEN 'runs/' || (item_no % 150) END AS run_dir, CASE WHEN item_no % 19 <> 0 THEN [6, 8, 9, 1, NULL][item_no % 5 + 1] END AS exit_code FROM pointers)""",
-    "leases": """leases AS (SELECT item_no, updated_at AS claimed_at, 3600 AS ttl_s, item_no % 4 = 0 AS holder_alive FROM items WHERE lane = 'claim' AND item_no % 5 <> 0)""",
+    "leases": """leases AS (SELECT item_no, CASE WHEN item_no % 7 = 2 THEN TIMESTAMP '{fresh}' ELSE updated_at END AS claimed_at, 3600 AS ttl_s, item_no % 4 = 1 AS holder_alive FROM items WHERE lane = 'claim' AND item_no % 5 <> 0)""".replace("{fresh}", FRESH_AT),
+    "slots": """slots AS (SELECT greatest(0, (SELECT count(*) FROM customer) // 4 - (SELECT count(*) FROM leases WHERE holder_alive AND claimed_at = TIMESTAMP '{fresh}'))::INTEGER AS free)""".replace("{fresh}", FRESH_AT),
     "reservations": """reservations AS (SELECT identity, max(updated_at) AS reserved_at FROM items GROUP BY identity HAVING max(item_no) % 5 <> 0)""",
     "steps": """steps AS (SELECT l_orderkey AS pipeline, l_linenumber AS pos, 's' || l_linenumber AS step, ((l_linenumber + 1) // 2)::INTEGER AS grp, 'a' || (l_suppkey % 5) AS needs, 'a' || (l_partkey % 5) AS produces FROM lineitem)""",
     "artifacts": """artifacts AS (SELECT d.doc_id, source, lang, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",

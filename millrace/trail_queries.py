@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
-from millrace.operators import folds
+from millrace.operators import folds, ledger
 from millrace.registry import LATE_TRAIL, NOW_RUNS, NOW_TRAIL, at, query
 from millrace.sources import files
 from millrace.sources import views as V
@@ -19,14 +19,17 @@ _LAST = "arg_max_null({0}, line_no)"
 _TERMINAL = "event IN ('run-done', 'run-halt')"
 
 
-def stored_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Trails, manifests and gate decisions, written as files and read back; run_id is a number again."""
+def stored_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Trails, manifests, gate decisions and the runs of torn manifests, written as files and read back; run_id is a
+    number again.
+    """
     root = V.write_run_files(spark, d)
     number = lambda df: df.withColumn("run_id", F.col("run_id").cast("long"))
     return (
         number(files.read_trail(spark, f"{root}/trails")),
         number(files.read_manifests(spark, f"{root}/manifests")),
         number(files.read_gates(spark, f"{root}/gates")),
+        number(files.broken_manifests(spark, f"{root}/manifests")).select("run_id").filter("run_id IS NOT NULL"),
     )
 
 
@@ -34,6 +37,9 @@ def stored_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
 _M = "m AS (SELECT * FROM manifests WHERE run_id % 17 <> 4)"
 
 
+_SKIPPED = "(SELECT DISTINCT run_id FROM trail WHERE run_id NOT IN (SELECT run_id FROM m) UNION SELECT run_id FROM manifests WHERE run_id % 17 = 4)"
+
+
 def _ends(t: str) -> str:
     return f"(SELECT run_id, {_LAST.format('event')} AS terminal, {_LAST.format('exit_code')} AS exit_code FROM {t} WHERE {_TERMINAL} GROUP BY run_id)"
 
@@ -89,7 +95,7 @@ def trail_since(spark, d):
 @query("trail", "SELECT run_id, count(*)::BIGINT AS n_events, max(seq)::BIGINT AS last_seq, count(ev_at) AS readable FROM trail GROUP BY run_id")
 def trail_files(spark, d):
     """Trails written as files and read back: nothing but torn lines is lost, and the last offset is that of the last line."""
-    t, _, _ = stored_runs(spark, d)
+    t = stored_runs(spark, d)[0]
     counts = t.groupBy("run_id").agg(F.count("*").alias("n_events"), F.count("ev_at").alias("readable"))
     return counts.join(files.last_seq(t), "run_id")
 
@@ -194,7 +200,7 @@ def _board(start: str | None) -> str:
     late = f"(SELECT run_id FROM trail WHERE ev_at >= TIMESTAMP '{start}' UNION SELECT run_id FROM manifests WHERE created_at >= TIMESTAMP '{start}')"
     where = f" AND run_id IN {late}" if start else ""
     return f""", {_M}, t AS (SELECT * FROM trail WHERE run_id IN (SELECT run_id FROM m){where})
-SELECT (SELECT count(*) FROM m) AS runs_scanned, s.*, h.halted, p.*, g.*, q.*, round(q.human / nullif(q.human + q.machine, 0), 6) AS share, b.*,
+SELECT (SELECT count(*) FROM m) AS runs_scanned, (SELECT count(*) FROM {_SKIPPED}) AS runs_skipped, (SELECT count(DISTINCT run_id) FROM t) AS runs_in_window, s.*, h.halted, p.*, g.*, q.*, round(q.human / nullif(q.human + q.machine, 0), 6) AS share, b.*,
   round(passes / nullif(passes + fails, 0), 6) AS step_rate, round(retries / nullif(completed, 0), 6) AS retries_per_run
 FROM (SELECT sum(passes)::BIGINT AS passes, sum(fails)::BIGINT AS fails, sum(validated)::BIGINT AS validated, sum(retries)::BIGINT AS retries FROM {_steps("t")}) s,
   (SELECT count(*) FILTER (terminal = 'run-halt') AS halted FROM {_ends("t")}) h, {_per_day("t", start)} p,
@@ -205,21 +211,54 @@ FROM (SELECT sum(passes)::BIGINT AS passes, sum(fails)::BIGINT AS fails, sum(val
 @query("trail manifests gate_files", _board(None))
 def stats_board(spark, d):
     """All gauges over files."""
-    t, m, g = stored_runs(spark, d)
-    return folds.board(t, m, g, at(NOW_TRAIL))
+    t, m, g, torn = stored_runs(spark, d)
+    return folds.board(t, m, g, at(NOW_TRAIL), broken=torn)
 
 
 @query("trail manifests gate_files", _board(LATE_TRAIL))
 def stats_since(spark, d):
     """All gauges of the runs in a window."""
-    t, m, g = stored_runs(spark, d)
-    return folds.board(t, m, g, at(NOW_TRAIL), at(LATE_TRAIL))
+    t, m, g, torn = stored_runs(spark, d)
+    return folds.board(t, m, g, at(NOW_TRAIL), at(LATE_TRAIL), torn)
 
 
-@query("trail manifests", f", {_M} SELECT DISTINCT run_id FROM trail WHERE run_id NOT IN (SELECT run_id FROM m)")
+@query("trail manifests", f", {_M} SELECT * FROM {_SKIPPED}")
 def skipped_runs(spark, d):
-    t, m, _ = stored_runs(spark, d)
-    return folds.skipped_runs(t, m)
+    t, m, _, torn = stored_runs(spark, d)
+    return folds.skipped_runs(t, m, torn)
+
+
+@query("trail manifests", f""", {_M} SELECT coalesce(t.run_id, m.run_id, b.run_id) AS run_id, CASE WHEN t.run_id IS NULL THEN 'skipped: no trail'
+  WHEN b.run_id IS NOT NULL THEN 'no pipeline: manifest can''t be read' ELSE 'no pipeline: no manifest' END AS warning
+FROM (SELECT DISTINCT run_id FROM trail WHERE run_id % 10 <> 7) t FULL JOIN m ON t.run_id = m.run_id FULL JOIN (SELECT run_id FROM manifests WHERE run_id % 17 = 4) b ON coalesce(t.run_id, m.run_id) = b.run_id
+WHERE t.run_id IS NULL OR m.run_id IS NULL""")
+def learning_warnings(spark, d):
+    """Some trails are taken away, so that their runs have a manifest only."""
+    t, m, _, torn = stored_runs(spark, d)
+    return folds.learning_warnings(t.filter("run_id % 10 <> 7"), m, torn)
+
+
+_REPORT = "schema_version int, snapshot struct<ages_s array<double>, open_parks long, triggers map<string, struct<inbox long, inflight long>>>, window struct<by_node map<string, long>, by_origin map<string, long>, by_pipeline map<string, long>, halted long, runs_in_window long, runs_skipped long>"
+
+
+@query("trail manifests gate_files items", f""", {_M}, t AS (SELECT * FROM trail WHERE run_id IN (SELECT run_id FROM m)), e AS (SELECT * FROM {_ends("t")} JOIN m USING (run_id) WHERE terminal = 'run-done')
+SELECT 'ages_s' AS key, (row_number() OVER (ORDER BY seconds DESC) - 1)::VARCHAR AS name, round(round(seconds, 3) * 1000)::BIGINT AS value FROM {_parks("t")} WHERE NOT resolved
+UNION ALL SELECT 'by_node', node, retries FROM {_steps("t")} WHERE retries > 0 UNION ALL SELECT 'by_pipeline', coalesce(pipeline, '?'), count(*) FROM e GROUP BY 2 UNION ALL SELECT 'by_origin', coalesce(origin, '(none)'), count(*) FROM e GROUP BY 2
+UNION ALL SELECT 'triggers', 'p' || prio, count(*) FILTER (lane = 'inbox') * 1000000 + count(*) FILTER (lane IN ('claim', 'waiting')) FROM items GROUP BY 2
+UNION ALL SELECT 'counts', 'halted', count(*) FROM {_ends("t")} WHERE terminal = 'run-halt' UNION ALL SELECT 'counts', 'runs_in_window', count(DISTINCT run_id) FROM t UNION ALL SELECT 'counts', 'runs_skipped', count(*) FROM {_SKIPPED}""")
+def stats_report(spark, d):
+    """The whole board as one text, with its maps, ages and triggers; then taken apart again."""
+    t, m, g, torn = stored_runs(spark, d)
+    depths = ledger.lane_depths(V.items(spark, d), ledger.read_pointers(V.pointers(spark, d)))
+    triggers = depths.select(F.concat(F.lit("p"), F.col("prio").cast("string")).alias("name"), "inbox", "inflight")
+    r = folds.full_report(t, m, g, at(NOW_TRAIL), broken=torn, triggers=triggers).select(F.from_json("report", _REPORT).alias("r")).select("r.*")
+    entries = lambda key, column: r.select(F.lit(key).alias("key"), F.explode(column).alias("name", "value"))
+    out = r.select(F.lit("ages_s").alias("key"), F.posexplode("snapshot.ages_s").alias("p", "s")).select("key", F.col("p").cast("string").alias("name"), F.round(F.col("s") * 1000).cast("long").alias("value"))
+    for name in ("by_node", "by_pipeline", "by_origin"):
+        out = out.unionByName(entries(name, f"window.{name}"))
+    out = out.unionByName(entries("triggers", "snapshot.triggers").withColumn("value", F.col("value.inbox") * 1_000_000 + F.col("value.inflight")))
+    counts = F.create_map(*[x for c in ("halted", "runs_in_window", "runs_skipped") for x in (F.lit(c), F.col(f"window.{c}"))])
+    return out.unionByName(entries("counts", counts))
 
 
 @query("trail", f"""SELECT concat('{{"schema_version":2,"snapshot":{{"oldest_s":', coalesce(oldest_s::VARCHAR, 'null'), ',"open_parks":', open_parks, '}},"window":{{"resolved_parks":', resolved_parks, '}}}}') AS report FROM {_snapshot('trail')}""")
@@ -262,9 +301,12 @@ def gc_candidates(spark, d):
     return folds.gc_candidates(folds.keep_plan(V.runs(spark, d), at(NOW_RUNS), 50, 90))
 
 
-@query("", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
+_LAST_OF = "SELECT run_id, '{1}' AS kind, seq, event, tag, note, row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS place FROM (SELECT * FROM trail {0} QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY line_no DESC) <= {2})"
+
+
+@query("trail", f"{_LAST_OF.format('', 'event', 12)} UNION ALL {_LAST_OF.format("WHERE event = 'learn'", 'learning', 5)}")
 def trail_context(spark, d):
-    return folds.last_of_each(V.table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], 3)
+    return folds.trail_context(V.trail(spark, d)).select("run_id", "kind", "seq", "event", "tag", "note", "place")
 
 
 _LEARNT = """SELECT run_id, pipeline, node, coalesce(strftime(ev_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'soon') AS at_raw, tag, note, seq::BIGINT AS seq
@@ -273,13 +315,13 @@ _LEARNT = """SELECT run_id, pipeline, node, coalesce(strftime(ev_at, '%Y-%m-%dT%
 
 @query("trail manifests", f", {_M} {_LEARNT}")
 def learnings(spark, d):
-    t, m, _ = stored_runs(spark, d)
+    t, m, *_ = stored_runs(spark, d)
     return folds.learnings(t, m)
 
 
 @query("trail manifests", f", {_M} {_LEARNT} AND tag = 'risk' AND ev_at >= TIMESTAMP '2024-01-20 00:00:00'")
 def learnings_of_a_tag(spark, d):
-    t, m, _ = stored_runs(spark, d)
+    t, m, *_ = stored_runs(spark, d)
     return folds.learnings(t, m, "risk", files.parse_since("2024-01-20"))
 
 
