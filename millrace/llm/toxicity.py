@@ -34,6 +34,7 @@ TABLE_BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 SUPPORT = 3  # documents that a row of the tables needs to start elsewhere than at zero
 SAMPLE, SAMPLE_CHARS = 1500, 30_000_000  # documents of each class that training reads, and characters of all of them
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.02, 7
+FEW_LABELS = 200_000  # labelled ids up to which they are broadcast: a few MB
 DECISION, LOWEST, HIGHEST, ENOUGH = 0.7, 0.6, 0.9, 40  # thresholds; rows that a language needs for its own
 OPTIONS = np.linspace(LOWEST, HIGHEST, 31)
 BINS = 100  # of a unit of the logit, for the calibration's sums
@@ -275,7 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         aside = np.zeros(len(rows), bool)
     model = train([r[1] for r, a in zip(rows, aside, strict=True) if not a], y[~aside])
     # texts stay where they are: each is scored in the scan, and only ids and logits are joined with the labels
-    mine = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) % 3 != 1)).join(known.select("doc_id"), "doc_id", "left_semi")
+    mine = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) % 3 != 1))
+    if sum(shares.values()) <= FEW_LABELS:  # then no others are scored
+        mine = mine.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
     scored = with_logits(mine.select("doc_id", "lang", "text"), model).select("doc_id", "lang", F.xxhash64("text").alias("text"), "z").distinct()
     scored = written(scored.join(known, "doc_id"), "scored")
     read = scored.sparkSession.createDataFrame([(i,) for i in sorted({r[0] for r, a in zip(rows, aside, strict=True) if not a})], scored.select("doc_id").schema)
