@@ -261,6 +261,18 @@ def cursor_of(text: Column) -> Column:
     return F.when(found["updated_at"].isNotNull() & found["id"].isNotNull(), found)
 
 
+def next_cursor(current: Column, scratch: Column) -> Column:
+    """Struct of the cursor after a step, as text, and a warning, if any: an empty or unchanged scratch moves nothing, and
+    what is no cursor (a JSON object of two texts) moves nothing either but is told.
+    """
+    v = F.try_parse_json(scratch)
+    text = lambda key: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+    empty, good = F.trim(F.coalesce(scratch, F.lit(""))) == "", text("updated_at").isNotNull() & text("id").isNotNull()
+    warning = F.when(~empty & v.isNull(), "scratch is no JSON; the cursor stays").when(~empty & ~good, "scratch is no cursor; the cursor stays")
+    moved = F.when(~empty & good, cursor_text(text("updated_at"), text("id"))).otherwise(current)
+    return F.struct(moved.alias("cursor"), warning.alias("warning"))
+
+
 def overlap_since(updated_at: Column, seconds: int = 60) -> Column:
     """The lower bound of the next fetch, as text: ``seconds`` before the mark; a mark that can't be read is the bound."""
     at = F.try_to_timestamp(F.trim(updated_at)) - F.expr(f"INTERVAL {seconds} SECONDS")

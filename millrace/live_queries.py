@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.registry import query
+from millrace.sources import files
 from millrace.sources import views as V
 from millrace.sources.scratch import shared_dir
-from millrace.streaming import live
+from millrace.streaming import follow, live
 
 STEPS, GRACE_S, LATE_H, KNOWN_D = 3, 43_200, 3, 2
 
@@ -94,3 +95,66 @@ def overlap_stream(spark, d):
     out, lost = _stepped(spark, arriving, lambda events: live.once_within(events, ["run_id", "seq"], "ev_at", f"{KNOWN_D} days").select("run_id", "seq"))
     rows = spark.read.parquet(out).select(F.col("run_id").cast("long").alias("run_id"), F.col("seq").cast("int").alias("seq"), F.col("step").cast("long").alias("step"))
     return rows.withColumn("lost", F.lit(sum(lost)).cast("long"))
+
+
+_LOG_LINES = "(SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS log FROM documents GROUP BY source)"
+
+
+@query("", f"""SELECT source, strlen(log) AS size, CASE WHEN strlen(log) <= {files.TAIL_BYTES} OR strlen(last) + strlen(log) - strlen(cut) < {files.TAIL_BYTES} THEN trim(last) ELSE '' END AS last_line, least(strlen(log), {files.TAIL_BYTES}) AS bytes_read
+FROM (SELECT *, string_split(cut, chr(10))[-1] AS last FROM (SELECT *, rtrim(log, ' ' || chr(10)) AS cut FROM {_LOG_LINES}))""")
+def log_tails(spark, d):
+    """A log for every source of documents, and the end of each: as many bytes are read of a long log as of a short one."""
+    root = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    docs = V.table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("value"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(root)
+    rows = files.log_tails(spark, root, "*.txt")
+    return rows.select(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), "size", "last_line", "bytes_read")
+
+
+#: Patterns of artifacts, and the same as conditions on a file's path.
+GLOBS = [("out/*", "p LIKE 'out/%' AND p NOT LIKE 'out/%/%'"), ("out/**", "p LIKE 'out/%'"), ("**/s[1-3]*.json", "regexp_matches(p, '(^|/)s[1-3][^/]*[.]json$')"), ("*/?/s5.json", "regexp_matches(p, '^[^/]+/[^/]/s5[.]json$')"), ("**/s[!0]?.json", "regexp_matches(p, '(^|/)s[^0/][^/][.]json$')"), ("none/*", "false")]
+
+
+@query("", f"""WITH f AS (SELECT DISTINCT l_orderkey AS run_id, CASE WHEN l_linenumber = 1 THEN 'out/s' ELSE 'out/' || l_linenumber || '/s' END || (l_suppkey % 15) || '.json' AS p FROM lineitem)
+SELECT run_id, artifact, path, present FROM (SELECT run_id, '{GLOBS[0][0]}' AS artifact, p AS path, true AS present FROM f WHERE {GLOBS[0][1]} {" ".join(f"UNION ALL SELECT run_id, '{g}', p, true FROM f WHERE {c}" for g, c in GLOBS[1:])}
+UNION ALL SELECT r.run_id, 'plain', 'out/s3.json', f.p IS NOT NULL FROM (SELECT DISTINCT run_id FROM f) r LEFT JOIN f ON f.run_id = r.run_id AND f.p = 'out/s3.json')""")
+def artifact_globs(spark, d):
+    """Orders as runs, their lines as files: what patterns and a plain path name in each."""
+    n = F.col("l_linenumber").cast("string")
+    path = F.concat(F.when(F.col("l_linenumber") == 1, "out/s").otherwise(F.concat(F.lit("out/"), n, F.lit("/s"))), (F.col("l_suppkey") % 15).cast("string"), F.lit(".json"))
+    there = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), path.alias("path")).distinct()
+    told = F.array(*[F.struct(F.lit(g).alias("artifact"), F.lit(g).alias("path")) for g, _ in GLOBS], F.struct(F.lit("plain").alias("artifact"), F.lit("./out//s3.json").alias("path")))
+    declared = there.select("run_id").distinct().select("run_id", F.inline(told))
+    return files.artifact_files(there, declared)
+
+
+@query("", "SELECT c_custkey, true AS in_order FROM customer")
+def param_sets(spark, d):
+    """Customers as parameter files of a batch, blank lines among them; lines are numbered in each file, whatever its splits."""
+    path = f"{shared_dir(spark)}/params-{uuid.uuid4().hex}"
+    c = V.table(spark, d, "customer").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+    c.select(F.concat(F.to_json(F.struct("c_custkey", F.spark_partition_id().alias("part"))), F.when(F.col("c_custkey") % 3 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    rows = files.read_param_sets(spark, path).select("line_no", F.try_variant_get("params", "$.c_custkey", "long").alias("c_custkey"), F.try_variant_get("params", "$.part", "int").alias("part"))
+    first = rows.groupBy("part").agg(F.min("c_custkey").alias("first"))
+    blank = lambda n: F.floor((n + 2) / 3)  # noqa: E731  multiples of three below n
+    want = F.col("c_custkey") - F.col("first") + blank(F.col("c_custkey")) - blank(F.col("first")) + 1
+    return rows.join(F.broadcast(first), "part").select("c_custkey", (F.col("line_no") == want).alias("in_order"))
+
+
+@query("manifests", "SELECT run_id, pipeline, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, status, origin FROM manifests WHERE pipeline IS NOT NULL AND created_at IS NOT NULL")
+def manifests_strict(spark, d):
+    """Manifests that have all they must, read in the way that takes no others."""
+    path = f"{shared_dir(spark)}/strict-{uuid.uuid4().hex}"
+    m = V.manifests(spark, d).filter("pipeline IS NOT NULL AND created_at IS NOT NULL")
+    V.manifest_line(m).write.text(path)
+    return files.read_manifests(spark, path, strict=True).select(F.col("run_id").cast("long").alias("run_id"), "pipeline", "created_at", "status", "origin")
+
+
+@query("", "SELECT event_type, count(*) AS n_events, true AS paused FROM events GROUP BY event_type")
+def back_pressure(spark, d):
+    """Events are pulled to a spool; the next pull pauses, since the spool is full, and reads nothing."""
+    out = f"{shared_dir(spark)}/pull-{uuid.uuid4().hex}"
+    schema = V.table(spark, d, "events").schema
+    told = [follow.pull(spark, f"{d}/events.parquet*", schema, f"{out}/rows", f"{out}/offsets", inbox_max=1) for _ in range(2)]
+    rows = spark.read.schema(schema).parquet(f"{out}/rows")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n_events")).withColumn("paused", F.lit(not told[0]["paused"] and told[1]["paused"]))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import calendar as C
 from millrace.functions import scalars as S
+from millrace.functions import versions
 from millrace.operators import folds, plans
 from millrace.registry import query
 from millrace.sources import files
@@ -246,3 +248,95 @@ def poll_report(spark, d):
     good, bad = stream.isolated(V.table(spark, d, "events"), {"value": {"minimum": 5}})
     rows = stream.poll_report(good, bad, "ts", "event_id")
     return rows.select("emitted", "skipped", F.col("cursor.id").cast("long").alias("top"))
+
+
+#: Expressions, and what they mean: minutes, hours, days, months and weekdays (Sunday is 0; None: any).
+_ALL = {"minute": range(60), "hour": range(24), "month": range(1, 13)}
+CRONS = [
+    ("*/15 9-17 * * mon-fri", dict(minute=range(0, 60, 15), hour=range(9, 18), dow=range(1, 6))),
+    ("0 0 29 2 *", dict(minute=[0], hour=[0], dom=[29], month=[2])),
+    ("@weekly", dict(minute=[0], hour=[0], dow=[0])),
+    ("5,10-20/5 3 1,15 * 7", dict(minute=[5, 10, 15, 20], hour=[3], dom=[1, 15], dow=[0])),
+    ("0 12 13 * fri", dict(minute=[0], hour=[12], dom=[13], dow=[5])),
+    ("30/20 * 31 JAN-dec/2 *", dict(minute=[30, 50], dom=[31], month=range(1, 13, 2))),
+    ("@reboot", None),
+    ("0 0 30 2 *", None),
+    ("60 * * * *", None),
+    ("* * * * * *", None),
+    ("59 23 * * 6/2", dict(minute=[59], hour=[23], dow=[6])),
+    ("@hourly", dict(minute=[0])),
+]
+
+
+def _cron_rows() -> str:
+    """The meanings as rows of SQL."""
+    listed = lambda x: "NULL" if x is None else "[" + ", ".join(map(str, x)) + "]"
+    return ", ".join(f"({n}, {', '.join(listed(m.get(k, _ALL.get(k))) for k in ('minute', 'hour', 'dom', 'month', 'dow'))})" for n, (_, m) in enumerate(CRONS) if m)
+
+
+@query("", f"""WITH spec(n, minutes, hours, dom, months, dow) AS (VALUES {_cron_rows()}),
+o AS (SELECT o_orderkey, (o_orderkey % {len(CRONS)})::INTEGER AS n, o_orderdate + to_minutes((o_orderkey * 7919 % 1440)::INTEGER) AS after FROM orders),
+days AS (SELECT o_orderkey, after, minutes, hours, d FROM o JOIN spec USING (n), LATERAL (SELECT unnest(generate_series(date_trunc('day', after), date_trunc('day', after) + INTERVAL 2000 DAYS, INTERVAL 1 DAY)) AS d)
+  WHERE list_contains(months, month(d)) AND CASE WHEN dom IS NULL AND dow IS NULL THEN true WHEN dow IS NULL THEN list_contains(dom, day(d)) WHEN dom IS NULL THEN list_contains(dow, dayofweek(d))
+    ELSE list_contains(dom, day(d)) OR list_contains(dow, dayofweek(d)) END QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY d) <= 2),
+fires AS (SELECT o_orderkey, min(d + to_hours(h::INTEGER) + to_minutes(m::INTEGER)) AS next_at FROM (SELECT o_orderkey, after, d, h, unnest(minutes) AS m FROM (SELECT *, unnest(hours) AS h FROM days))
+  WHERE d + to_hours(h::INTEGER) + to_minutes(m::INTEGER) > after GROUP BY o_orderkey)
+SELECT o_orderkey, next_at FROM o LEFT JOIN fires USING (o_orderkey)""")
+def cron_next(spark, d):
+    """When schedules fire next: by bits here, by going through the days and minutes in SQL."""
+    n, minutes = F.col("o_orderkey"), (F.col("o_orderkey") * 7919 % 1440).cast("int")
+    expr = V.pick(tuple(x for x, _ in CRONS), n % len(CRONS))
+    after = F.col("o_orderdate") + F.make_dt_interval(mins=minutes)
+    return V.table(spark, d, "orders").select("o_orderkey", C.next_fire(C.parse_cron(expr), after).alias("next_at"))
+
+
+#: Requirements, and the same as a condition on the key k of versions with three numbers.
+_K = lambda *k: "[" + ", ".join(map(str, k)) + "]"
+REQUIRES = [
+    (">=0.1,<1.2", f"k >= {_K(0, 1, 0, 1, 0, 0, 0, 0, 1, 0)} AND k < {_K(1, 2, 0, 1, 0, 0, 0, 0, 1, 0)}"),
+    ("==1.*", "k[1] = 1"),
+    ("!=1.2.*", "NOT (k[1] = 1 AND k[2] = 2)"),
+    ("~=1.2", f"k >= {_K(1, 2, 0, 1, 0, 0, 0, 0, 1, 0)} AND k[1] = 1"),
+    ("~=1.2.1", f"k >= {_K(1, 2, 1, 1, 0, 0, 0, 0, 1, 0)} AND k[1] = 1 AND k[2] = 2"),
+    ("1.2", f"k = {_K(1, 2, 0, 1, 0, 0, 0, 0, 1, 0)}"),
+    ("<2.0,!=1.3.1", f"k < {_K(2, 0, 0, 1, 0, 0, 0, 0, 1, 0)} AND k <> {_K(1, 3, 1, 1, 0, 0, 0, 0, 1, 0)}"),
+    (">1.1.0rc1", f"k > {_K(1, 1, 0, 0, 2, 1, 0, 0, 1, 0)}"),
+    ("<= 1.2.0.post2", f"k <= {_K(1, 2, 0, 1, 0, 0, 1, 2, 1, 0)}"),
+    ("=1.2", "NULL"),
+    (">=1.*", "NULL"),
+    ("~=1", "NULL"),
+]
+_SUFFIX, _SUFFIX_KEY = ("", "rc1", ".post2", ".dev3", "a1", ".post1.dev4"), ((1, 0, 0, 0, 0, 1, 0), (0, 2, 1, 0, 0, 1, 0), (1, 0, 0, 1, 2, 1, 0), (-1, 0, 0, 0, 0, 0, 3), (0, 0, 1, 0, 0, 1, 0), (1, 0, 0, 1, 1, 0, 4))
+
+
+def _versions(spark, d):
+    n = F.col("o_orderkey")
+    version = F.concat_ws(".", n % 3, F.floor(n / 3) % 5, F.floor(n / 15) % 4)
+    return V.table(spark, d, "orders").select("o_orderkey", F.concat(version, V.pick(_SUFFIX, F.floor(n / 60) % 6)).alias("version"))
+
+
+_VERSIONS = f"""v AS (SELECT o_orderkey, list_concat([o_orderkey % 3, o_orderkey // 3 % 5, o_orderkey // 15 % 4], [{", ".join(_K(*k) for k in _SUFFIX_KEY)}][o_orderkey // 60 % 6 + 1]) AS k,
+  concat(o_orderkey % 3, '.', o_orderkey // 3 % 5, '.', o_orderkey // 15 % 4, [{", ".join(f"'{x}'" for x in _SUFFIX)}][o_orderkey // 60 % 6 + 1]) AS version FROM orders)"""
+
+
+@query("", f"WITH {_VERSIONS} SELECT o_orderkey, version, CASE o_orderkey // 360 % {len(REQUIRES)} {' '.join(f'WHEN {n} THEN {c}' for n, (_, c) in enumerate(REQUIRES))} END AS ok FROM v")
+def version_clauses(spark, d):
+    spec = V.pick(tuple(x for x, _ in REQUIRES), F.floor(F.col("o_orderkey") / 360) % len(REQUIRES))
+    return _versions(spark, d).select("o_orderkey", "version", versions.satisfied(spec, F.col("version")).alias("ok"))
+
+
+@query("", f"WITH {_VERSIONS}, r(pin, spec) AS (VALUES {', '.join(f"({n}, '{x}')" for n, (x, _) in enumerate(REQUIRES))}) SELECT pin, o_orderkey FROM v, r WHERE CASE pin {' '.join(f'WHEN {n} THEN {c}' for n, (_, c) in enumerate(REQUIRES))} END")
+def version_pins(spark, d):
+    """All versions that meet each of the pins."""
+    pins = spark.createDataFrame([(n, x) for n, (x, _) in enumerate(REQUIRES)], "pin int, spec string")
+    return versions.matches(pins, _versions(spark, d)).select("pin", "o_orderkey")
+
+
+@query("", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"updated_at":"' || strftime(ts, '%Y') || '","id":"' || event_id || '"}' ELSE 'c0' END AS cursor,
+  CASE event_id % 5 WHEN 2 THEN 'scratch is no JSON; the cursor stays' WHEN 3 THEN 'scratch is no cursor; the cursor stays' WHEN 4 THEN 'scratch is no cursor; the cursor stays' END AS warning FROM events""")
+def cursor_commits(spark, d):
+    """Cursors, empty scratches, torn ones, lists, and objects whose values are no texts."""
+    n = F.col("event_id")
+    good = S.cursor_text(F.date_format("ts", "yyyy"), n.cast("string"))
+    scratch = F.when(n % 5 == 0, good).when(n % 5 == 1, "  ").when(n % 5 == 2, '{"updated_at": "x').when(n % 5 == 3, "[1]").otherwise('{"updated_at":"x","id":7}')
+    return V.table(spark, d, "events").select("event_id", S.next_cursor(F.lit("c0"), scratch).alias("c")).select("event_id", "c.*")

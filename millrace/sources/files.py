@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -277,3 +279,41 @@ def run_paths(spark: SparkSession, root: str) -> DataFrame:
     below = F.regexp_replace(F.expr("regexp_replace(path, '^[a-z][a-z0-9+.-]*:(//[^/]*)?', '')"), F.lit("^" + re.escape(base) + "/"), F.lit(""))
     parts = listed.select(F.substring_index(below, "/", 1).alias("run_id"), below.alias("_below"))
     return parts.select("run_id", F.expr("substring(_below, length(run_id) + 2)").alias("path")).filter("path <> ''")
+
+
+TAIL_BYTES = 4096  # fixed value: what is read of a log's end
+
+
+def log_tails(spark: SparkSession, path: str, glob: str = "*", tail_bytes: int = TAIL_BYTES) -> DataFrame:
+    """path, size, last_line, tail and bytes_read of the logs under ``path``: of each file its last bytes alone are read.
+
+    last_line is the last line of these that is not blank, without blanks around it, "" for none; where the file is longer,
+    the line that the cut goes through does not count. ``tail`` is the text of those bytes. A file that can't be read, or
+    has gone meanwhile, has size 0 and no text. Files are opened by Arrow's file systems, in tasks.
+    """
+    schema = "path string, size long, last_line string, tail string, bytes_read long"
+    if not found(spark, path):
+        return spark.createDataFrame([], schema)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+
+    def run(batches):
+        for batch in batches:
+            rows = [_tail(p, n, tail_bytes) for p, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["path", "size", "last_line", "tail", "bytes_read"])
+
+    return listed.select("path", "length").mapInArrow(run, schema)
+
+
+def _tail(path: str, size: int, most: int) -> tuple[str, int, str, str, int]:
+    try:
+        store, place = fs.FileSystem.from_uri(path)
+        with store.open_input_file(place) as f:
+            size = f.size()
+            start = max(0, size - most)
+            f.seek(start)
+            raw = f.read(size - start)
+    except OSError:
+        return path, 0, "", "", 0
+    whole = raw.split(b"\n", 1)[1] if start and b"\n" in raw else b"" if start else raw
+    lines = [x for x in (line.decode("utf-8", "replace").strip() for line in whole.splitlines()) if x]
+    return path, size, lines[-1] if lines else "", raw.decode("utf-8", "replace"), len(raw)

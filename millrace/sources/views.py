@@ -207,6 +207,12 @@ def trail_line() -> Column:
     return F.to_json(F.struct(F.lit(1).alias("v"), "seq", at.alias("at"), F.col("run_id").cast("string").alias("run_id"), "event", "node", data.alias("data")))
 
 
+def manifest_line(m: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``manifests`` as they stand in a file (value), with other columns beside."""
+    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at")
+    return m.select(*columns, F.to_json(F.struct(F.col("run_id").cast("string").alias("run_id"), "pipeline", at, "status", "origin")).alias("value"))
+
+
 def write_run_files(spark: SparkSession, sf_dir: str) -> str:
     """Store the views trail, manifests and gate_files as JSON lines, torn lines among them; returns the folder.
 
@@ -217,9 +223,8 @@ def write_run_files(spark: SparkSession, sf_dir: str) -> str:
     line = trail_line()
     torn = F.when(F.col("k") == 50, F.concat(line, F.lit('\n{"seq": 9, "eve'))).when(F.col("k") == 51, F.concat(F.lit("\n"), line)).otherwise(line)
     t.select("run_id", "line_no", torn.alias("value")).repartition("run_id").sortWithinPartitions("run_id", "line_no").select("value").write.text(f"{out}/trails")
-    m = manifests(spark, sf_dir)
-    body = F.to_json(F.struct(F.col("run_id").cast("string").alias("run_id"), "pipeline", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "status", "origin"))
-    m.select(F.when(F.col("run_id") % 17 == 4, F.substring(body, 1, 20)).otherwise(body).alias("value")).write.text(f"{out}/manifests")
+    m = manifest_line(manifests(spark, sf_dir), "run_id")
+    m.select(F.when(F.col("run_id") % 17 == 4, F.substring("value", 1, 20)).otherwise(F.col("value")).alias("value")).write.text(f"{out}/manifests")
     g = gate_files(spark, sf_dir)
     when = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     g.select(F.to_json(F.struct(F.col("run_id").cast("string").alias("run_id"), "gate", F.col("decided_by").alias("by"), "verified", when("decided_at").alias("at"), when("mtime").alias("mtime"))).alias("value")).write.text(f"{out}/gates")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.plans import schema_reasons
+from millrace.sources.files import found
 
 
 def follow(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -74,12 +74,7 @@ def pull(spark: SparkSession, path: str, schema: T.StructType, out: str, checkpo
     nothing is read, the offset stays, and the report says so. An ``inbox_max`` below 1 sets no bound.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    try:
-        depth = files.load(out).select("path").count()
-    except AnalysisException as e:  # nothing has been fetched yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        depth = 0
+    depth = files.load(out).select("path").count() if found(spark, out) else 0
     if inbox_max >= 1 and depth >= inbox_max:
         return {"complete": True, "paused": True, "depth": depth, "batches": 0}
     return {"complete": True, "paused": False, "depth": depth, "batches": commit_after(follow(spark, path, schema, files_per_batch), out, checkpoint)}
