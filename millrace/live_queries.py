@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.registry import query
-from millrace.sources import files
+from millrace.sources import files, poll
 from millrace.sources import views as V
 from millrace.sources.scratch import shared_dir
 from millrace.streaming import follow, live
@@ -158,3 +158,28 @@ def back_pressure(spark, d):
     told = [follow.pull(spark, f"{d}/events.parquet*", schema, f"{out}/rows", f"{out}/offsets", inbox_max=1) for _ in range(2)]
     rows = spark.read.schema(schema).parquet(f"{out}/rows")
     return rows.groupBy("event_type").agg(F.count("*").alias("n_events")).withColumn("paused", F.lit(not told[0]["paused"] and told[1]["paused"]))
+
+
+POLLED = "id string, updated_at string, event_type string, value double"
+
+
+@query("", """WITH e AS (SELECT printf('%09d', event_id) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS updated_at, event_type, value, event_id % 7 = 3 AND event_id * 2 < (SELECT count(*) FROM events) AS late FROM events),
+first AS (SELECT max(updated_at) AS mark FROM e WHERE NOT late AND id < printf('%09d', (SELECT count(*) // 2 FROM events)))
+SELECT id, updated_at, event_type, value, CASE WHEN NOT late AND id < printf('%09d', (SELECT count(*) // 2 FROM events)) THEN 1 ELSE 2 END AS call
+FROM e, first WHERE NOT late OR updated_at >= strftime(strptime(mark, '%Y-%m-%dT%H:%M:%S.%fZ') - INTERVAL 600 SECONDS, '%Y-%m-%dT%H:%M:%S.%fZ')""")
+def polled_rows(spark, d):
+    """Two polls of a folder that grows between them, each from the last cursor, in bounded batches; of rows that come late
+    those within ten minutes are still found, and what comes again counts once.
+    """
+    root = f"{shared_dir(spark)}/polled-{uuid.uuid4().hex}"
+    events = V.table(spark, d, "events")
+    n = events.count()
+    e = events.select(F.lpad(F.col("event_id").cast("string"), 9, "0").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("updated_at"), "event_type", "value", "event_id")
+    late, half = (F.col("event_id") % 7 == 3) & (F.col("event_id") * 2 < n), F.col("event_id") < n // 2
+    spark.dataSource.register(poll.PollSource)
+    mark = None
+    for call, part in ((1, half & ~late), (2, ~half | late)):
+        e.filter(part).drop("event_id").write.mode("append").parquet(f"{root}/in")
+        mark = poll.fetched(spark, f"{root}/in", POLLED, f"{root}/out/call={call}", f"{root}/offsets", mark, max(1, n // 6), 600)
+    rows = spark.read.schema(f"{POLLED}, call int").parquet(f"{root}/out")
+    return rows.groupBy("id", "updated_at", "event_type", "value").agg(F.min("call").alias("call"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
-from millrace.operators import folds, ledger
+from millrace.operators import folds, ledger, queue_state
 from millrace.registry import NOW_RUNS, at, query
 from millrace.sources import files
 from millrace.sources import views as V
+from millrace.sources.scratch import shared_dir
 
 _DIGITS = "regexp_matches(rev, '^[0-9]+$')"
 _N = "TRY_CAST({0} AS BIGINT)"
@@ -228,3 +231,69 @@ def schedule_diff(spark, d):
     o = V.table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("v"))
     was = o.filter("o_orderkey % 4 <> 0").withColumn("v", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("v")))
     return ledger.changed(o.filter("o_orderkey % 3 <> 0"), was, "o_orderkey", "v")
+
+
+BATCHES = 4
+#: Items arrive in batches by number; some that stand in live lanes are retired one batch later.
+_MOVES = f"""b AS (SELECT *, (item_no * {BATCHES} // (SELECT count(*) FROM orders))::INTEGER AS batch FROM items),
+moves AS (SELECT batch, item_no AS seq, item_no, name, identity, rev, NULL AS from_lane, lane AS to_lane FROM b
+  UNION ALL SELECT batch + 1, item_no + 1000000000, item_no, name, identity, rev, lane, 'done' FROM b WHERE lane IN ('claim', 'waiting') AND item_no % 4 < 3 AND batch < {BATCHES - 1})"""
+
+
+def _queue(spark, d) -> str:
+    """Four batches of transitions, the third sent twice; returns the folder of the state."""
+    root = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    n = V.table(spark, d, "orders").count()
+    b = V.items(spark, d).withColumn("batch", F.floor(F.col("item_no") * BATCHES / F.lit(max(1, n))).cast("int"))
+    new = b.select("batch", F.col("item_no").alias("seq"), "item_no", "name", "identity", "rev", F.lit(None).cast("string").alias("from_lane"), F.col("lane").alias("to_lane"))
+    gone = b.filter(F.col("lane").isin("claim", "waiting") & (F.col("item_no") % 4 < 3) & (F.col("batch") < BATCHES - 1))
+    gone = gone.select((F.col("batch") + 1).alias("batch"), (F.col("item_no") + 1_000_000_000).alias("seq"), "item_no", "name", "identity", "rev", F.col("lane").alias("from_lane"), F.lit("done").alias("to_lane"))
+    moves = new.unionByName(gone)
+    for k in (0, 1, 2, 2, 3):
+        queue_state.apply(spark, root, moves.filter(F.col("batch") == k).drop("batch"), f"b{k}")
+    return root
+
+
+@query("items", f""", {_MOVES}, tomb AS (SELECT * FROM moves WHERE to_lane IN ('done', 'failed')),
+alive AS (SELECT s.batch, identity FROM moves, range({BATCHES}) s(batch) WHERE moves.batch <= s.batch GROUP BY ALL HAVING sum((to_lane IN ('claim', 'waiting'))::INTEGER - coalesce(from_lane IN ('claim', 'waiting'), false)::INTEGER) > 0)
+SELECT item_no, identity, batch + 1 AS version, CASE WHEN NOT regexp_matches(name, '{S.ITEM_NAME}') THEN 'reject'
+  WHEN EXISTS (SELECT 1 FROM tomb t WHERE t.batch <= m.batch AND t.identity = m.identity AND (t.rev = m.rev OR {_N.format('m.rev')} <= {_N.format('t.rev')})) THEN 'skip'
+  WHEN EXISTS (SELECT 1 FROM alive a WHERE a.batch = m.batch AND a.identity = m.identity) THEN 'defer' ELSE 'admit' END AS disposition FROM moves m WHERE to_lane = 'inbox'""")
+def queue_dispositions(spark, d):
+    """Inbox items judged batch by batch, by the state that all batches so far have left."""
+    return queue_state.dispositions(spark, _queue(spark, d))
+
+
+@query("items", f""", {_MOVES} SELECT 'live' AS kind, identity, NULL::BIGINT AS item_no, NULL AS rev, sum((to_lane IN ('claim', 'waiting'))::INTEGER - coalesce(from_lane IN ('claim', 'waiting'), false)::INTEGER)::BIGINT AS n
+FROM moves GROUP BY identity HAVING n > 0 UNION ALL SELECT DISTINCT 'retired', identity, NULL, rev, NULL FROM moves WHERE to_lane IN ('done', 'failed')
+UNION ALL SELECT 'parked', identity, r['item_no'], r['rev'], NULL FROM (SELECT identity, list_reduce(list({{'item_no': item_no, 'rev': rev}} ORDER BY seq),
+  lambda s, x: CASE WHEN s['rev'] = x['rev'] OR TRY_CAST(x['rev'] AS BIGINT) <= TRY_CAST(s['rev'] AS BIGINT) THEN s ELSE x END) AS r FROM moves WHERE to_lane = 'deferred' GROUP BY identity)""")
+def queue_tables(spark, d):
+    """Live identities, tombstones and parked items after all batches."""
+    t = queue_state.tables(spark, _queue(spark, d), BATCHES)
+    out = t["live"].select(F.lit("live").alias("kind"), "identity", "n")
+    for name in ("retired", "parked"):
+        out = out.unionByName(t[name].withColumn("kind", F.lit(name)), allowMissingColumns=True)
+    return out.select("kind", "identity", "item_no", "rev", "n")
+
+
+_SWEEP = f""", s1 AS (SELECT item_no, action, CASE action WHEN 'waiting' THEN 'waiting' WHEN 'requeue' THEN 'inbox' END AS to_lane FROM (
+  SELECT item_no, CASE WHEN claimed_at IS NULL THEN 'stuck' WHEN NOT {_age('claimed_at')} > ttl_s THEN 'held' WHEN holder_alive THEN 'flag' WHEN run_dir IS NOT NULL THEN 'waiting' ELSE 'requeue' END AS action
+  FROM (SELECT item_no FROM items WHERE lane = 'claim') LEFT JOIN leases USING (item_no) LEFT JOIN (SELECT item_no, run_dir FROM pointed WHERE lane = 'claim') USING (item_no))),
+l1 AS (SELECT i.* REPLACE (coalesce(to_lane, lane) AS lane) FROM items i LEFT JOIN s1 USING (item_no)),
+here AS (SELECT * FROM (SELECT p.* REPLACE (CASE WHEN lane = 'claim' AND to_lane IS NOT NULL THEN to_lane ELSE lane END AS lane) FROM pointed p LEFT JOIN s1 USING (item_no)) WHERE lane <> 'inbox'),
+s2 AS (SELECT h.item_no, CASE WHEN l.lane IS NULL THEN 'orphan' ELSE 'repair' END AS action, CASE WHEN l.lane IS NOT NULL THEN h.lane END AS to_lane FROM here h LEFT JOIN l1 l USING (item_no) WHERE h.lane IS DISTINCT FROM l.lane),
+l2 AS (SELECT i.* REPLACE (coalesce(to_lane, lane) AS lane) FROM l1 i LEFT JOIN s2 USING (item_no)),
+w AS (SELECT item_no, cap, CASE WHEN p.item_no IS NULL OR item_no % 19 = 0 THEN 'stuck' WHEN run_dir IS NULL THEN 'failed' WHEN terminal = 'run-done' THEN 'done' WHEN terminal = 'run-halt' AND coalesce(t.exit_code, 1) NOT IN (0, 6, 8, 9) THEN 'failed' ELSE 'leave' END AS action
+  FROM (SELECT * FROM l2 WHERE lane = 'waiting') LEFT JOIN (SELECT *, coalesce(terminal = 'run-halt' AND exit_code = 8, false) AS cap FROM {_TERMS}) t USING (run_id) LEFT JOIN (SELECT item_no, run_dir FROM here WHERE lane = 'waiting') p USING (item_no)),
+s3 AS (SELECT item_no, CASE WHEN action = 'leave' AND cap AND count(*) FILTER (action = 'leave' AND cap) OVER (ORDER BY item_no) <= (SELECT free FROM slots) THEN 'resume' ELSE action END AS action, CASE WHEN action IN ('done', 'failed') THEN action END AS to_lane FROM w),
+l3 AS (SELECT i.* REPLACE (coalesce(to_lane, lane) AS lane) FROM l2 i LEFT JOIN s3 USING (item_no)),
+s4 AS (SELECT item_no, CASE WHEN name IN (SELECT name FROM l3 WHERE lane = 'inbox') THEN 'keep' ELSE 'promote' END AS action FROM l3 WHERE lane = 'deferred' AND identity NOT IN (SELECT identity FROM l3 WHERE {_LIVE_LANES}))
+SELECT 1 AS step, item_no, action, to_lane FROM s1 UNION ALL SELECT 2, * FROM s2 UNION ALL SELECT 3, * FROM s3 UNION ALL SELECT 4, item_no, action, CASE WHEN action = 'promote' THEN 'inbox' END FROM s4"""
+
+
+@query("items pointers leases slots trail", _SWEEP)
+def sweep_steps(spark, d):
+    """One sweep with its four steps: leases, pointers, waiting items, deferred ones."""
+    free = V.slots(spark, d).first()["free"]
+    return queue_state.sweep(V.items(spark, d), _pointers(spark, d), V.leases(spark, d), folds.last_terminal(V.trail(spark, d)), at(NOW_RUNS), free)
