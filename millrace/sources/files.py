@@ -270,7 +270,7 @@ def path_pattern(glob: Column) -> Column:
 
 def run_paths(spark: SparkSession, root: str) -> DataFrame:
     """run_id and path of all files below the runs' folders in ``root``; only names are read, no contents. Spark passes
-    over files whose names start with a dot or an underscore.
+    over files without bytes, and over names that start with a dot or an underscore.
     """
     if not found(spark, root):
         return spark.createDataFrame([], "run_id string, path string")
@@ -289,7 +289,7 @@ def log_tails(spark: SparkSession, path: str, glob: str = "*", tail_bytes: int =
 
     last_line is the last line of these that is not blank, without blanks around it, "" for none; where the file is longer,
     the line that the cut goes through does not count. ``tail`` is the text of those bytes. A file that can't be read, or
-    has gone meanwhile, has size 0 and no text. Files are opened by Arrow's file systems, in tasks.
+    has gone meanwhile, has size 0 and no text; one without bytes is not listed by Spark and has no row. Files are opened by Arrow's file systems, in tasks.
     """
     schema = "path string, size long, last_line string, tail string, bytes_read long"
     if not found(spark, path):
