@@ -3,9 +3,10 @@
 A rule has a regular expression, the literal tokens that every URL it matches must hold, and a verdict. The tokens of
 all URLs are counted for the rules' tokens only; each rule is filed under the one that fewest URLs hold. A URL's
 tokens fetch their rules, and only those regular expressions run. The rule of highest rank wins; where none fits, the
-verdict is allow. Rules are a table of any size: the index is joined, so Spark broadcasts it below its threshold and
-shuffles it beyond; its tokens alone are broadcast up to FEW_TOKENS, which is checked. Tokens with more than HEAVY_SHARE of all URL tokens are at most 1 / HEAVY_SHARE; their URLs are dealt
-to SALTS tasks each, and their rules, copied as often, go along.
+verdict is allow. Rules are a table of any size (by default some 1500 patterns of spam): the index is joined, so Spark
+broadcasts it below its threshold and shuffles it beyond; its tokens alone are broadcast up to FEW_TOKENS, which is
+checked. Tokens with more than HEAVY_SHARE of all URL tokens are at most 1 / HEAVY_SHARE; their URLs are dealt to SALTS
+tasks each, and their rules, copied as often, go along.
 
 Expressions see the host and the path with a ``#`` between, which neither can hold. Host rules (host, path) fit a host,
 its subdomains and paths that start with theirs; they are compiled to the same kind of rule and rank before patterns,
@@ -63,7 +64,7 @@ HOST_RULES = (
     host_rule("net", "/fr/", "block"),
 )
 #: Words in a host's labels that mark spam, each with what must stand beside it.
-PATTERN_RULES = (
+WORD_RULES = (
     pattern_rule(r"^[^#]*(?:^|[.-])spam[.-]", ["spam"]),
     pattern_rule(r"^[^#]*(?:^|[.-])cheap-[a-z]+\.", ["cheap"]),
     pattern_rule(r"^[^#]*(?:^|[.-])pills[.-]", ["pills"]),
@@ -71,6 +72,28 @@ PATTERN_RULES = (
     pattern_rule(r"^[^#]*(?:^|[.-])xxx[.-]", ["xxx"]),
     pattern_rule(r"^[^#]*(?:^|[.-])click-bait[.-]", ["click", "bait"]),
 )
+#: What spam offers, and how; last labels of hosts that go with it.
+OFFERS = ("best", "buy", "cheap", "discount", "fast", "free", "hot", "instant", "online", "real", "top", "win")
+GOODS = (
+    "bets", "bitcoin", "bonus", "cash", "casino", "cialis", "credit", "dating", "diet", "escort", "followers", "forex", "jackpot", "loans",
+    "lottery", "meds", "payday", "pharma", "pills", "poker", "porn", "replica", "slots", "streams", "tickets", "viagra", "watches",
+)
+ENDS = ("bid", "click", "download", "loan", "men", "party", "racing", "review", "top", "xyz")
+
+
+def offer_rules() -> tuple[Rule, ...]:
+    """A rule for every pair of an offer and goods, either first, in a host's label or a path's segment, and for goods in
+    a host with one of ENDS: some 1500, all of which share their tokens with others, so which one is rarest matters.
+    """
+    out = []
+    for one, other in ((x, y) for o in OFFERS for g in GOODS for x, y in ((o, g), (g, o))):
+        out.append(pattern_rule(rf"^[^#]*(?:^|[.-]){one}-{other}[.-]", [one, other]))
+        out.append(pattern_rule(rf"#.*/{one}[-_]{other}(?:[-_/.]|$)", [one, other]))
+    out += [pattern_rule(rf"^[^#]*(?:^|[.-]){g}[.-](?:[^#]*\.)?{end}#", [g, end]) for g in GOODS for end in ENDS]
+    return tuple(out)
+
+
+PATTERN_RULES = (*WORD_RULES, *offer_rules())
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -140,12 +163,15 @@ def _sql_text(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
+_O, _G = "|".join(OFFERS), "|".join(GOODS)
+#: The same as PATTERN_RULES in few expressions.
+_PATTERNS = (*(r.pattern for r in WORD_RULES), rf"^[^#]*(?:^|[.-])(?:(?:{_O})-(?:{_G})|(?:{_G})-(?:{_O}))[.-]", rf"#.*/(?:(?:{_O})[-_](?:{_G})|(?:{_G})[-_](?:{_O}))(?:[-_/.]|$)", rf"^[^#]*(?:^|[.-])(?:{_G})[.-](?:[^#]*\.)?(?:{'|'.join(ENDS)})#")
 ORACLE_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-patterns(pattern) AS (VALUES {", ".join(f"({_sql_text(r.pattern)})" for r in PATTERN_RULES)}),
+patterns(pattern) AS (VALUES {", ".join(f"({_sql_text(p)})" for p in _PATTERNS)}),
 m AS (SELECT r, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule, arg_max(verdict, length(rules.host || rules.path)) AS verdict
   FROM h JOIN rules ON (h.host = rules.host OR ends_with(h.host, '.' || rules.host)) AND starts_with(h.path, rules.path) GROUP BY r),
 s AS (SELECT DISTINCT r FROM h JOIN patterns ON regexp_matches(h.host || '#' || h.path, pattern))
