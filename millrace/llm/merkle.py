@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm.common import fold, table, tidy, written
 
-BASE, SPAN_LEVELS, PART_ROWS = 3, 12, 50_000
+BASE, SPAN_LEVELS, PART_ROWS = 3, 6, 50_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
