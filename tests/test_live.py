@@ -138,3 +138,18 @@ def test_cursors_of_columns_and_of_texts_agree(spark):
     df = spark.createDataFrame([(n, x) for n, x in enumerate(scratches)], "n int, x string")
     for n, c in df.select("n", S.next_cursor(F.lit("old"), F.col("x"))).collect():
         assert tuple(c) == follow.next_cursor("old", scratches[n])
+
+
+def test_scratch_tables_go_when_their_space_ends(spark, tmp_path):
+    from pathlib import Path
+
+    from millrace.sources.scratch import scratch_space, shared_dir, stored
+
+    with scratch_space(spark) as root:
+        assert shared_dir(spark) == root and stored(spark.range(5), "x").count() == 5
+        where = Path(root.removeprefix("file://"))
+        assert any(where.iterdir())
+        with scratch_space(spark) as inner:
+            assert inner.startswith(root) and shared_dir(spark) == inner
+        assert shared_dir(spark) == root
+    assert not where.exists() and shared_dir(spark) != root
