@@ -12,8 +12,8 @@ MACROS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 *
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 DAYS = ("sun", "mon", "tue", "wed", "thu", "fri", "sat")
 FIELDS = (("minute", 0, 59, ()), ("hour", 0, 23, ()), ("dom", 1, 31, ()), ("month", 1, 12, MONTHS), ("dow", 0, 7, DAYS))
-#: Months to search: two leap years may lie eight years apart, and a calendar repeats its weekdays after 28.
-HORIZON_MONTHS = 12 * 40
+#: Months to search: a 29 February may be eight years away, and nothing is farther, since a weekday beside a day adds to it.
+HORIZON_MONTHS = 12 * 8 + 2
 
 
 def _long(n: int) -> Column:
