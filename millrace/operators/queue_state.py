@@ -128,18 +128,28 @@ def sweep(items: DataFrame, pointers: DataFrame, leases: DataFrame, terminals: D
     return one.unionByName(two).unionByName(three).unionByName(four)
 
 
+#: A file name as stem and ending: the last dot parts them, unless nothing stands before or behind it.
+_NAME = r"(?s)^(.+?)(\.[^.]+)?\z"
+
+
 def released(quarantine: DataFrame, inbox: DataFrame) -> DataFrame:
-    """Quarantined items (item_no, name) that an operator lets go, under the names they get in the inbox: their own, or
-    with ``-v2``, ``-v3`` ... before the ending where that is taken there or by an earlier one of the same name.
+    """Quarantined items (item_no, name) that an operator lets go, under the names they get in the inbox.
+
+    The first item of a name keeps it, unless it stands in the inbox; the others, by item_no, get ``-v2``, ``-v3`` ...
+    before the ending, in order the numbers that no name in the inbox or the quarantine has. So no two items get one name:
+    a numbered name tells its stem and number, and all names that are kept are left out. Names are few for each stem. A null
+    name stays null; an empty name is numbered like any other.
     """
-    stem, end = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(\.[^.]*)?$", 1)
-    taken = inbox.select(F.col("name").alias("_name")).distinct()
-    base = quarantine.withColumn("_stem", stem).withColumn("_end", F.coalesce(end, F.lit("")))
-    used = taken.withColumn("_stem", F.regexp_replace(F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 1), r"-v[0-9]+$", "")).withColumn("_end", F.regexp_extract("_name", r"(\.[^.]*)?$", 1))
-    number = F.when(F.regexp_extract("_name", r"-v([0-9]+)(\.[^.]*)?$", 1) != "", F.regexp_extract("_name", r"-v([0-9]+)(\.[^.]*)?$", 1).try_cast("int")).otherwise(1)
-    numbers = used.groupBy("_stem", "_end").agg(F.sort_array(F.collect_set(number)).alias("_used"))
-    place = F.row_number().over(Window.partitionBy("_stem", "_end").orderBy("item_no"))
-    rows = base.withColumn("_k", place).join(numbers, ["_stem", "_end"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
-    free = F.array_except(F.sequence(F.lit(1), F.col("_k") + F.size("_used")), F.col("_used"))
-    n = F.element_at(free, F.col("_k"))
-    return rows.select("item_no", "name", F.when(n == 1, F.col("name")).otherwise(F.concat("_stem", F.lit("-v"), n.cast("string"), "_end")).alias("inbox_name"))
+    stem = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, _NAME, 1), F.lit("")), c)
+    numbered = r"(?s)^(.*)-v([1-9][0-9]{0,8})\z"
+    parted = lambda rows: rows.withColumn("_stem", stem(F.col("name"))).withColumn("_end", F.regexp_extract("name", _NAME, 2))
+    taken = inbox.select("name").unionByName(quarantine.select("name")).distinct()
+    numbers = parted(taken).filter(F.col("_stem").rlike(numbered)).groupBy(F.regexp_extract("_stem", numbered, 1).alias("_stem"), "_end")
+    numbers = numbers.agg(F.collect_set(F.regexp_extract("_stem", numbered, 2).cast("int")).alias("_used"))
+    there = inbox.select("name", F.lit(1).alias("_there")).distinct()
+    place = F.row_number().over(Window.partitionBy("name").orderBy("item_no"))
+    rows = parted(quarantine.withColumn("_k", place).join(there, "name", "left")).withColumn("_k", F.col("_k") - 1 + F.coalesce("_there", F.lit(0)))
+    rows = rows.join(numbers, ["_stem", "_end"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
+    free = F.array_except(F.sequence(F.lit(2), F.col("_k") + F.size("_used") + 1), F.col("_used"))
+    version = F.concat("_stem", F.lit("-v"), F.get(free, F.col("_k") - 1).cast("string"), "_end")
+    return rows.select("item_no", "name", F.when(F.col("_k") == 0, F.col("name")).otherwise(version).alias("inbox_name"))

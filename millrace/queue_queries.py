@@ -297,3 +297,25 @@ def sweep_steps(spark, d):
     """One sweep with its four steps: leases, pointers, waiting items, deferred ones."""
     free = V.slots(spark, d).first()["free"]
     return queue_state.sweep(V.items(spark, d), _pointers(spark, d), V.leases(spark, d), folds.last_terminal(V.trail(spark, d)), at(NOW_RUNS), free)
+
+
+#: Names under which quarantined items and those of the inbox meet: ``g7.json``, and the same with a number.
+_QUARANTINED = f"""quarantined AS (SELECT item_no, CASE WHEN item_no % 4 = 1 THEN 'g' || item_no // 60 || '.json' WHEN item_no % 4 = 2 THEN 'g' || item_no // 60 || '-v2.json' ELSE name END AS name FROM items i
+  WHERE EXISTS (SELECT 1 FROM {_ISSUES} x WHERE issue <> 'pointer without item' AND (x.item_no = i.item_no OR x.item_no IS NULL AND x.identity = i.identity AND {_LIVE_LANES.replace('lane', 'i.lane')}))),
+inbox AS (SELECT CASE WHEN item_no % 60 = 0 THEN 'g' || item_no // 60 || '.json' WHEN item_no % 12 = 6 THEN 'g' || item_no // 60 || '-v3.json' ELSE name END AS name FROM items WHERE lane = 'inbox')"""
+
+
+@query("items pointers leases reservations", f""", {_QUARANTINED},
+placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY item_no) - (name NOT IN (SELECT name FROM inbox))::INTEGER AS k FROM quarantined),
+free AS (SELECT item_no, k, regexp_replace(name, '[.]json$', '-v' || n || '.json') AS inbox_name, n FROM placed, range(2, 100) r(n))
+SELECT item_no, name, coalesce(inbox_name, name) AS inbox_name FROM placed LEFT JOIN (
+  SELECT item_no, inbox_name FROM free WHERE inbox_name NOT IN (SELECT name FROM inbox UNION SELECT name FROM quarantined) QUALIFY row_number() OVER (PARTITION BY item_no ORDER BY n) = k) USING (item_no)""")
+def quarantine_release(spark, d):
+    """All that an audit moved aside goes back to the inbox, under names that are free there."""
+    n = F.col("item_no")
+    group = F.concat(F.lit("g"), F.floor(n / 60).cast("string"))
+    i = V.items(spark, d)
+    aside = ledger.quarantined(i, _audit(spark, d)).join(i.select("item_no", "name"), "item_no")
+    name = F.when(n % 4 == 1, F.concat(group, F.lit(".json"))).when(n % 4 == 2, F.concat(group, F.lit("-v2.json"))).otherwise(F.col("name"))
+    there = F.when(n % 60 == 0, F.concat(group, F.lit(".json"))).when(n % 12 == 6, F.concat(group, F.lit("-v3.json"))).otherwise(F.col("name"))
+    return queue_state.released(aside.select("item_no", name.alias("name")), i.filter("lane = 'inbox'").select(there.alias("name")))

@@ -45,3 +45,13 @@ def test_released_items_never_take_a_name_that_stands_in_the_inbox(spark):
     got = {r.item_no: r.inbox_name for r in queue_state.released(quarantine, inbox).collect()}
     assert got == {1: "a-v2.json", 5: "a-v4.json", 2: "b.json", 3: "b-v2.json", 4: "c-v2"}
     assert queue_state.released(quarantine.filter(F.lit(False)), inbox).count() == 0
+
+
+def test_released_names_do_not_meet_each_other(spark):
+    names = ["a.json", "a-v2.json", "a.json", "a-v2.json", "a-v3.json", "x.tar.gz", "b.", "b.", ".c", ".c", "d-v02", "d", "d", None, ""]
+    inbox = ["a.json", "a-v2.json", "a-v5.json", "x.tar.gz", "d", ""]
+    quarantine = spark.createDataFrame(list(enumerate(names)), "item_no long, name string")
+    got = {r.item_no: r.inbox_name for r in queue_state.released(quarantine, spark.createDataFrame([(n,) for n in inbox], "name string")).collect()}
+    assert got == {0: "a-v4.json", 1: "a-v2-v2.json", 2: "a-v6.json", 3: "a-v2-v3.json", 4: "a-v3.json", 5: "x.tar-v2.gz", 6: "b.", 7: "b.-v2", 8: ".c", 9: ".c-v2", 10: "d-v02", 11: "d-v2", 12: "d-v3", 13: None, 14: "-v2"}
+    told = [n for n in got.values() if n is not None]
+    assert len(set(told)) == len(told) and not set(told) & set(inbox)
