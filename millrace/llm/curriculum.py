@@ -11,8 +11,8 @@ position is the whole mix's cumulative demand by that time, in words: equal stre
 words, and the sources' shares in them follow their schedules. Documents are range-sorted by position.
 
 Running totals within a source go over BUCKETS ranges of the hash, so a source with a third of all documents is dealt
-to as many tasks as any other. The table of sources, a row for each, is put in order in one task: a mix names a weight
-for every source, and more than MAX_SOURCES of them are refused with an error.
+to as many tasks as any other. Sources may be as many as documents: their order, and the running totals of what they
+stop at, go over ranges of sorted tables.
 
 Defined results: a null text has no words and is taken 0 times, like any document without words, and has no position;
 null is a source; rows with equal ids are told apart by size and text; an empty table gives an empty result; other
@@ -31,30 +31,46 @@ WEIGHTS, EPOCHS = (5, 2, 1), 3
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 #: The hash of an id and a size is md5; its first three digits are the bucket, so rows without an id are dealt as well.
 BUCKETS = 16**3
-MAX_SOURCES = 1_000_000
 
 
 def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def in_ranges(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` written in ranges of ``order``, which are numbered ``_p``."""
+    return written(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), name)
+
+
+def with_bases(placed: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``placed`` with each of ``sums`` over all ranges before a row's own, and over all (``<name>_all``): a running total is
+    the first and a window within the range. Only one row a range is put in order in one task and broadcast.
+    """
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_p").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    both = [c for k in sums for c in (F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(k), F.sum(k).over(Window.partitionBy()).alias(f"{k}_all"))]
+    return placed.join(F.broadcast(ranges.select("_p", *both)), "_p")
+
+
 def targets(sized: DataFrame, source: str = "source") -> DataFrame:
     """One row per source: source_size, weight class and target."""
-    sums = written(sized.groupBy(source).agg(F.sum("size").alias("source_size")), "sources")
-    if sums.count() > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: name fewer, or group them first")
-    ranked = sums.withColumn("_class", (F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1) % len(WEIGHTS))
-    weighed = ranked.withColumn("_w", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("_class") + 1).cast("long"))
-    cap = F.col("source_size") * EPOCHS
-    by_cap = Window.orderBy(cap / F.col("_w"), F.col(source).asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum(cap).over(before), F.lit(0))).cast("double") / F.sum("_w").over(onward)
-    stops = (F.col("_w") * F.col("_level") > cap).cast("int")
+    by_name = [F.col(source).asc_nulls_last()]
+    sums = sized.groupBy(source).agg(F.sum("size").alias("source_size"))
+    named = with_bases(in_ranges(sums, by_name, "sources"), {"_first": F.lit(1)})
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_p").orderBy(*by_name)) - 1
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("_class") + 1).cast("long")
+    weighed = named.withColumn("_class", (place % len(WEIGHTS)).cast("int")).select(source, "source_size", "_class", weight.alias("_w"), (F.col("source_size") * EPOCHS).alias("_cap"))
+    full_at = F.col("_cap") / F.col("_w")
+    by_cap = [full_at.asc(), *by_name]
+    placed = in_ranges(weighed, by_cap, "capped")
+    capped = with_bases(placed, {"_caps": F.col("_cap"), "_ws": F.col("_w"), "_words": F.col("source_size")})
+    within = Window.partitionBy("_p").orderBy(*by_cap).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda total, one: F.col(total) + F.coalesce(F.sum(one).over(within), F.lit(0))
+    level = (F.col("_words_all") - before("_caps", "_cap")).cast("double") / (F.col("_ws_all") - before("_ws", "_w"))
+    found = capped.withColumn("_level", level).withColumn("_stops", (F.col("_w") * F.col("_level") > F.col("_cap")).cast("int"))
     # the level at the first source that does not stop holds for it and all behind it
-    found = weighed.withColumn("_level", level).withColumn("_stops", stops)
-    open_level = F.min_by("_level", F.struct("_stops", cap / F.col("_w"), F.col(source).isNull(), F.col(source))).over(Window.partitionBy())
-    return found.select(source, "source_size", F.col("_class").cast("int").alias("_class"), F.least(cap.cast("double"), F.col("_w") * open_level).alias("target"))
+    open_level = found.agg(F.min_by("_level", F.struct("_stops", full_at, F.col(source).isNull(), F.col(source)))).first()[0]
+    return placed.select(source, "source_size", "_class", F.least(F.col("_cap").cast("double"), F.col("_w") * F.lit(open_level).cast("double")).alias("target"))
 
 
 def inverted(share: Column, schedule: tuple[tuple[float, float], ...]) -> Column:
@@ -91,7 +107,7 @@ def assigned(sized: DataFrame, doc_id: str = "doc_id", source: str = "source") -
     key = ["_null", "_s", "_b"]
     sums = keyed.groupBy(*key).agg(F.sum("size").alias("_n"))
     ahead = Window.partitionBy("_null", "_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    goal = written(targets(sized, source), "targets")
+    goal = targets(sized, source)
     # what the sources of each class ask for in all: one number a schedule
     asked = goal.agg(*[F.coalesce(F.sum(F.when(F.col("_class") == k, F.col("target"))), F.lit(0.0)).alias(f"_d{k}") for k in range(len(SCHEDULES))]).first()
     goal = goal.select("*", *[F.lit(float(x)).alias(c) for c, x in asked.asDict().items()])

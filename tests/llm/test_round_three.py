@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 
 import duckdb
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_lang, hamerly, merkle
+from millrace.llm import byte_lang, curriculum, hamerly, merkle
 
 SMALL = "/root/testdata/sf0.001"
 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
@@ -291,3 +292,31 @@ def test_shipped_url_rules_are_those_of_their_family(spark):
         if r.rule is None:
             assert (r.verdict == "block") == any(re.search(p, text) for p in url_rules._PATTERNS) == any(re.search(p.pattern, text) for p in url_rules.PATTERN_RULES), urls[n]
     assert {r.verdict for r in got.values()} == {"allow", "block"} and len(url_rules.PATTERN_RULES) > 1500
+
+
+def test_targets_of_many_sources_go_over_ranges(spark):
+    """Sources in eight ranges get the targets that plain water filling gives, stopped ones in several ranges."""
+    rng = random.Random(5)
+    size = {**{f"{rng.choice('aé\U0001f600z')}{k}": rng.choice([0, 1, 1, 7, 40, 900, rng.randint(0, 20_000)]) for k in range(3000)}, None: 55}
+    rows = [(s, n // 2) for s, n in size.items()] + [(s, n - n // 2) for s, n in size.items()]
+    names = [*sorted(s for s in size if s is not None), None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    want, free, left = {}, sorted(names, key=lambda s: 3 * size[s] / weight[s]), sum(size.values())
+    share = sum(weight.values())
+    while free and weight[free[0]] * left > 3 * size[free[0]] * share:
+        s = free.pop(0)
+        want[s], left, share = 3 * size[s], left - 3 * size[s], share - weight[s]
+    want |= {s: weight[s] * left / share for s in free}
+    assert 100 < len(free) < 2900
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sized = spark.createDataFrame(rows, "source string, size long")
+        found = curriculum.targets(sized).collect()
+        ranges = curriculum.in_ranges(sized.select("source").distinct(), [F.col("source").asc_nulls_last()], "test")
+        assert ranges.select("_p").distinct().count() == 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["source"]: (r["source_size"], r["target"]) for r in found}
+    assert len(found) == len(got) == len(size)
+    assert all(got[s][0] == size[s] and got[s][1] == pytest.approx(want[s], rel=1e-12) for s in size)
+    assert sum(t for _, t in got.values()) == pytest.approx(sum(size.values()))
