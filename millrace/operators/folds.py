@@ -24,6 +24,11 @@ def seconds_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
 
 
+def whole_seconds(at: Column) -> Column:
+    """Seconds since 1970 of a time to the nearest millisecond (half of one counts up), without what is left of a second."""
+    return F.floor((F.unix_micros(at.cast("timestamp")) + 500) / 1_000_000)
+
+
 def window_runs(trail: DataFrame, start: Column, manifests: DataFrame | None = None) -> DataFrame:
     """All events of the runs that have any event, or were created by their manifest, at or after ``start``."""
     inside = trail.filter(F.col("ev_at") >= start).select("run_id")
@@ -42,7 +47,7 @@ def run_status(trail: DataFrame, now: Column, grace_s: int | None = None) -> Dat
     terminal = F.max_by(F.struct("event", "exit_code"), F.when(F.col("event").isin(*TERMINAL), latest()))
     gate = F.max_by("node", F.when(F.col("event") == "gate-pending", latest()))
     rows = trail.groupBy("run_id").agg(last.alias("l"), terminal.alias("t"), gate.alias("last_gate"), F.count("*").alias("n_events"))
-    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("l.ev_at").cast("timestamp"))
+    age = whole_seconds(now) - whole_seconds(F.col("l.ev_at"))
     stale = F.lit(False) if grace_s is None else F.coalesce(age > grace_s, F.lit(False))
     status = (
         F.when(F.col("l.event") == "gate-pending", "gate")
@@ -61,7 +66,7 @@ def inbox_cards(trail: DataFrame, manifests: DataFrame, now: Column, grace_s: in
     """
     rows = run_status(trail, now, grace_s).join(manifests.select("run_id", "pipeline"), "run_id")
     kind = F.when((F.col("status") == "gate") | (F.col("waiting_kind") == "needs_human"), "answerable").when(F.col("waiting_kind").isNotNull(), "waiting_other")
-    age = F.coalesce(F.greatest(F.lit(0), F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_at").cast("timestamp"))), F.lit(0))
+    age = F.coalesce(F.greatest(F.lit(0), whole_seconds(now) - whole_seconds(F.col("last_at"))), F.lit(0))
     return rows.select("run_id", "pipeline", kind.alias("kind"), age.alias("age_s"), "last_gate").filter("kind IS NOT NULL").orderBy(F.desc("age_s"), "run_id")
 
 

@@ -3,9 +3,11 @@
 import datetime as dt
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from millrace.functions import calendar
+from millrace.operators import folds
 
 
 def test_next_fires_of_many_rows_take_seconds(spark):
@@ -20,3 +22,12 @@ def test_next_fires_of_many_rows_take_seconds(spark):
     assert got[0] == (dt.datetime(2096, 2, 29, 9), 1) and got[1] == (dt.datetime(2104, 2, 29), 1)  # 2100 has none
     assert got[3] == (dt.datetime(2096, 3, 31, 0, 30), 1)
     assert [got[k] for k in (2, 4, 5)] == [(None, 0)] * 3
+
+
+def test_ages_of_cards_are_told_from_whole_milliseconds(spark, tmp_path):
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    trail = spark.createDataFrame([(1, 1, "gate-pending", "n1", None, "2024-01-01 00:00:00.9995"), (2, 1, "gate-pending", "n1", None, "2024-01-01 00:00:00.999499")], "run_id long, line_no long, event string, node string, exit_code int, t string")
+    trail = trail.withColumn("ev_at", F.col("t").cast("timestamp_ntz"))
+    cards = folds.inbox_cards(trail, spark.createDataFrame([(1, "p"), (2, "p")], "run_id long, pipeline string"), at("2024-01-01 02:00:02"), 7200)
+    duck = duckdb.sql("SELECT epoch_ms(TIMESTAMP '2024-01-01 02:00:02') // 1000 - epoch_ms(t) // 1000 FROM (VALUES (TIMESTAMP '2024-01-01 00:00:00.9995'), (TIMESTAMP '2024-01-01 00:00:00.999499')) v(t)").fetchall()
+    assert {r["run_id"]: r["age_s"] for r in cards.collect()} == {1: 7201, 2: 7202} and duck == [(7201,), (7202,)]
