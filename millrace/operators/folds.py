@@ -107,12 +107,12 @@ def gate_latencies(found: DataFrame) -> DataFrame:
     return found.withColumn("latency_s", seconds_between(F.col("pending"), F.col("decided"))).filter("latency_s >= 0")
 
 
-def picked_ranks(rows: DataFrame, value: str, shares: dict[str, tuple[int, ...]]) -> DataFrame:
-    """One row: n, mean, and for each name the mean of the values at the given ranks, without bringing the values together.
+def ranked(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """``value`` of ``rows`` with its rank ``_r`` from 1, and one row of n and mean, without bringing the values together.
 
     Values are range-sorted, equal ones by a number of their own, so ties are no hot range either; a partition's place in
-    the order comes from the partitions' sizes (a row for each). ``shares`` gives, as SQL over n, the ranks (from 1) to
-    average. All is read from one stored table, so ``rows`` are evaluated once.
+    the order comes from the partitions' sizes (a row for each). All is read from one stored table, so ``rows`` are
+    evaluated once.
     """
     ranged = rows.select(value, F.monotonically_increasing_id().alias("_t")).repartitionByRange(value, "_t")
     placed = stored(ranged.withColumn("_p", F.spark_partition_id()), "ranks")
@@ -121,9 +121,18 @@ def picked_ranks(rows: DataFrame, value: str, shares: dict[str, tuple[int, ...]]
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), (F.sum("_s") / F.sum("_n")).alias("mean"))
     bases = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(value, "_t")) + F.col("_base")
-    ranked = placed.join(F.broadcast(bases), "_p").withColumn("_r", rank).join(F.broadcast(total))
+    return placed.join(F.broadcast(bases), "_p").select(value, rank.alias("_r")), total
+
+
+def picked_ranks(rows: DataFrame, value: str, shares: dict[str, tuple[int, ...]]) -> DataFrame:
+    """One row: n, mean, and for each name the mean of the values at the given ranks (see ``ranked``).
+
+    ``shares`` gives, as SQL over n, the ranks (from 1) to average.
+    """
+    places, total = ranked(rows, value)
+    places = places.join(F.broadcast(total))
     wanted = {name: F.col("_r").isin(*[F.expr(r) for r in ranks]) for name, ranks in shares.items()}
-    picked = ranked.agg(*[F.avg(F.when(hit, F.col(value))).alias(name) for name, hit in wanted.items()])
+    picked = places.agg(*[F.avg(F.when(hit, F.col(value))).alias(name) for name, hit in wanted.items()])
     return total.join(F.broadcast(picked))
 
 
@@ -294,9 +303,12 @@ def report(row: DataFrame) -> DataFrame:
     return row.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
 
 
-def full_report(trail: DataFrame, manifests: DataFrame, files: DataFrame, now: Column, start: Column | None = None, broken: DataFrame | None = None, triggers: DataFrame | None = None, oldest: int = 1000) -> DataFrame:
-    """The whole board as one stable JSON text: all gauges, completed runs by pipeline and by origin and retries by node as
-    maps in key order, the ages of the ``oldest`` open parks, and the snapshots of triggers.
+def full_report(trail: DataFrame, manifests: DataFrame, files: DataFrame, now: Column, start: Column | None = None, broken: DataFrame | None = None, triggers: DataFrame | None = None, page_ages: int = 10_000) -> DataFrame:
+    """The whole board as stable JSON texts (page, report): all gauges, completed runs by pipeline and by origin and retries
+    by node as maps in key order, the ages of open parks, oldest first, and the snapshots of triggers.
+
+    Page 0 is the board, with the first ``page_ages`` ages; the other ages follow in pages of that size, which hold nothing
+    else. So no age is left out, and no text grows with the parks. The pages are stored.
 
     ``triggers`` is a row each: name, and columns of its depths, leases and circuit. Maps have a key for every pipeline,
     origin, node and trigger there is, so they are for boards that people read.
@@ -310,10 +322,14 @@ def full_report(trail: DataFrame, manifests: DataFrame, files: DataFrame, now: C
         maps.append((triggers.select("name", F.struct(*sorted(set(triggers.columns) - {"name"})).alias("v")), "name", "triggers"))
     for rows, key, name in maps:
         row = row.join(F.broadcast(rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "v")))).alias(name))))
-    ages = open_ages(seen, now).limit(oldest).agg(F.sort_array(F.collect_list("age_s"), False).alias("ages_s"))
+    places, _ = ranked(blocked_parks(seen, now).filter(~F.col("resolved")).select((-F.round("seconds", 3)).alias("_a")), "_a")
+    page = F.floor((F.col("_r") - 1) / page_ages).cast("int")
+    pages = places.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(-F.col("_a")), False).alias("ages_s"))
+    ages = pages.filter("page = 0").agg(F.coalesce(F.first("ages_s"), F.array().cast("array<double>")).alias("ages_s"))
     for part in (*gauges, ages):
         row = row.join(F.broadcast(part))
-    return report(row)
+    later = pages.filter("page > 0").select("page", F.to_json(F.struct("page", F.lit(REPORT_VERSION).alias("schema_version"), F.struct("ages_s").alias("snapshot"))).alias("report"))
+    return stored(report(row).select(F.lit(0).alias("page"), "report").unionByName(later), "report")
 
 
 def skipped_runs(trail: DataFrame, manifests: DataFrame, broken: DataFrame | None = None) -> DataFrame:

@@ -238,6 +238,7 @@ def learning_warnings(spark, d):
     return folds.learning_warnings(t.filter("run_id % 10 <> 7"), m, torn)
 
 
+_PAGE = 1000  # ages of a report's page
 _REPORT = "schema_version int, snapshot struct<ages_s array<double>, open_parks long, triggers map<string, struct<inbox long, inflight long>>>, window struct<by_node map<string, long>, by_origin map<string, long>, by_pipeline map<string, long>, halted long, runs_in_window long, runs_skipped long>"
 
 
@@ -247,18 +248,18 @@ UNION ALL SELECT 'by_node', node, retries FROM {_steps("t")} WHERE retries > 0 U
 UNION ALL SELECT 'triggers', 'p' || prio, count(*) FILTER (lane = 'inbox') * 1000000 + count(*) FILTER (lane IN ('claim', 'waiting')) FROM items GROUP BY 2
 UNION ALL SELECT 'counts', 'halted', count(*) FROM {_ends("t")} WHERE terminal = 'run-halt' UNION ALL SELECT 'counts', 'runs_in_window', count(DISTINCT run_id) FROM t UNION ALL SELECT 'counts', 'runs_skipped', count(*) FROM {_SKIPPED}""")
 def stats_report(spark, d):
-    """The whole board as one text, with its maps, ages and triggers; then taken apart again."""
+    """The whole board as texts, with its maps, ages and triggers; then taken apart again."""
     t, m, g, torn = stored_runs(spark, d)
     depths = ledger.lane_depths(V.items(spark, d), ledger.read_pointers(V.pointers(spark, d)))
     triggers = depths.select(F.concat(F.lit("p"), F.col("prio").cast("string")).alias("name"), "inbox", "inflight")
-    r = folds.full_report(t, m, g, at(NOW_TRAIL), broken=torn, triggers=triggers).select(F.from_json("report", _REPORT).alias("r")).select("r.*")
+    r = folds.full_report(t, m, g, at(NOW_TRAIL), broken=torn, triggers=triggers, page_ages=_PAGE).select("page", F.from_json("report", _REPORT).alias("r")).select("page", "r.*")
     entries = lambda key, column: r.select(F.lit(key).alias("key"), F.explode(column).alias("name", "value"))
-    out = r.select(F.lit("ages_s").alias("key"), F.posexplode("snapshot.ages_s").alias("p", "s")).select("key", F.col("p").cast("string").alias("name"), F.round(F.col("s") * 1000).cast("long").alias("value"))
+    out = r.select(F.lit("ages_s").alias("key"), "page", F.posexplode("snapshot.ages_s").alias("p", "s")).select("key", (F.col("page").cast("long") * _PAGE + F.col("p")).cast("string").alias("name"), F.round(F.col("s") * 1000).cast("long").alias("value"))
     for name in ("by_node", "by_pipeline", "by_origin"):
         out = out.unionByName(entries(name, f"window.{name}"))
     out = out.unionByName(entries("triggers", "snapshot.triggers").withColumn("value", F.col("value.inbox") * 1_000_000 + F.col("value.inflight")))
     counts = F.create_map(*[x for c in ("halted", "runs_in_window", "runs_skipped") for x in (F.lit(c), F.col(f"window.{c}"))])
-    return out.unionByName(entries("counts", counts))
+    return out.unionByName(r.filter("page = 0").select(F.lit("counts").alias("key"), F.explode(counts).alias("name", "value")))
 
 
 @query("trail", f"""SELECT concat('{{"schema_version":2,"snapshot":{{"oldest_s":', coalesce(oldest_s::VARCHAR, 'null'), ',"open_parks":', open_parks, '}},"window":{{"resolved_parks":', resolved_parks, '}}}}') AS report FROM {_snapshot('trail')}""")
