@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import stored
+
 # The grammar of versions, the rank of pre-releases, and the operators of clauses (longer ones first).
 VERSION = r"^v?([0-9]+(?:\.[0-9]+)*)(?:(a|b|rc)([0-9]+))?(?:\.post([0-9]+))?(?:\.dev([0-9]+))?$"
 PRE = {"a": 0, "b": 1, "rc": 2}
@@ -103,22 +105,25 @@ def satisfied(spec: Column, version: Column) -> Column:
 def matches(requirements: DataFrame, versions: DataFrame) -> DataFrame:
     """The pairs of ``requirements`` (spec) and ``versions`` (version) that meet, with all columns of both.
 
-    A requirement is one interval of keys: the greatest lower and the least upper bound of its clauses. It is filed under
-    every first number that some version has within its bounds, and meets only versions with that number there; then the
-    clauses decide. Malformed ones meet nothing.
+    Texts that recur are read and compared once: what is matched are distinct requirements and distinct versions, and the
+    pairs that meet are joined with the rows. A requirement is one interval of keys: the greatest lower and the least upper
+    bound of its clauses. It is filed under every first number that some version has within its bounds, and meets only
+    versions with that number there; then the clauses decide. Malformed ones meet nothing.
     """
-    keyed = versions.withColumn("_key", version_key(F.col("version"))).filter("_key IS NOT NULL")
+    texts = stored(versions.select("version").distinct(), "versions")
+    keyed = texts.withColumn("_key", version_key(F.col("version"))).filter("_key IS NOT NULL")
     keyed = keyed.withColumn("_major", F.coalesce(F.try_element_at("_key.release", F.lit(1)), F.lit(0)))
     majors = keyed.select("_major").distinct()
-    some = requirements.withColumn("_c", clauses(F.col("spec"))).filter("_c IS NOT NULL")
+    some = requirements.select("spec").distinct().withColumn("_c", clauses(F.col("spec"))).filter("_c IS NOT NULL")
     own = F.filter("_c", lambda c: c["op"] == "==")
     first = lambda key: F.coalesce(F.try_element_at(key["release"], F.lit(1)), F.lit(0).cast("bigint"))
     low = F.array_max(F.transform(own, lambda c: F.when(c["low"].isNotNull(), first(c["low"]))))
     high = F.array_min(F.transform(own, lambda c: F.when(c["high"].isNotNull(), first(c["high"]))))
-    bounds = some.select("spec", low.alias("_low"), high.alias("_high")).distinct()
+    bounds = some.select("spec", "_c", low.alias("_low"), high.alias("_high"))
     # distinct requirements beside distinct first numbers: both are few next to the rows, and each spec looks up its own
     spans = majors.agg(F.sort_array(F.collect_set("_major")).alias("_majors"))  # one row; first numbers only
-    filed = bounds.join(F.broadcast(spans)).select("spec", F.explode(F.filter("_majors", lambda m: (F.coalesce(m >= F.col("_low"), F.lit(True))) & (F.coalesce(m <= F.col("_high"), F.lit(True))))).alias("_major"))
-    near = some.join(filed, "spec").join(keyed, "_major")
+    within = F.filter("_majors", lambda m: (F.coalesce(m >= F.col("_low"), F.lit(True))) & (F.coalesce(m <= F.col("_high"), F.lit(True))))
+    near = bounds.join(F.broadcast(spans)).select("spec", "_c", F.explode(within).alias("_major")).join(keyed, "_major")
     meets = F.forall("_c", lambda c: F.when(c["op"] == "!=", ~_inside(c, F.col("_key"))).otherwise(_inside(c, F.col("_key"))))
-    return near.filter(meets).drop("_c", "_key", "_major")
+    pairs = stored(near.filter(meets).select("spec", "version"), "pins")
+    return versions.join(pairs, "version").join(requirements, "spec").select(*requirements.columns, *versions.columns)
