@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import ITEM_NAME, exit_class, rev_key, rev_order
+from millrace.operators.folds import ranked
 
 # Lanes whose items are alive, seconds that a fresh claim or reservation is left alone, the default lease.
 LIVE = ("claim", "waiting")
@@ -142,8 +143,17 @@ def swept(waiting: DataFrame, terminals: DataFrame, free_slots: int) -> DataFram
     cls = exit_class(F.coalesce("exit_code", F.lit(1)))
     action = F.when(F.col("terminal") == "run-done", "done").when((F.col("terminal") == "run-halt") & (cls["outcome"] == "FAILED"), "failed").otherwise("leave")
     found = rows.select("item_no", action.alias("_a"), ((F.col("terminal") == "run-halt") & (cls["waiting_kind"] == "capacity")).alias("_cap"))
-    resumed = found.filter("_cap").orderBy("item_no").limit(free_slots).select("item_no", F.lit("resume").alias("_r"))
-    return found.join(F.broadcast(resumed), "item_no", "left").select("item_no", F.coalesce("_r", "_a").alias("action"))
+    resumed = first_items(found.filter("_cap"), free_slots).select("item_no", F.lit("resume").alias("_r"))
+    return found.join(resumed, "item_no", "left").select("item_no", F.coalesce("_r", "_a").alias("action"))
+
+
+def first_items(rows: DataFrame, n: int) -> DataFrame:
+    """item_no of the first ``n`` rows by item_no. Slots may be as many as items, so ranks are counted over ranges: no task
+    holds ``n`` rows.
+    """
+    if n <= 0:
+        return rows.select("item_no").limit(0)
+    return ranked(rows, "item_no")[0].filter(F.col("_r") <= n).select("item_no")
 
 
 def lease_ttl(configured: Column, concurrency: Column) -> Column:

@@ -119,7 +119,7 @@ def sweep(items: DataFrame, pointers: DataFrame, leases: DataFrame, terminals: D
     rows = swept.select("item_no", "run_id", action.alias("action"))
     cap = exit_class(F.coalesce("exit_code", F.lit(1)))["waiting_kind"] == "capacity"
     parks = rows.filter("action = 'leave'").join(terminals.filter((F.col("terminal") == "run-halt") & cap).select("run_id"), "run_id", "left_semi")
-    resumed = parks.orderBy("item_no").limit(free_slots).select("item_no", F.lit("resume").alias("_r"))
+    resumed = ledger.first_items(parks, free_slots).select("item_no", F.lit("resume").alias("_r"))
     rows = rows.join(resumed, "item_no", "left").withColumn("action", F.coalesce("_r", "action"))
     three = rows.select(F.lit(3).alias("step"), "item_no", "action", F.when(F.col("action").isin("done", "failed"), F.col("action")).alias("to_lane"))
     lanes = _moved(lanes, three)
