@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -234,38 +236,62 @@ def artifact_files(files: DataFrame, declared: DataFrame) -> DataFrame:
     artifacts (run_id, artifact, path) name, by path; a plain path stays without a file (``present`` false), a pattern
     that nothing fits has no row.
 
-    Patterns become columns: paths of the declaring run only are matched, by a join on the run. Paths that could leave
-    the folder end the job.
+    Patterns are a column: paths of the declaring run only are matched, by a join on the run, for which files are dealt out
+    once. What recurs from run to run is matched once: distinct pairs of pattern and path are. Paths that could leave the folder end the job.
     """
     parts = F.filter(F.split("path", "/"), lambda p: ~p.isin("", "."))
     outside = F.when(F.col("path").startswith("/"), " (absolute): ").when(F.array_contains(parts, ".."), " (..): ").when(F.size(parts) == 0, " (empty): ")
     checked = F.when(outside.isNotNull(), F.raise_error(F.concat(F.lit("artifact path leaves the run's folder"), outside, "path")).cast("string")).otherwise(F.array_join(parts, "/"))
+    checked = F.when(F.col("path").rlike(r"(?:^|/)\.{0,2}(?:/|\z)"), checked).otherwise(F.col("path"))  # most have nothing to take out
     told = declared.select("run_id", "artifact", checked.alias("_p"), F.col("path").contains("*").alias("_glob"))
     told = told.withColumn("_p", F.when(F.col("_glob") & F.col("_p").endswith("**"), F.concat("_p", F.lit("/*"))).otherwise(F.col("_p")))
     plain = told.filter(~F.col("_glob")).select("run_id", "artifact", F.col("_p").alias("path"))
-    there = files.select("run_id", "path", F.lit(True).alias("present")).distinct()
+    there = files.select("run_id", "path", F.lit(True).alias("present")).repartition("run_id").distinct()
     single = plain.join(there, ["run_id", "path"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
-    globs = told.filter("_glob").withColumn("_re", path_pattern(F.col("_p")))
-    many = globs.join(there, "run_id").filter(F.expr("path rlike _re"))
+    pairs = told.filter("_glob").join(there, "run_id")
+    hits = stored(pairs.select("_p", "path").distinct().filter(fits(F.col("path"), F.col("_p"))), "hits")
+    many = pairs.join(hits, ["_p", "path"])
     return single.select("run_id", "artifact", "path", "present").unionByName(many.select("run_id", "artifact", "path", "present")).orderBy("run_id", "artifact", "path")
 
 
-#: What a path pattern's signs stand for, in the order in which they are tried: fixed values of shell patterns.
-PATH_SIGNS = (("**/", r"(?:[^/]+/)*"), ("*", r"[^/]*"), ("?", r"[^/]"))
+#: What a path pattern's signs stand for: fixed values of shell patterns.
+PATH_SIGNS = re.compile(r"((?:^|(?<=/))\*\*/|\[!?[^\]/]+\]|\*+|\?|[^*?\[]+|\[)")
 
 
-def path_pattern(glob: Column) -> Column:
-    """A path pattern of a column as a regular expression of Java's over whole paths."""
-    signs = F.regexp_extract_all(glob, F.lit(r"((?:^|(?<=/))\*\*/|\[!?[^\]/]+\]|\*+|\?|[^*?\[]+|\[)"))
+def path_pattern(glob: str) -> str:
+    """A path pattern as a regular expression over whole paths."""
 
-    def one(x: Column) -> Column:
-        cls = F.concat(F.lit("["), F.regexp_replace(F.regexp_replace(F.substring(x, 2, 9999), r"([\\\[&^])", r"\\$1"), "^!", "^"))
-        out = F.when(x.rlike(r"^\[.+\]$"), cls).otherwise(F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
-        for sign, stands in reversed(PATH_SIGNS):
-            out = F.when(F.regexp_replace(x, r"^\*+$", "*") == sign if sign == "*" else x == sign, stands).otherwise(out)
-        return out
+    def one(x: str) -> str:
+        if x == "**/":
+            return "(?:[^/]+/)*"
+        if x.strip("*") == "":
+            return "[^/]*"
+        if x == "?":
+            return "[^/]"
+        if len(x) > 2 and x[0] == "[" and x[-1] == "]":
+            return "[" + re.sub("^!", "^", re.sub(r"([\\\[&^])", r"\\\1", x[1:]))
+        return re.sub(r"([^\w/])", r"\\\1", x, flags=re.ASCII) if x.isascii() else "".join(c if not c.isascii() or c.isalnum() or c in "_/" else "\\" + c for c in x)
 
-    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(signs, one), ""), F.lit(r"\z"))
+    return "(?s)^" + "".join(one(x) for x in PATH_SIGNS.findall(glob)) + r"\z"
+
+
+def fits(path: Column, glob: Column) -> Column:
+    """Whether a path pattern fits a path, both columns: each of a batch's patterns is read once, and its paths are matched
+    side by side.
+    """
+
+    def run(paths: pa.Array, globs: pa.Array) -> pa.Array:
+        coded = globs.dictionary_encode()
+        codes, out = coded.indices.to_numpy(zero_copy_only=False), np.zeros(len(paths), bool)
+        order = np.argsort(codes, kind="stable")
+        ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        for k, glob_ in enumerate(coded.dictionary.to_pylist()):
+            rows = order[ends[k] : ends[k + 1]]
+            hits = pc.match_substring_regex(paths.take(pa.array(rows)), path_pattern(glob_))
+            out[rows] = hits.fill_null(False).to_numpy(zero_copy_only=False)
+        return pa.array(out)
+
+    return F.arrow_udf(run, "boolean")(path, glob)
 
 
 def run_paths(spark: SparkSession, root: str) -> DataFrame:

@@ -7,8 +7,9 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from millrace.functions import calendar
+from millrace.functions import calendar, versions
 from millrace.operators import folds
+from millrace.sources import files
 
 
 def test_next_fires_of_many_rows_take_seconds(spark):
@@ -46,3 +47,25 @@ def test_a_report_tells_the_age_of_every_open_park(spark):
         assert [a for t in texts for a in t["snapshot"]["ages_s"]] == [86400.0 - n // 2 for n in range(2345)]
     none = folds.full_report(trail.limit(0), manifests, gates, F.lit("2024-01-02").cast("timestamp_ntz")).collect()
     assert [json.loads(r["report"])["snapshot"]["ages_s"] for r in none] == [[]]
+
+
+def test_versions_that_recur_are_compared_once(spark):
+    some = spark.range(0, 30_000, 1, 4).select("id", F.concat(F.lit("1."), (F.col("id") % 7).cast("string"), F.when(F.col("id") % 35 == 0, "x").otherwise("")).alias("version"))
+    pins = spark.createDataFrame([(1, ">=1.2,!=1.4"), (2, "==1.3"), (3, "=1"), (4, "==1.3")], "pin int, spec string")
+    rows = versions.matches(pins, some)
+    assert sorted(rows.columns) == ["id", "pin", "spec", "version"]
+    assert "forall" not in rows._jdf.queryExecution().toString()  # clauses are not tried row by row
+    got = {(r["pin"], r["version"]): r["n"] for r in rows.groupBy("pin", "version").agg(F.count("*").alias("n")).collect()}
+    want = some.filter("id % 35 <> 0").groupBy("version").count().collect()
+    assert got == {(p, r["version"]): r["count"] for r in want for p, ok in ((1, ("1.2", "1.3", "1.5", "1.6")), (2, ("1.3",)), (4, ("1.3",))) if r["version"] in ok}
+
+
+def test_globs_that_recur_are_matched_once(spark):
+    there = spark.range(0, 40_000, 1, 4).select((F.col("id") % 5000).alias("run_id"), F.concat(F.lit("out/"), (F.floor(F.col("id") / 5000)).cast("string"), F.lit(".json")).alias("path"))
+    told = [("a", "out/[!1-9]*"), ("b", "**/[1-3].json"), ("c", "./out//7.json"), ("d", "out/9.json"), ("e", "o?t/[[]*")]
+    declared = spark.createDataFrame([(r, a, p) for r in range(0, 5000, 100) for a, p in told], "run_id long, artifact string, path string")
+    rows = files.artifact_files(there, declared)
+    assert "_re#" not in rows._jdf.queryExecution().toString()  # no pattern is made anew for a row
+    got = [tuple(r) for r in rows.collect()]
+    each = [("a", "out/0.json", True), *(("b", f"out/{n}.json", True) for n in (1, 2, 3)), ("c", "out/7.json", True), ("d", "out/9.json", False)]
+    assert got == [(r, *x) for r in range(0, 5000, 100) for x in each]
