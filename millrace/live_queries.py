@@ -54,7 +54,7 @@ def _arriving(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _followed(spark: SparkSession, d: str, stop: bool) -> DataFrame:
-    out, _ = _stepped(spark, _arriving(spark, d), lambda events: live.followed(events, stop))
+    out, _ = _stepped(spark, _arriving(spark, d), lambda events: live.followed(events, stop, "run_id string, seq long, event string, node string"))
     return spark.read.parquet(out).select(F.col("run_id").cast("long").alias("run_id"), F.col("seq").cast("int").alias("seq"), "event", "node", "step")
 
 
@@ -122,7 +122,7 @@ def artifact_globs(spark, d):
     """Orders as runs, their lines as files: what patterns and a plain path name in each."""
     n = F.col("l_linenumber").cast("string")
     path = F.concat(F.when(F.col("l_linenumber") == 1, "out/s").otherwise(F.concat(F.lit("out/"), n, F.lit("/s"))), (F.col("l_suppkey") % 15).cast("string"), F.lit(".json"))
-    there = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), path.alias("path")).distinct()
+    there = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), path.alias("path"))
     told = F.array(*[F.struct(F.lit(g).alias("artifact"), F.lit(g).alias("path")) for g, _ in GLOBS], F.struct(F.lit("plain").alias("artifact"), F.lit("./out//s3.json").alias("path")))
     declared = there.select("run_id").distinct().select("run_id", F.inline(told))
     return files.artifact_files(there, declared)

@@ -18,6 +18,7 @@ from millrace.operators.folds import TERMINAL
 from millrace.sources.files import trail_rows
 
 FOLLOWED = "run_id string, seq long, at_raw string, ev_at timestamp, event string, node string, exit_code int, data string"
+PLACE = ["file", "block", "row"]  # where a line stands
 STATUS = "run_id string, change long, status string, event string, last_at timestamp"
 
 
@@ -38,32 +39,35 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """One run's rows of a batch as they stand in their files."""
-    rows = pd.concat(list(parts), ignore_index=True)
-    return rows.sort_values(["file", "block", "row"], kind="stable")
+    some = list(parts)
+    rows = pd.concat(some, ignore_index=True) if len(some) > 1 else some[0]
+    return rows.sort_values(PLACE, kind="stable")
 
 
-def followed(events: DataFrame, stop: bool = True) -> DataFrame:
+def followed(events: DataFrame, stop: bool = True, schema: str = FOLLOWED) -> DataFrame:
     """New events of every run, as they come: seq must grow, so what comes again or late is dropped, and a row without
     seq counts as 0. With ``stop`` a run ends with its first terminal event.
 
-    State is the last seq and whether the run has ended: one row a run, and no more of it is needed.
+    State is the last seq and whether the run has ended: one row a run, and no more of it is needed. ``schema`` names the
+    columns of FOLLOWED that are wanted: no others are read from the lines or go through Python.
     """
-    columns = [c.split()[0] for c in FOLLOWED.split(", ")]
+    columns = [c.split()[0] for c in schema.split(", ")]
+    needed = [c for c in _keyed(events).columns if c in {"run_id", "seq", "event", *PLACE, *columns}]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, ended = state.get if state.exists else (0, False)
         kept = []
         rows = _in_order(parts)
-        for n, (seq, event) in enumerate(zip(rows["seq"].fillna(0).astype("int64"), rows["event"], strict=True)):
+        for n, (seq, event) in enumerate(zip(rows["seq"].fillna(0).astype("int64").tolist(), rows["event"].tolist(), strict=True)):
             if ended or seq <= last:
                 continue
             kept.append(n)
-            last = int(seq)
+            last = seq
             ended = stop and event in TERMINAL
         state.update((last, ended))
-        yield rows.iloc[kept][columns]
+        yield rows[columns].iloc[kept]
 
-    return _keyed(events).groupBy("run_id").applyInPandasWithState(run, FOLLOWED, "last long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(events).select(needed).groupBy("run_id").applyInPandasWithState(run, schema, "last long, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def _keyed(events: DataFrame) -> DataFrame:
@@ -104,7 +108,9 @@ def watched(events: DataFrame, grace_s: int, late: str) -> DataFrame:
         if status != was:
             yield pd.DataFrame({"run_id": [key[0]], "change": [change], "status": [status], "event": [event], "last_at": [None if last is None else pd.Timestamp(last, unit="s")]})
 
-    timed = _keyed(events).withWatermark("ev_at", late)
+    # times to the nearest millisecond, as ``folds.run_status`` reads them; of the lines no more than is asked for
+    at = F.timestamp_micros(F.floor((F.unix_micros("ev_at") + 500) / 1000) * 1000)
+    timed = _keyed(events).select("run_id", "event", at.alias("ev_at"), *PLACE).withWatermark("ev_at", late)
     return timed.groupBy("run_id").applyInPandasWithState(run, STATUS, "change long, status string, event string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
