@@ -5,11 +5,11 @@ Only those cross the network: a word's count over all training documents is one
 TOP most frequent words are observations of their own; any other word is one of TAILS classes by its last letters, and
 within a class words go by their smoothed counts, with room for unseen ones, so the model is a distribution over all
 words. Frequent words, a bounded list, are broadcast to the blocks that hold them; only the others are shuffled.
-*Training.* Start values come from Baum-Welch on a bounded sample of training documents, of any length, picked by a hash
-of their ids: at most SAMPLE_DOCS, and of these all but those that would take more than half of what is left of
-SAMPLE_WORDS, cut into pieces of PIECE_WORDS that are all read. Then every pass over all training documents gathers expected counts in each partition, sums them by
-observation across partitions and re-estimates. *Scoring* is the forward recursion, rescaled at each word: the exact
-likelihood of the whole text, its end included.
+*Training.* Start values come from one sweep over all training documents, dealt out to SLICES by a hash: each slice's
+expected counts re-estimate the model that reads the next one. In the first half of the slices the newest counts alone
+do so, in the second half the mean of that half's. Then PASSES passes follow, each over all training documents at once. All of
+them gather expected counts in each partition, sum them by observation across partitions and re-estimate. *Scoring* is
+the forward recursion, rescaled every few words: the exact likelihood of the whole text, its end included.
 
 Defined results: null and empty texts are the end alone; rows with a null id count as training rows; repeated rows are
 counted and scored as often as they occur; without training rows every word is unseen; an empty table gives an empty
@@ -19,7 +19,9 @@ result; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,12 @@ from millrace.llm.encode import steps
 
 #: Hidden states, words and word classes observed, longest word among the former.
 STATES, TOP, TAILS, LONGEST = 8, 16_000, 256, 64
-#: The sample for start values (documents, words, words of a piece), its passes, and the passes over all training documents.
-SAMPLE_DOCS, SAMPLE_WORDS, PIECE_WORDS, SAMPLE_PASSES, PASSES = 1500, 1_000_000, 2000, 12, 2
+#: Slices of the sweep for start values, and the passes over all training documents after it.
+SLICES, PASSES = 12, 2
+#: Bounds of ``start_sample``: documents, words, words of a piece.
+SAMPLE_DOCS, SAMPLE_WORDS, PIECE_WORDS = 1500, 1_000_000, 2000
+#: Words between two rescalings, and words whose shares are worked out at a time.
+RESCALE, STRIP = 4, 4096
 #: Words in a block, and in a group that the recursions run on side by side.
 BLOCK_WORDS, GROUP_WORDS = 1_500_000, 300_000
 END = b""  # no word is empty
@@ -81,50 +87,66 @@ def laid_out(seqs: list[np.ndarray], pick: np.ndarray):
     lengths = np.array([len(seqs[i]) for i in pick])
     live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # sequences longer than t
     grid = np.zeros((len(pick), lengths[0]), np.int64)
-    grid[np.arange(lengths[0]) < lengths[:, None]] = np.concatenate([seqs[i] for i in pick])
-    obs = np.concatenate([grid[:n, t] for t, n in enumerate(live)])
-    return obs, live, np.concatenate([[0], np.cumsum(live)])
+    there = np.arange(lengths[0]) < lengths[:, None]
+    grid[there] = np.concatenate([seqs[i] for i in pick])
+    return grid.T[there.T], live, np.concatenate([[0], np.cumsum(live)])
 
 
 def forward(hmm: Hmm, seqs: list[np.ndarray], keep: bool = False):
-    """log10 likelihood of each sequence; with ``keep`` yields what the backward pass needs as well."""
+    """log10 likelihood of each sequence; with ``keep`` yields what the backward pass needs instead.
+
+    States are rows here and words columns. Values are rescaled at every RESCALE-th word and where a sequence ends.
+    """
     score = np.zeros(len(seqs))
+    emit, move = np.ascontiguousarray(hmm.emit.T), np.ascontiguousarray(hmm.move.T)
     for pick in groups(seqs):
         obs, live, at = laid_out(seqs, pick)
-        b = hmm.emit[obs]
-        alpha, scale = (np.empty_like(b), np.empty(len(b))) if keep else (None, None)
+        b = np.take(emit, obs, axis=1)
+        alpha, scale = (np.empty_like(b), np.empty(len(obs))) if keep else (None, None)
+        due = (np.arange(len(live)) % RESCALE == RESCALE - 1) | np.append(live[1:] < live[:-1], True)
         now, total = None, np.zeros(len(pick))
         for t, n in enumerate(live):
-            now = (hmm.start if t == 0 else now[:n] @ hmm.move) * b[at[t] : at[t + 1]]
-            c = now.sum(1)
-            now = now / c[:, None]
-            total[:n] += np.log10(c)
+            now = (move @ now[:, :n] if t else hmm.start[:, None]) * b[:, at[t] : at[t + 1]]
+            if due[t]:
+                c = now.sum(0)
+                now /= c
+                total[:n] += np.log10(c)
+                if keep:
+                    scale[at[t] : at[t + 1]] = c
             if keep:
-                alpha[at[t] : at[t + 1]], scale[at[t] : at[t + 1]] = now, c
+                alpha[:, at[t] : at[t + 1]] = now
         score[pick] = total
         if keep:
-            yield obs, live, at, b, alpha, scale
+            yield obs, live, at, b, alpha, scale, due
     if not keep:
         yield score
 
 
 def expected_counts(hmm: Hmm, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(hmm.emit)
-    for obs, live, at, b, alpha, scale in forward(hmm, seqs, keep=True):
-        gamma = np.empty_like(alpha)
-        beta = np.ones((live[-1], STATES))
-        gamma[at[-2] :] = alpha[at[-2] :]
-        for t in range(len(live) - 2, -1, -1):
-            n = live[t + 1]
-            ahead = b[at[t + 1] : at[t + 2]] * beta / scale[at[t + 1] : at[t + 2], None]
-            move += alpha[at[t] : at[t] + n].T @ ahead
-            back = np.ones((live[t], STATES))
-            back[:n] = ahead @ hmm.move.T
-            beta = back
-            gamma[at[t] : at[t + 1]] = alpha[at[t] : at[t + 1]] * beta
-        start += gamma[: live[0]].sum(0)
-        for k in range(STATES):
-            emit[:, k] += np.bincount(obs, gamma[:, k], len(emit))
+    for obs, live, at, b, alpha, scale, due in forward(hmm, seqs, keep=True):
+        beta = np.ones((STATES, live[-1]))
+        for t in range(len(live) - 1, -1, -1):
+            if beta.shape[1] < live[t]:  # more sequences end here
+                beta = np.hstack([beta, np.ones((STATES, live[t] - beta.shape[1]))])
+            ahead = b[:, at[t] : at[t + 1]]  # b turns into emission, scale and what follows, all in one
+            ahead *= beta
+            if due[t]:
+                ahead /= scale[at[t] : at[t + 1]]
+            beta = hmm.move @ ahead
+        first, later = b[:, : live[0]], b[:, live[0] :]
+        before = alpha[:, : at[-2]]
+        if live[-1] < live[0]:  # without the words that end their sequences
+            place = np.arange(at[-2]) - np.repeat(at[:-2], live[:-1])
+            before = before[:, place < np.repeat(live[1:], live[:-1])]
+        for a in range(0, later.shape[1], STRIP):
+            x, y = before[:, a : a + STRIP], later[:, a : a + STRIP]
+            move += x @ y.T
+            y *= hmm.move.T @ x
+        first *= hmm.start[:, None]
+        start += first.sum(1)
+        for k in range(STATES):  # b holds the states' shares now
+            emit[:, k] += np.bincount(obs, b[k], len(emit))
     return start, move * hmm.move, emit
 
 
@@ -133,25 +155,21 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         part, number = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple] = []
+        rows: list[tuple] = []
         size = 0
 
+        def numbers() -> defaultdict[bytes, int]:
+            """Numbers of a block's words, in the order in which they are met."""
+            found = defaultdict(count().__next__)
+            found[END]
+            return found
+
+        words = numbers()
+
         def block():
-            nonlocal number, held, size
-            words: dict[bytes, int] = {END: 0}
-            rows, counts = [], np.zeros(0, np.int64)
-            total = np.zeros(0, np.int64)
-            for i, train, w in held:
-                for x in w:
-                    if x not in words:
-                        words[x] = len(words)
-                ids = np.fromiter(map(words.__getitem__, w), np.int32, len(w))
-                ids = np.append(ids, 0).astype(np.int32)
-                rows.append((i, train, ids))
-            total = np.zeros(len(words), np.int64)
-            for _, train, ids in rows:
-                if train:
-                    np.add.at(total, ids, 1)
+            nonlocal number, rows, size, words
+            none = np.zeros(0, np.int32)
+            total = np.bincount(np.concatenate([none, *[r[2] for r in rows if r[1]]]), minlength=len(words))
             # frequent words get small numbers, which compress well
             flat = np.bincount(np.concatenate([r[2] for r in rows]), minlength=len(words))
             order = np.argsort(-flat, kind="stable")
@@ -189,7 +207,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                     names=["block", "doc_id", "train", "ids", "number", "word", "count"],
                 )
             number += 1
-            held, size = [], 0
+            rows, size, words = [], 0, numbers()
 
         for batch in batches:
             ids, train = batch.column("doc_id").to_pylist(), batch.column("train").to_pylist()
@@ -197,16 +215,17 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             for texts in steps(batch.column("text")):
                 for t in texts.to_pylist():
                     w = t.encode("utf-8", "surrogatepass").lower().split() if t else []
-                    held.append((ids[done], train[done], w))
+                    w.append(END)
+                    rows.append((ids[done], train[done], np.fromiter(map(words.__getitem__, w), np.int32, len(w))))
                     done += 1
-                    size += len(w) + 1
+                    size += len(w)
                     if size >= BLOCK_WORDS:
                         yield from block()
-        if held:
+        if rows:
             yield from block()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) % 5 != 1, F.lit(True)).alias("train"), "text")
-    return rows.mapInArrow(run, "block long, doc_id long, train boolean, ids binary, number int, word binary, count long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) % 5 != 1, F.lit(True)).alias("train"), "text")
+    return docs.mapInArrow(run, "block long, doc_id long, train boolean, ids binary, number int, word binary, count long")
 
 
 OBSERVED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, tail_score double, obs binary, length int"
@@ -289,12 +308,14 @@ def observed(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     left = rows.filter("word is null").select("block", "doc_id", "train", "ids").groupBy("block")
     right = counted.mapInArrow(classes, "block long, number int, c long, obs int").groupBy("block")
     out = left.cogroup(right).applyInArrow(score, OBSERVED)
-    # documents of like length stand together, so that the recursions run side by side
-    return written(out.sortWithinPartitions("length"), "observed"), counts, n_all
+    # slices are read one by one; in each, documents of like length stand together, so that the recursions run side by side
+    slices = F.when(F.col("train"), F.pmod(F.xxhash64("doc_id", "obs"), F.lit(SLICES))).otherwise(-1).cast("int")
+    return written(out.withColumn("slice", slices).sortWithinPartitions("slice", "length"), "observed", "slice"), counts, n_all
 
 
 def start_sample(train: DataFrame) -> list[np.ndarray]:
-    """Pieces of the training documents whose ids' hashes come first. Hashes and lengths come to the driver before any
+    """Pieces of the training documents whose ids' hashes come first, for a look at the data: ``fit`` takes nothing
+    from it, its start values come from all training documents. Hashes and lengths come to the driver before any
     observations do: about twice SAMPLE_DOCS narrow rows, whatever the input, and then no more than the sample.
     """
     n = train.count()
@@ -309,15 +330,28 @@ def start_sample(train: DataFrame) -> list[np.ndarray]:
     return [seq[a : a + PIECE_WORDS] for seq in (np.frombuffer(r["obs"], "<u2") for r in rows) for a in range(0, len(seq), PIECE_WORDS)]
 
 
+def swept(train: DataFrame, counts: np.ndarray, prior: np.ndarray) -> Hmm:
+    """Start values from one sweep over all training rows, slice by slice. A slice's expected counts stand for all
+    ``counts``; those of the first half are each replaced by the next, those of the second half averaged.
+    """
+    hmm, mean, n = start_values(counts), None, 0
+    for k in range(SLICES):
+        got = gathered(train.filter(F.col("slice") == k), hmm)
+        share = got[2].sum() / counts.sum()
+        if share > 0:
+            n = n + 1 if k >= SLICES // 2 else 0
+            new = [x / share for x in got]
+            mean = [a + (b - a) / n for a, b in zip(mean, new, strict=True)] if n > 1 else new
+            hmm = estimated(*mean, prior)
+    return hmm
+
+
 def fit(rows: DataFrame, counts: np.ndarray) -> Hmm:
+    if not counts.any():
+        return start_values(counts)
     prior = (counts + 0.5) / (counts + 0.5).sum()
-    train = rows.filter("train")
-    seqs = start_sample(train)
-    hmm = start_values(counts)
-    if not seqs:
-        return hmm
-    for _ in range(SAMPLE_PASSES):
-        hmm = estimated(*expected_counts(hmm, seqs), prior)
+    train = rows.filter("slice >= 0")
+    hmm = swept(train, counts, prior)
     for _ in range(PASSES):
         hmm = estimated(*gathered(train, hmm), prior)
     return hmm

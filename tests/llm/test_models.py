@@ -68,6 +68,57 @@ def test_start_sample_is_bounded_and_reads_long_texts(spark, monkeypatch):
     assert hmm_lm.start_sample(rows.limit(0)) == []
 
 
+def test_long_texts_are_those_of_plain_recursions():
+    rng = np.random.default_rng(7)
+    hmm = small_model(hmm_lm.STATES, 400, rng)
+    hmm.emit[:] = hmm.emit**12 + 1e-18  # far apart, and far below one
+    seqs = [rng.integers(0, 400, n) for n in (900, 1, 37, 900, 5)]
+    move, emit, want = np.zeros_like(hmm.move), np.zeros_like(hmm.emit), []
+    for seq in seqs:
+        alpha, total = [], 0.0
+        for t, w in enumerate(seq):
+            now = (alpha[-1] @ hmm.move if t else hmm.start) * hmm.emit[w]
+            total += np.log10(now.sum())
+            alpha.append(now / now.sum())
+        beta = np.ones(hmm_lm.STATES)
+        for t in range(len(seq) - 1, -1, -1):
+            emit[seq[t]] += alpha[t] * beta / (alpha[t] @ beta)
+            if t:
+                pair = alpha[t - 1][:, None] * hmm.move * (hmm.emit[seq[t]] * beta)
+                move += pair / pair.sum()
+                beta = hmm.move @ (hmm.emit[seq[t]] * beta)
+                beta /= beta.sum()
+        want.append(total)
+    assert next(hmm_lm.forward(hmm, seqs)) == pytest.approx(want, rel=1e-12)
+    got = hmm_lm.expected_counts(hmm, seqs)
+    assert got[1] == pytest.approx(move, abs=1e-8) and got[2] == pytest.approx(emit, abs=1e-8)
+
+
+def test_start_values_come_from_every_training_word(spark, monkeypatch):
+    read, whole = [], hmm_lm.gathered
+
+    def gathered(train, hmm):
+        got = whole(train, hmm)
+        read.append(got[2].sum(1))
+        return got
+
+    monkeypatch.setattr(hmm_lm, "gathered", gathered)
+    monkeypatch.setattr(hmm_lm, "PASSES", 0)  # start values alone
+    monkeypatch.setattr(hmm_lm, "SAMPLE_DOCS", 5)
+    docs = [(i, f"a{i % 7} b{i % 11} c{i}" * (1 + i % 3)) for i in range(60)] + [(None, "x y z"), (100, None), (101, ""), (102, "w " * 5000), (3, "a b"), (3, "a b")]
+    rows, counts, n = hmm_lm.observed(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    hmm_lm.fit(rows, counts)
+    assert sum(read).sum() == pytest.approx(n) and sum(read) == pytest.approx(counts)
+    assert len(read) > 1 and max(r.sum() for r in read if r.sum() < 5000) < n / 3  # in slices
+
+
+def test_no_training_rows_leave_the_unigram_start(spark):
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    one = hmm_lm.scored(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
+    assert (one.held_out, one.n_tokens, one.n_known, one.train_tokens) == (True, 3, 0, 0) and np.isfinite(one.score)
+    assert hmm_lm.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_held_out_texts_score_better_than_the_unigram_base(spark):
     rows = hmm_lm.op6_hmm_lm(spark, SMALL.replace("0.001", "0.01")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert rows.s / rows.n > rows.b / rows.n + 0.1
